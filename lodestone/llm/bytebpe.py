@@ -21,11 +21,13 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -42,6 +44,7 @@ _DOUBTFUL = re.compile("(.)\\1\\1\\1|(..+)\\2", re.DOTALL)
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
         import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -49,7 +52,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         chars = byte_characters()
         table = {i: c for i, c in enumerate(chars)}
-        self.byte_of = {c: i for i, c in enumerate(chars)}
+        self.byte_of = {ord(c): i for i, c in enumerate(chars)}
         show = lambda token: token.decode("latin-1").translate(table)
         vocab = {show(token): rank for token, rank in self.ranks.items()}
         merges = [
@@ -60,7 +63,12 @@ class ByteBpe:
         ]
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.shown = {rank: token for token, rank in vocab.items()}
-        self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
+        top = max(self.tokens) + 1
+        self.size = np.zeros(top, np.int64)
+        self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.decimal = [b"%d," % i for i in range(top)]
+        self.digits = np.array([len(d) for d in self.decimal])
+        self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges))
         split = pre_tokenizers.Split(Regex(pattern), "isolated")
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.check = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
@@ -69,14 +77,35 @@ class ByteBpe:
     def encode(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part; the pattern is applied to each by itself."""
         found = [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        return [self.exact(p) if _DOUBTFUL.search(p) else ids for p, ids in zip(parts, found, strict=True)]
+        return [self.exact(p) if self.doubtful(p) else ids for p, ids in zip(parts, found, strict=True)]
+
+    def encode_run(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that may follow one another in one text, flat, and how many belong to each part.
+
+        They are encoded as that text; the bytes that the ids stand for tell where each part ends.
+        """
+        ids = np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        lengths = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(lengths), "left") + 1
+        counts = np.diff(ends, prepend=0)
+        doubtful = [i for i, p in enumerate(parts) if self.doubtful(p)]
+        if doubtful:
+            split = np.split(ids, ends[:-1])
+            for i in doubtful:
+                split[i] = np.array(self.exact(parts[i]), dtype=np.int64)
+                counts[i] = len(split[i])
+            ids = np.concatenate(split)
+        return ids, counts
+
+    def doubtful(self, part: str) -> bool:
+        return len(part) > 64 or _DOUBTFUL.search(part) is not None
 
     def exact(self, part: str) -> list[int]:
         return self.check.encode_ordinary(part)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids: their characters, each turned back by the byte table."""
-        return bytes(map(self.byte_of.__getitem__, "".join(map(self.shown.__getitem__, ids))))
+        return "".join(map(self.shown.__getitem__, ids)).translate(self.byte_of).encode("latin-1")
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as ids come in; a character split between ids appears with the id that completes it."""
@@ -94,37 +123,40 @@ class PartMemory:
         #: By the text after a space, and by the text at a beginning.
         self.after, self.first = {}, {}
 
-    def value(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b"".join(b"%d," % i for i in ids), self.bpe.decode(ids)
-
-    def learn(self, known: dict, lead: str, parts: list[str]) -> None:
-        if len(known) > REMEMBERED:
+    def learn(self, known: dict, parts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(known) > REMEMBERED:  # what this batch lacks is learned here, the rest of it is found already
             known.clear()
-        for part, ids in zip(parts, self.bpe.encode([lead + p for p in parts]), strict=True):
-            known[part] = self.value(ids)
+        bpe, flat = self.bpe, ids.tolist()
+        decimals, decoded = b"".join(map(bpe.decimal.__getitem__, flat)), bpe.decode(flat)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.concatenate([[0], np.cumsum(bpe.digits[ids])])[ends].tolist()
+        to = np.concatenate([[0], np.cumsum(bpe.size[ids])])[ends].tolist()
+        for i, part in enumerate(parts):
+            known[part] = (decimals[at[i] : at[i + 1]], decoded[to[i] : to[i + 1]])
+
+    def learn_first(self, parts: list[str]) -> None:
+        if parts:
+            ids = self.bpe.encode(parts)
+            flat = np.fromiter((i for x in ids for i in x), np.int64)
+            self.learn(self.first, parts, flat, np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text all its ids as decimals, a comma after each, and the bytes they decode to."""
         # Without doubled white space no match crosses from one part to the next: a match takes at most one space, in front.
         split = [[t] if _UNUSUAL.search(t) else t.split(" ") for t in texts]
-        self.learn(self.first, "", list({s[0] for s in split} - self.first.keys()))
-        get = self.after.get
-        found = [list(map(get, s[1:])) for s in split]
-        missing = {p for s, v in zip(split, found, strict=True) if None in v for p in s[1:] if p not in self.after}
+        self.first.clear()  # beginnings and unusual texts do not come again
+        self.learn_first(list({s[0] for s in split}))
+        heads = [self.first[s[0]] for s in split]
+        found = [list(map(self.after.get, s[1:])) for s in split]
+        gaps = [[i for i, x in enumerate(v) if x is None] for v in found]
+        missing = {s[i + 1] for s, g in zip(split, gaps, strict=True) for i in g}
         if missing:
-            self.learn(self.after, " ", list(missing))
-            for i, (s, v) in enumerate(zip(split, found, strict=True)):
-                if None in v:
-                    v = [x or get(p) for p, x in zip(s[1:], v, strict=True)]
-                    if None in v:  # learn() emptied the memory
-                        self.learn(self.after, " ", list({p for p in s[1:] if p not in self.after}))
-                        v = list(map(get, s[1:]))
-                    found[i] = v
-        out = []
-        for s, v in zip(split, found, strict=True):
-            v.insert(0, self.first[s[0]])
-            out.append((b"".join([x[0] for x in v]), b"".join([x[1] for x in v])))
-        return out
+            parts = list(missing)
+            self.learn(self.after, parts, *self.bpe.encode_run([" " + p for p in parts]))
+            for s, v, g in zip(split, found, gaps, strict=True):
+                for i in g:
+                    v[i] = self.after[s[i + 1]]
+        return [(b"".join([head[0], *[x[0] for x in v]]), b"".join([head[1], *[x[1] for x in v]])) for head, v in zip(heads, found, strict=True)]
 
 
 @cache

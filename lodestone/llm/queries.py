@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytebpe, embed_dedup, linededup, ngram_join, packing, toxicity, winnow, wordbpe
+from lodestone.llm import bytebpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, toxicity, winnow, wordbpe
 from lodestone.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.neighbours(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_html_text": op7_html_text,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,

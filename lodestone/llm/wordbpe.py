@@ -25,8 +25,8 @@ from lodestone.llm.common import slices, texts_of, utf8_lengths
 
 #: Words remembered by a Python worker; the memory is emptied beyond it.
 REMEMBERED = 800_000
-#: Symbols merged at once.
-SYMBOLS = 2_000_000
+#: New words merged at once.
+WORDS = 50_000
 
 NONE = np.iinfo(np.int64).max
 
@@ -34,6 +34,11 @@ NONE = np.iinfo(np.int64).max
 _LETTERS = "".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == "L")
 _NUMBERS = "".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == "N")
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: 0 letters, 1 numbers, 2 others, 3 the line feed between words.
+_KINDS = np.full(0x250, 2, np.int8)
+_KINDS[[ord(c) for c in _LETTERS]] = 0
+_KINDS[[ord(c) for c in _NUMBERS]] = 1
+_KINDS[10] = 3
 #: Characters for which str.split or the pattern above could differ from the library, and the mark of its added tokens.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
 
@@ -168,52 +173,60 @@ class WordMemory:
         self.unmap = {c: b for b, c in enumerate(byte_characters())}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED:  # what this batch lacks is learned below, the rest of it is found already
             self.known.clear()
-        pieces, counts = [], []
-        for word in words:
-            found = [x.encode() for x in self.bpe.pretokens(word)]
-            pieces += found
-            counts.append(len(found))
-        for word, value in zip(words, self.values(pieces, counts), strict=True):
-            self.known[word] = value
+        quoted = [w for w in words if "'" in w]
+        if quoted:
+            words = [w for w in words if "'" not in w]
+            pieces = [[x.encode() for x in self.bpe.pretokens(w)] for w in quoted]
+            self.known.update(zip(quoted, self.values([x for p in pieces for x in p], list(map(len, pieces))), strict=True))
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            self.known.update(zip(part, self.plain(part), strict=True))
+
+    def plain(self, words: list[str]) -> list:
+        """Values of words without apostrophes: pre-tokens are runs of letters, single numbers, runs of others."""
+        text = "\n".join(words).lower() + "\n"
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = _KINDS[points]
+        begins = (kind != np.concatenate([[3], kind[:-1]])) | (kind == 1)
+        inside = kind != 3
+        width = 1 + (points >= 0x80).astype(np.int64)  # UTF-8 bytes of these characters
+        piece = np.cumsum(begins & inside)[inside] - 1
+        lengths = np.bincount(piece, weights=width[inside]).astype(np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)[np.repeat(inside, width)]
+        symbols, ends = self.bpe.inner[data], np.cumsum(lengths) - 1
+        symbols[ends] = self.bpe.last[data[ends]]
+        flat, n = self.bpe.merger.merge(symbols, lengths)
+        word = np.cumsum(~inside)[np.flatnonzero(begins & inside)]
+        return self.cut(flat, np.bincount(word, weights=n, minlength=len(words)).astype(np.int64))
+
+    def cut(self, flat: np.ndarray, counts: np.ndarray) -> list:
+        if not self.ids:
+            return counts.tolist()
+        data = flat.astype("<u4").tobytes()
+        cuts = [0, *(np.cumsum(counts) * 4).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def values(self, pieces: list[bytes], counts: list[int]) -> list:
         """For each group of counts[i] pieces: its ids as little-endian bytes, or its number of tokens."""
         if not pieces:
             return [b"" if self.ids else 0] * len(counts)
-        flat, lengths = [], []
-        at, size = 0, 0
-        for i, piece in enumerate(pieces):
-            size += len(piece)
-            if size > SYMBOLS or i == len(pieces) - 1:
-                f, n = self.bpe.merged(pieces[at : i + 1])
-                flat.append(f)
-                lengths.append(n)
-                at, size = i + 1, 0
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])[np.concatenate([[0], np.cumsum(counts)])]
-        if not self.ids:
-            return np.diff(ends).tolist()
-        data = np.concatenate(flat).astype("<u4").tobytes()
-        cuts = (ends * 4).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        flat, lengths = self.bpe.merged(pieces)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return self.cut(flat, np.diff(ends))
 
     def words(self, texts: list[str]) -> list[list]:
         """For each text the values of its words, in order."""
         split = [None if _UNUSUAL.search(t) else t.split() for t in texts]
-        get = self.known.get
-        out = [None if s is None else list(map(get, s)) for s in split]
-        missing = {w for s, v in zip(split, out, strict=True) if s is not None and None in v for w in s if w not in self.known}
+        out = [None if s is None else list(map(self.known.get, s)) for s in split]
+        gaps = [[] if v is None else [i for i, x in enumerate(v) if x is None] for v in out]
+        missing = {s[i] for s, g in zip(split, gaps, strict=True) for i in g}
         if missing:
             self.learn(list(missing))
-            # learn() may have emptied the memory, so a text's words may be asked for once more.
-            for i, (s, v) in enumerate(zip(split, out, strict=True)):
-                if s is not None and None in v:
-                    again = [x if x is not None else get(w) for w, x in zip(s, v, strict=True)]
-                    if None in again:
-                        self.learn([w for w in dict.fromkeys(s) if w not in self.known])
-                        again = list(map(get, s))
-                    out[i] = again
+            for s, v, g in zip(split, out, gaps, strict=True):
+                for i in g:
+                    v[i] = self.known[s[i]]
         return [self.unusual(t) if v is None else v for t, v in zip(texts, out, strict=True)]
 
     def unusual(self, text: str) -> list:

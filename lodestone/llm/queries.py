@@ -63,4 +63,26 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The same templates with words joined by spaces in place of hashes.
+LINE_DEDUP_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
+plain as (select doc_id, pos, line, trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), ' ') as p from lines),
+words as (select doc_id, pos, line, string_split(case when regexp_matches(p, '[0-9]') then regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') else p end, ' ') as w from plain),
+parts as (select doc_id, pos, line, w, len(w) as n, len(w) // 4 as q from words),
+leaves as (
+  select doc_id, pos, unnest(case
+    when n >= 8 then [
+      concat_ws(' ', '2', n, array_to_string(w[1:3], ' '), array_to_string(w[1:q], ' '), array_to_string(w[2*q+1:n], ' ')),
+      concat_ws(' ', '3', n, array_to_string(w[1:3], ' '), array_to_string(w[1:2*q], ' '), array_to_string(w[3*q+1:n], ' ')),
+      concat_ws(' ', '4', n, array_to_string(w[1:3], ' '), array_to_string(w[1:3*q], ' '))]
+    when n >= 3 then [concat_ws(' ', '0', n, array_to_string(w, ' '))] else [] end) as leaf from parts),
+recurring as (select leaf, min(doc_id) as first_id from leaves group by 1 having min(doc_id) <> max(doc_id)),
+gone as (select distinct doc_id, pos from leaves join recurring using (leaf) where doc_id <> first_id),
+counts as (select doc_id, count(*) as n from gone group by 1),
+kept as (select doc_id, string_agg(line, chr(10) order by pos) as t from lines anti join gone using (doc_id, pos) group by 1),
+joined as (select d.*, coalesce(c.n, 0) as n_gone, case when c.n is null then d.text else coalesce(k.t, '') end as new_text
+  from documents d left join counts c using (doc_id) left join kept k using (doc_id))
+select doc_id, new_text as text, lang, source, case when n_gone > 0 then length(new_text) else n_chars end as n_chars, n_gone as n_dropped from joined"""
+
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}

@@ -9,7 +9,7 @@ from datetime import datetime
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,11 +36,16 @@ def _unzip(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """A row for every entry of the archives at path, in the order of the directory.  What is no archive gives no row; see unreadable()."""
+    """A row for every entry of the archives at path, in the order of the directory.  What is no archive gives no row."""
+    return unzip(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzip(files: DataFrame) -> DataFrame:
+    """The entries of files (path, content)."""
     schema = StructType.fromDDL(ENTRIES)
     kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.timestamp("us", "UTC"), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
@@ -56,8 +61,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(unzip, schema)
+    return files.mapInArrow(run, schema)
 
 
 def named(entries: DataFrame) -> DataFrame:
@@ -97,8 +101,6 @@ def put(entries: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def _by_name():
-    from pyspark.sql import Window
-
     return Window.partitionBy("archive").orderBy("entry_name")
 
 

@@ -145,3 +145,47 @@ def test_clean_up_of_jumps(spark):
     told = [(r.kind, r.opcode, r.target_label) for r in out if r.kind != "label"]
     # nops go, jumps to jumps end at 9, the one right before 9 goes too, the circle stays
     assert told == [("branch", 0xA7, 9), ("branch", 0xA7, 9), ("raw", 4, None), ("raw", 0xB1, None), ("branch", 0xA7, 11)]
+
+
+def test_frames_reach_javac_s_limits(parsed):
+    from lodestone.operators import frames
+
+    items = classfile.code_items(parsed, KEY)
+    methods, classes = classfile.methods(parsed, KEY).persist(), classfile.classes(parsed, KEY)
+    chains = hierarchy.superclasses(hierarchy.edges_of(classes))
+    found = frames.simulate(items, classfile.handlers(parsed, KEY), methods, classes, chains, KEY)
+    both = found.join(methods.select(*KEY, F.col("ordinal").alias("method_ordinal"), "name", F.col("max_stack").alias("s"), F.col("max_locals").alias("l")), [*KEY, "method_ordinal"]).collect()
+    assert len(both) > 10
+    for r in both:
+        assert r.error is None, r
+        assert r.max_stack == r.s and r.max_locals <= r.l, r
+    careful = next(r for r in both if r.name == "careful")
+    assert any(f.stack == ["java/lang/NumberFormatException"] for f in careful.frames)
+    assert any(f.stack == ["java/lang/Throwable"] for f in careful.frames)
+
+
+def test_frames_tell_what_cannot_be(spark):
+    from lodestone.operators.frames import Method, Unverifiable
+
+    raw = lambda op: {"kind": "raw", "opcode": op}
+    m = Method("A", "f", "(J)V", False, {"B": ["A", "java/lang/Object"], "C": ["A"]})
+    assert m.start() == ([], ["A", "long", "top"])
+    assert m.join("B", "C") == "A" and m.join("null", "B") == "B" and m.join("int", "B") == "top" and m.join("[I", "B") == "java/lang/Object"
+    with pytest.raises(Unverifiable):
+        m.run([raw(0x57), raw(0xB1)], {0: [1]}, {})
+    with pytest.raises(Unverifiable):
+        m.run([raw(0xCA)], {}, {})
+    states, stack, local = m.run([raw(0x09), raw(0x5C), raw(0x58), raw(0x58), raw(0xB1)], {i: [i + 1] for i in range(4)}, {})
+    assert (stack, local, states[4][0]) == (4, 3, [])
+
+
+def test_signatures_follow_the_grammar(spark):
+    from lodestone.functions import signatures
+
+    good = {"class": ["<T:Ljava/lang/Object;:Ljava/lang/Runnable;>La/B<TT;>.C<*>;Lx/I;", "Ljava/lang/Object;"], "method": ["<T:>(TT;[I+Lx;)V", "()Lx/Y<+TT;-[J>;^TE;", "(IJ[[D)V^Lx;"], "field": ["TT;", "[Lx/Y<[I>;", "La<La<La;>;>;"]}
+    good["method"][0] = "<T:Lx;>(TT;[ILx;)V"
+    bad = {"class": ["", "I", "<>Lx;", "Lx"], "method": ["()", "(V)V", "<T>()V", "()VV"], "field": ["I", "L;", "Lx<>;", "Lx;;", "Lx//y;"]}
+    for kind in good:
+        rows = spark.createDataFrame([(t, True) for t in good[kind]] + [(t, False) for t in bad[kind]], "t string, ok boolean")
+        for r in rows.withColumn("found", signatures.is_valid(kind)(F.col("t"))).collect():
+            assert r.found == r.ok, (kind, r.t)

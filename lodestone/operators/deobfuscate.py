@@ -68,3 +68,10 @@ def clean(items: DataFrame, by: list[str], order: str = "ordinal", most_rounds:
         marked = items.join(idle.withColumn("_idle", F.lit(True)), [*by, order], "left")
         items = remove(marked, F.coalesce("_idle", F.lit(False)), by, order).select(*items.columns)
     return items
+
+
+def remove_nops_of_straight_code(items: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:
+    """Nops go from methods without labels, branches and switches only."""
+    moving = items.where(F.col("kind").isin("label", "branch", "lookup_switch", "table_switch")).select(*by).distinct()
+    straight = items.join(moving, by, "left_anti")
+    return remove_nops(straight, by, order).unionByName(items.join(moving, by, "left_semi"))

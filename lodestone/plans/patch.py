@@ -1,8 +1,10 @@
 """Patch plans: rules from a JSON file, applied in order, with counters for each rule.
 
 A rule has a kind (class, field, method), a matcher, for members an owner
-matcher, and an action.  Patterns search anywhere, as rule files expect.  The
-report has for each rule the classes and targets matched and changed.
+matcher, and an action; a method rule may have code actions too.  Patterns
+search anywhere, as rule files expect.  The report has for each rule the classes
+and targets matched and changed; what a code action matches counts as changed,
+sequences without overlap.
 """
 
 from __future__ import annotations
@@ -15,11 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from lodestone.functions import flags as bits
-from lodestone.operators import matchers
+from lodestone.operators import matchers, sequences
 from lodestone.plans.pipeline import Catalog
 
 TABLES = {"class": "classes", "field": "fields", "method": "methods"}
-RULE_KEYS = {"kind", "name", "matcher", "owner", "action"}
+RULE_KEYS = {"kind", "name", "matcher", "owner", "action", "code_actions"}
+#: Code actions and their keys.
+CODE_ACTIONS = {
+    "remove-insn": {"matcher"},
+    "replace-insn": {"matcher", "replacement"},
+    "insert-before": {"matcher", "items"},
+    "insert-after": {"matcher", "items"},
+    "remove-sequence": {"pattern"},
+    "replace-sequence": {"pattern", "replacement"},
+    "redirect-method-call": {"from", "to"},
+    "redirect-field-access": {"from", "to"},
+    "replace-string": {"from", "to"},
+    "sequence": {"actions"},
+}
+BY, ORDER = ["class_id", "method_ordinal"], "item_ordinal"
 
 
 def load(text: str) -> list[dict]:
@@ -33,10 +49,55 @@ def load(text: str) -> list[dict]:
             raise ValueError(f"unknown keys in rule {i}: {sorted(unknown)}")
         if rule.get("kind") not in TABLES:
             raise ValueError(f"unknown kind of rule {i}: {rule.get('kind')!r}")
-        rules.append({"name": f"rule-{i}", "matcher": {}, "owner": {}} | rule)
+        actions = rule.get("code_actions", [])
+        if actions and rule["kind"] != "method":
+            raise ValueError(f"rule {i} of kind {rule['kind']} has code actions")
+        if not actions and "action" not in rule:
+            raise ValueError(f"rule {i} has no action")
+        for action in flat(actions):
+            known = CODE_ACTIONS.get(action.get("type"))
+            if known is None or set(action) - known - {"type"}:
+                raise ValueError(f"unknown code action or keys in rule {i}: {action}")
+        rules.append({"name": f"rule-{i}", "matcher": {}, "owner": {}, "action": None, "code_actions": []} | rule)
     return rules
 
 
+def flat(actions: list[dict]) -> list[dict]:
+    """Actions with sequences taken apart, in order."""
+    return [x for a in actions for x in (flat(a["actions"]) if a.get("type") == "sequence" else [a])]
+
+
+def item_test(spec: dict) -> Column:
+    """Code items whose columns have the given values; an opcode of a constant load means all of its forms."""
+    of = matchers.insns
+    tests = [of.opcode(v) if k == "opcode" else matchers.Matcher.of(F.col(k) == F.lit(v), k) for k, v in spec.items()]
+    return matchers.all_of(*tests, ~of.is_label()).column if spec else F.lit(False)
+
+
+def edit_code(items: DataFrame, action: dict) -> tuple[DataFrame, DataFrame]:
+    """The edited items of all methods, and (class_id, n) of what the action matched."""
+    what = action["type"]
+    per_class = lambda df: df.groupBy("class_id").agg(F.count("*").alias("n"))
+    if what.endswith("-sequence"):
+        pattern = [item_test(p) for p in action["pattern"]]
+        return sequences.replace_sequences(items, pattern, action.get("replacement", []), BY, ORDER), per_class(sequences.find_greedy(items, pattern, BY, ORDER))
+    if what in ("redirect-method-call", "redirect-field-access", "replace-string"):
+        if what == "replace-string":
+            hit, values = (F.col("kind") == "ldc") & (F.col("ldc_string") == action["from"]), {"ldc_string": action["to"]}
+        else:
+            kinds = matchers.Instructions.CALLS[:2] if what == "redirect-method-call" else ("field",)
+            parts = {k: v for k, v in action["from"].items() if what == "redirect-method-call" or k != "descriptor"}
+            hit, values = F.col("kind").isin(*kinds) & item_test(parts), action["to"]
+        hit = F.coalesce(hit, F.lit(False))
+        return items.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}), per_class(items.where(hit))
+    hit = item_test(action["matcher"])
+    counts = per_class(items.where(hit))
+    if what == "remove-insn":
+        return sequences.remove(items, hit, BY, ORDER), counts
+    place = {"replace-insn": "replace", "insert-before": "before", "insert-after": "after"}[what]
+    return sequences.splice(items, hit, action.get("replacement", action.get("items", [])), BY, ORDER, place), counts
+
+
 def new_values(kind: str, action: dict) -> dict[str, Column] | None:
     """The columns that an action sets, as expressions of the old ones; None: the rows go."""
     of = {"class": bits.CLASS_FLAGS, "field": bits.FIELD_FLAGS, "method": bits.METHOD_FLAGS}[kind]
@@ -77,7 +138,7 @@ def apply(catalog: Catalog, rules: list[dict]) -> tuple[Catalog, DataFrame]:
         else:
             owners = catalog.classes.where(matchers.from_json("class", rule["owner"]).column).select("class_id", F.lit(True).alias("_own"))
             marked = rows.join(owners, "class_id", "left").withColumn("_hit", F.coalesce("_own", F.lit(False)) & hit).drop("_own")
-        values = new_values(kind, rule["action"])
+        values = new_values(kind, rule["action"]) if rule["action"] else {}
         if values is None:
             marked, after = marked.withColumn("_new", F.col("_hit")), lambda df: df.where("not _hit")
         else:
@@ -88,6 +149,20 @@ def apply(catalog: Catalog, rules: list[dict]) -> tuple[Catalog, DataFrame]:
             after = lambda df, v=values, r=rows: df.withColumns({c: F.when(F.col("_hit"), typed(r, c, x)).otherwise(F.col(c)) for c, x in v.items()})
         once = lambda flag: F.count_distinct(F.when(F.col(flag), F.col("class_id")))
         count = marked.agg(once("_hit").alias("matched_classes"), once("_new").alias("changed_classes"), F.count_if("_hit").alias("matched_targets"), F.count_if("_new").alias("changed_targets"))
+        if rule["code_actions"]:
+            inside = marked.where("_hit").select("class_id", F.col("ordinal").alias("method_ordinal")).distinct().withColumn("_in", F.lit(True))
+            items = catalog.code_items.join(inside, BY, "left")
+            chosen, rest = items.where("_in").drop("_in"), items.where("_in is null").select(*catalog.code_items.columns)
+            told = None
+            for action in flat(rule["code_actions"]):
+                chosen, n = edit_code(chosen, action)
+                told = n if told is None else told.unionAll(n)
+            code = told.agg(F.count_distinct("class_id").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
+            if not rule["action"]:  # code actions alone: the targets are what they match
+                count = code.select(F.col("c").alias("matched_classes"), F.col("c").alias("changed_classes"), F.col("t").alias("matched_targets"), F.col("t").alias("changed_targets"))
+            else:
+                count = count.crossJoin(F.broadcast(code)).select(*(F.col(f"{a}_classes") for a in ("matched", "changed")), *((F.col(f"{a}_targets") + F.col("t")).alias(f"{a}_targets") for a in ("matched", "changed")))  # one row with one row
+            catalog = replace(catalog, code_items=chosen.select(*catalog.code_items.columns).unionByName(rest))
         count = count.select(F.lit(number).alias("ordinal"), F.lit(rule["name"]).alias("rule"), F.lit(kind).alias("kind"), "*")
         counts = count if counts is None else counts.unionByName(count)
         catalog = replace(catalog, **{table: after(marked).select(*rows.columns)})

@@ -204,6 +204,19 @@ def code_rules(items: DataFrame, methods: DataFrame) -> DataFrame:
     return violations(counts, empty, place).unionByName(violations(missing, dangling, place))
 
 
+def simulation_rules(frames: DataFrame, methods: DataFrame) -> DataFrame:
+    """Methods whose simulation fails; frames as from lodestone.operators.frames, keyed by class_id."""
+    heads = methods.select("class_id", F.col("ordinal").alias("method_ordinal"), F.col("name").alias("member_name"), F.col("descriptor").alias("member_descriptor"))
+    failed = frames.where("error is not null").join(heads, ["class_id", "method_ordinal"])
+    return violations(failed, [Rule("code", F.col("error"), F.lit(True))], {c: c for c in ("class_id", "member_name", "member_descriptor")})
+
+
+def stale_debug_rules(classes: DataFrame) -> DataFrame:
+    """Classes (class_id, name, debug_state) whose debug data is marked stale."""
+    rule = Rule("attribute", "Class debug metadata is marked stale and will be stripped during lowering", F.col("debug_state") == "stale", "WARNING")
+    return violations(classes, [rule], {"class_id": "class_id", "class_name": "name"})
+
+
 def verify(classes: DataFrame, fields: DataFrame, methods: DataFrame, attributes: DataFrame | None = None, pool: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """All violations of a corpus; tables that are not given are not checked."""
     found = [class_rules(classes), field_rules(fields, classes), method_rules(methods, classes)]

@@ -49,3 +49,8 @@ def element_type(field: Column) -> Column:
 def class_name(field: Column) -> Column:
     """Internal name of an object type, null for others."""
     return F.when(field.rlike(r"\AL[^;]+;\z"), F.regexp_extract(field, r"\AL([^;]+);\z", 1))
+
+
+def component_type(field: Column) -> Column:
+    """The type of an array's elements, itself an array or not; null for others."""
+    return F.when(field.startswith("["), F.substring(field, 2, 1 << 30))

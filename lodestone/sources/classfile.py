@@ -62,6 +62,12 @@ def decode_modified_utf8(raw: bytes) -> str | None:
         return None
 
 
+def encode_modified_utf8(text: str) -> bytes:
+    """The class-file form: NUL as two bytes, characters beyond U+FFFF as two surrogates of three bytes each."""
+    units = struct.unpack(f">{len(text.encode('utf-16-be', 'surrogatepass')) // 2}H", text.encode("utf-16-be", "surrogatepass"))
+    return b"".join(b"\xc0\x80" if u == 0 else chr(u).encode("utf-8", "surrogatepass") for u in units)
+
+
 class Reader:
     """Walks one class file."""
 

@@ -189,3 +189,46 @@ def test_signatures_follow_the_grammar(spark):
         rows = spark.createDataFrame([(t, True) for t in good[kind]] + [(t, False) for t in bad[kind]], "t string, ok boolean")
         for r in rows.withColumn("found", signatures.is_valid(kind)(F.col("t"))).collect():
             assert r.found == r.ok, (kind, r.t)
+
+
+def test_lengths_add_up_to_pcs(parsed):
+    from lodestone.functions import opcodes
+    from lodestone.operators.sequences import running_sum
+
+    items = classfile.code_items(parsed, KEY)
+    by = [*KEY, "method_ordinal"]
+    straight = items.join(items.where("kind like '%switch'").select(*by).distinct(), by, "left_anti")
+    placed = straight.withColumn("at", running_sum(opcodes.length(), by, "item_ordinal")).where("kind != 'label'")
+    assert placed.count() > 100 and placed.where("at != pc").isEmpty()
+    padded = items.where("kind like '%switch'").select(opcodes.switch_padding(F.col("pc")).alias("p"), "pc").collect()
+    assert all((r.pc + 1 + r.p) % 4 == 0 for r in padded)
+
+
+def test_opcode_columns(spark):
+    from lodestone.functions import descriptors, opcodes
+
+    row = spark.range(1).select(
+        opcodes.shortcut(F.lit(0x15), F.lit(2)).alias("a"), opcodes.shortcut(F.lit(0x3A), F.lit(4)).alias("b"), opcodes.implicit_slot(F.lit(0x1C)).alias("c"),
+        opcodes.inverted_branch(F.lit(0x99)).alias("d"), opcodes.inverted_branch(F.lit(0xC7)).alias("e"), opcodes.short_constant(F.lit("int"), F.lit(-1)).alias("f"),
+        opcodes.fits_short(F.lit(40000)).alias("g"), descriptors.component_type(F.lit("[[I")).alias("h"), descriptors.element_type(F.lit("[[I")).alias("i"),
+    ).first()
+    assert tuple(row) == (0x1C, None, 2, 0x9A, 0xC6, 2, False, "[I", "I")
+    assert opcodes.equivalents(spark).count() == 14
+
+
+def test_modified_utf8_goes_round():
+    for text in ("", "plain", "a\x00b", "é日", "😀 x", "\ud800"):
+        raw = classfile.encode_modified_utf8(text)
+        assert b"\x00" not in raw
+        assert classfile.decode_modified_utf8(raw) == (None if text == "\ud800" else text)
+    assert classfile.decode_modified_utf8(b"\xff") is None
+
+
+def test_handler_tables_are_compared_place_by_place(spark):
+    from lodestone.operators import diff
+
+    kind = "m int, handler_ordinal bigint, v string, s string"
+    a = spark.createDataFrame([(1, 0, "0,4,9,E", "E"), (2, 0, "0,1,2,E", "E"), (2, 1, "x", "x")], kind)
+    b = spark.createDataFrame([(1, 0, "0,5,9,F", "F"), (2, 0, "0,1,2,E", "E")], kind)
+    found = {(r.m, r.handler_ordinal, r.severity) for r in diff.sequence_diff(a, b, ["m"], "handler_ordinal", "v", "s").collect()}
+    assert found == {(1, 0, "ERROR"), (2, -1, "ERROR")}

@@ -55,8 +55,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_ngram_join_finds_all_links(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, 48), (5, 80, 3), (1, 50, 1)])
+def test_ngram_join_finds_all_links(spark, monkeypatch, k, percent, small):
+    monkeypatch.setattr(ngram_join, "SMALL_LIST", small)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 20)
     texts = corpus()
     ids = [i * 3 + 7 for i in range(len(texts))]
     table = spark.createDataFrame([(i, t, 0, "x") for i, t in zip(ids, texts)], "doc_id long, text string, n int, own string").repartition(3)

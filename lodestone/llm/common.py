@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources import scratch
+
 #: Documents handled at once inside a task; bounds the Python objects alive.
-SLICE = 256
+SLICE, SLICE_BYTES = 256, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Intermediate tables in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is unset (tests) is a local folder used.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        self.base = f"{base or _local_folder()}/{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back, which cuts its lineage and survives lost executors."""
-        path = f"{self.base}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
-_folder: list[str] = []
-
+class Scratch(scratch.Scratch):
+    """Written tables, which can also be deleted once nothing reads them again."""
 
-def _local_folder() -> str:
-    if not _folder:
-        _folder.append(tempfile.mkdtemp(prefix="spark-"))
-    return _folder[0]
+    def drop(self, df: DataFrame) -> None:
+        jvm = self.spark._jvm
+        for file in df.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most `rows` rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most `rows` rows and about `size` bytes of text, one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        bytes_before = np.zeros(batch.num_rows + 1, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                bytes_before[1:] += np.cumsum(utf8_lengths(column).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(bytes_before, bytes_before[at] + size, "right")) - 1
+            to = max(at + 1, min(to, at + rows, batch.num_rows))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -60,10 +60,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int,
     return again.groupBy("id", "mark").agg(F.collect_set("pos").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 3, long_words: int = 8) -> DataFrame:
-    """docs with the lines of recurring templates dropped from all documents but the first, and n_dropped, the lines that went.
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 3, long_words: int = 8, count_col: str | None = "n_dropped") -> DataFrame:
+    """docs with the lines of recurring templates dropped from all documents but the first.
 
-    A column n_dropped of docs is replaced.
+    The lines that went are counted in count_col (None: nowhere), which replaces a column of that name.
     """
     gone = dropped_lines(docs, id_col, text_col, least_words, long_words)
     left, right = docs.alias("l"), gone.alias("r")
@@ -74,5 +74,6 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = {text_col: F.when(changed, kept).otherwise(text)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(changed, F.length(kept)).otherwise(F.col("l.n_chars")).cast(docs.schema["n_chars"].dataType)
-    columns = [out.get(c, F.col(f"l.`{c}`")).alias(c) for c in docs.columns if c != "n_dropped"]
-    return joined.select(*columns, F.when(changed, F.size(drop)).otherwise(0).alias("n_dropped"))
+    columns = [out.get(c, F.col(f"l.`{c}`")).alias(c) for c in docs.columns if c != count_col]
+    counted = [] if count_col is None else [F.when(changed, F.size(drop)).otherwise(0).alias(count_col)]
+    return joined.select(*columns, *counted)

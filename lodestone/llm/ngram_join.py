@@ -10,10 +10,11 @@
    group; each prefix shingle has the list of groups that hold it.
 4. Groups of a list are compared by size and by how many shingles can still be
    shared from their positions on; what passes is expanded to the groups'
-   distinct sets, and these are verified by intersection.
+   distinct sets.  Parity bitmaps bound how much two sets differ from below and
+   refuse most false pairs; the rest are verified by intersection.
 5. Links are wanted for components, so pairs already joined need no
-   verification: some rounds compare each list with one pivot only, and a last
-   one compares all that are in different components still.  No list is cut.
+   verification: at first each list is compared with a few pivots only, then all
+   that are in different components still are compared.  No list is cut.
 
 Null or empty texts and texts without words have empty sets, n_shingles 0, and
 are linked with nothing.  Equal texts, repeated rows and repeated ids are fine:
@@ -26,19 +27,29 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, slices, texts_of
 from lodestone.llm.components import components
 
 #: Slots of the count table, and in how many pieces it is summed.
-SLOTS, PIECES = 1 << 20, 16
-#: Rounds that compare each list with one pivot, before all that is left is compared.
-PIVOT_ROUNDS = 3
+SLOT_BITS, PIECES = 23, 32
+SLOTS = 1 << SLOT_BITS
+#: Bits of a set's parity bitmap.
+BITS = 1024
+#: Lists up to this size are compared throughout; the others by pivots first.
+SMALL_LIST = 48
+#: Of a set's large lists so many are remembered, so that a pair comes up in one of them only.
+REMEMBERED_LISTS = 32
+#: Sets of a list's largest component that its other sets are compared with, before all of them are.
+PIVOTS = 16
+#: Ids of wanted documents that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -109,7 +120,7 @@ def shingles(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def shingle_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
@@ -117,31 +128,35 @@ def shingle_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     size = SLOTS // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int32 if SLOTS > 1 << 16 else np.int64)
         for batch in slices(batches):
-            grams = shingles(texts_of(batch[0]), k)
-            counts += np.bincount(_slot(np.concatenate(grams)), minlength=SLOTS)
-        kind = np.int32 if counts.max() < 2**31 else np.int64
+            slots = _slot(np.concatenate(shingles(texts_of(batch[0]), k)))
+            np.add.at(counts, slots, 1)
         for i in range(PIECES):
             piece = counts[i * size : (i + 1) * size]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], ["piece", "counts"])
+                # A byte for each slot, and the rest of those that need more.
+                large = np.flatnonzero(piece > 255)
+                rest = np.stack([large, piece[large] - 255]).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(piece, 255).astype(np.uint8).tobytes() + rest], pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, counts in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                counts = np.frombuffer(counts, np.int32 if len(counts) == 4 * size else np.int64)
-                sums[piece] = sums.get(piece, 0) + counts.astype(np.int64)
+                total = sums.setdefault(piece, np.zeros(size, np.int64))
+                total += np.frombuffer(counts, np.uint8, size)
+                large, more = np.frombuffer(counts, "<i8", offset=size).reshape(2, -1)
+                total[large] += more
         for piece, counts in sums.items():
-            levels = np.round(16 * np.log2(counts + 1)).astype("<u2")
+            levels = np.round(4 * np.log2(counts + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["piece", "counts"])
 
     kind = "piece int, counts binary"
     rows = docs.select(text_col).mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()
-    levels = np.zeros(SLOTS, np.uint16)
+    levels = np.zeros(SLOTS, np.uint8)
     for piece, counts in rows:
-        levels[piece * size : (piece + 1) * size] = np.frombuffer(counts, "<u2")
+        levels[piece * size : (piece + 1) * size] = np.frombuffer(counts, np.uint8)
     return levels
 
 
@@ -152,10 +167,17 @@ def _digest(*arrays: np.ndarray) -> bytes:
     return h.digest()
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: of each residue whether an odd number of hashes has it.  Two sets differ in as many members at least as their bits do."""
+    odd = (np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def prefixes(docs: DataFrame, id_col: str, text_col: str, sim: Similarity, levels: np.ndarray) -> DataFrame:
-    """(id, mark, n, own, grp, prefix): own names the set, grp its prefix and size; both null for empty sets."""
+    """(id, mark, n, own, grp, bits, prefix): own names the set, grp its prefix and size; all null for empty sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "mark", "n", "own", "grp", "prefix"]
+    names = ["id", "mark", "n", "own", "grp", "bits", "prefix"]
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,26 +186,27 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sim: Similarity, level
                 found = np.unique(grams)
                 n = len(found)
                 if not n:
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 order = np.argsort(levels[_slot(found)], kind="stable")
                 prefix = found[order[: sim.prefix(n)]].view(np.int64)
-                rows.append((n, _digest(found), _digest(prefix, np.array([n])), prefix))
-            n, own, group, prefix = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(n, pa.int32()), pa.array(own, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names)
+                rows.append((n, _digest(found), _digest(prefix, np.array([n])), parities(found), prefix))
+            n, own, group, bits, prefix = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(n, pa.int32()), pa.array(own, pa.binary()), pa.array(group, pa.binary()), pa.array(bits, longs), pa.array(prefix, longs)], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, mark long, n int, own binary, grp binary, prefix array<long>")
+    return rows.mapInArrow(run, f"id {id_type}, mark long, n int, own binary, grp binary, bits array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, sim: Similarity, wanted: DataFrame) -> DataFrame:
-    """(own, shingles) for the sets of the documents whose ids are in wanted (id)."""
+    """(own, shingles) of the documents whose ids are in wanted (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [np.unique(g) for g in shingles(texts_of(batch[0]), sim.words)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["own", "shingles"])
 
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d")
     rows = rows.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
     return rows.mapInArrow(run, "own binary, shingles array<long>")
@@ -192,54 +215,120 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, sim: Similarity, wanted
 def set_lists(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """(list, own, n, pos): for each prefix shingle of two groups at least the sets that hold it; for each group of two sets at least these."""
     groups = rows.where("n > 0").groupBy("grp").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    tokens = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "list"))
-    shared = rows.where("n > 0").select("grp", "n", "prefix").groupBy("grp").agg(F.any_value("prefix").alias("prefix")).select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count("*").alias("groups")).where("groups > 1").select("list")
-    held = tokens.join(shared, "list")
-    members = scratch.write(rows.where("n > 0").groupBy("own").agg(F.any_value("grp").alias("grp"), F.any_value("n").alias("n")))
-    crowded = members.groupBy("grp").agg(F.count("*").alias("sets")).where("sets > 1").select("grp")
-    within = members.join(crowded, "grp").select(F.xxhash64("grp").alias("list"), "own", "n", F.lit(0).alias("pos"))
-    across = held.join(members.select("grp", "own"), "grp").select("list", "own", "n", "pos")
-    return scratch.write(across.unionByName(within))
-
-
-def linked(scratch: Scratch, lists: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """(own, root) for every set in lists; sets that links join share a root."""
-    roots = scratch.write(lists.select(F.col("own"), F.col("own").alias("root")).distinct())
-    links = None
-
-    def could(n_a: str, pos_a: str, n_b: str, pos_b: str) -> Column:
-        """Whether sets of these sizes that share their first shingle at these positions can be alike."""
-        rest = F.least(F.col(n_a) - F.col(pos_a), F.col(n_b) - F.col(pos_b))
-        return sim.alike(rest, F.col(n_a), F.col(n_b)) & (F.lit(100) * F.least(n_a, n_b) >= F.lit(sim.percent) * F.greatest(n_a, n_b))
-
-    for turn in range(PIVOT_ROUNDS + 1):
-        rows = lists.join(roots, "own")
-        open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_lists = open_lists.where("low != high").select("list")
-        rows = scratch.write(rows.join(open_lists, "list"))
-        if rows.isEmpty():
-            break
-        me = F.struct("n", "own", "pos", "root")
-        if turn < PIVOT_ROUNDS:
-            choice = [F.min(me), F.max(me), F.min_by(me, F.xxhash64("own", "list"))][turn % 3]
-            others = rows.groupBy("list").agg(choice.alias("p")).select("list", "p.*")
-        else:
-            sizes = rows.groupBy("list", "root").agg(F.count("*").alias("rows"))
-            main = sizes.groupBy("list").agg(F.max_by("root", F.struct("rows", "root")).alias("main"))
-            others = rows.join(main, "list").where("root != main").select("list", "n", "own", "pos", "root")
-        others = others.select("list", F.col("n").alias("o_n"), F.col("own").alias("o_own"), F.col("pos").alias("o_pos"), F.col("root").alias("o_root"))
-        pairs = rows.join(others, "list").where((F.col("root") != F.col("o_root")) & could("n", "pos", "o_n", "o_pos"))
-        pairs = pairs.select(F.least("own", "o_own").alias("a"), F.greatest("own", "o_own").alias("b")).distinct()
+    groups = scratch.write(groups.withColumn("g", F.monotonically_increasing_id()))  # a short name, fixed by writing it
+    shared = groups.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count("*").alias("groups")).where("groups > 1").select("list")
+    held = groups.select("g", "n", F.posexplode("prefix").alias("pos", "list")).join(shared, "list")
+    members = rows.where("n > 0").groupBy("own").agg(F.any_value("grp").alias("grp"), F.any_value("n").alias("n"))
+    members = scratch.write(members.join(groups.select("grp", "g"), "grp").select("own", "g", "n"))
+    crowded = members.groupBy("g").agg(F.count("*").alias("sets")).where("sets > 1").select("g")
+    within = members.join(crowded, "g").select(F.xxhash64("g").alias("list"), "own", "n", F.lit(0).alias("pos"))
+    across = held.join(members.select("g", "own"), "g").select("list", "own", "n", "pos")
+    lists = scratch.write(across.unionByName(within))
+    scratch.drop(groups)
+    return lists
+
+
+class Linker:
+    """Finds the components of the sets in lists: (list, own, n, pos)."""
+
+    def __init__(self, scratch: Scratch, lists: DataFrame, rows: DataFrame, sim: Similarity, sets_for):
+        """rows: with own and bits; sets_for(wanted): (own, shingles) of the wanted (own)."""
+        self.scratch, self.sim, self.sets_for = scratch, sim, sets_for
+        held = lists.select("own").distinct()
+        # Copies are put together before the join, so that none of their sets fills a task.
+        self.bits = scratch.write(rows.groupBy("own").agg(F.any_value("bits").alias("bits")).join(held, "own", "left_semi"))
+        sized = lists.join(lists.groupBy("list").agg(F.count("*").alias("size")), "list")
+        self.small = sized.where(F.col("size") <= SMALL_LIST).drop("size")
+        # With each row of a large list the first of its set's large lists before this one: a pair that shares one of these has come up there.
+        ordered = sized.where(F.col("size") > SMALL_LIST).groupBy("own", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "list"))).alias("lists"))
+        head = F.transform(F.slice("lists", 1, REMEMBERED_LISTS), lambda x: x["list"])
+        large = ordered.select("own", "n", head.alias("head"), F.posexplode("lists").alias("nth", "l"))
+        self.large = scratch.write(large.select("l.list", "own", "n", "l.pos", F.slice("head", 1, F.least(F.col("nth"), F.lit(REMEMBERED_LISTS))).alias("before")))
+        self.links: list[DataFrame] = []
+
+    def near(self) -> Column:
+        """Whether sizes and positions of a row and an o_ row of one list allow similarity."""
+        n, o_n = F.col("n"), F.col("o_n")
+        rest = F.least(n - F.col("pos"), o_n - F.col("o_pos"))
+        sizes = F.lit(100) * F.least(n, o_n) >= F.lit(self.sim.percent) * F.greatest(n, o_n)
+        return sizes & self.sim.alike(rest, n, o_n)
+
+    def fits(self, bits: str, o_bits: str, n: str, o_n: str) -> Column:
+        """Whether the bitmaps allow similarity: shared = (sizes - difference) / 2, and the bits differ in as many at most."""
+        differ = F.aggregate(F.zip_with(bits, o_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = F.col(n) + F.col(o_n)
+        return F.lit(100) * (both - differ) >= F.lit(self.sim.percent) * (both + differ)
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (own, o_own, n, o_n) whose bitmaps allow similarity."""
+        side = lambda name: self.bits.select(F.col("own").alias(f"{name}own"), F.col("bits").alias(f"{name}bits"))
+        return pairs.join(side(""), "own").join(side("o_"), "o_own").where(self.fits("bits", "o_bits", "n", "o_n")).select("own", "o_own")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Keep those of the pairs (own, o_own) that are alike as links."""
+        pairs = self.scratch.write(pairs.select(F.least("own", "o_own").alias("a"), F.greatest("own", "o_own").alias("b")).distinct())
+        if pairs.isEmpty():
+            return
+        wanted = pairs.select(F.col("a").alias("own")).unionAll(pairs.select(F.col("b").alias("own"))).distinct()
+        sets = self.scratch.write(self.sets_for(wanted))
         side = lambda name: sets.select(F.col("own").alias(name), F.col("shingles").alias(f"{name}_set"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("a_set", "b_set"))
-        new = scratch.write(both.where(sim.alike(shared, F.size("a_set"), F.size("b_set"))).select("a", "b"))
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionAll(new)
-        joined = components(scratch, links).select(F.col("node").alias("own"), F.col("root").alias("new"))
-        roots = scratch.write(roots.join(joined, "own", "left").select("own", F.coalesce("new", "root").alias("root")))
-    return roots
+        self.links.append(self.scratch.write(both.where(self.sim.alike(shared, F.size("a_set"), F.size("b_set"))).select("a", "b")))
+        self.scratch.drop(sets)
+
+    def roots(self) -> DataFrame | None:
+        """(own, root) by the links so far."""
+        if not self.links:
+            return None
+        return components(self.scratch, reduce(DataFrame.unionAll, self.links)).withColumnRenamed("node", "own")
+
+    @staticmethod
+    def others(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("list", *(F.col(c).alias(f"o_{c}") for c in ("own", "n", "pos", *more)))
+
+    def all_of_small(self) -> DataFrame:
+        """All pairs of the small lists."""
+        pairs = self.small.join(self.others(self.small), "list").where((F.col("own") < F.col("o_own")) & self.near())
+        return self.fitting(pairs.select("own", "o_own", "n", "o_n").distinct())
+
+    def pivots_of_large(self) -> DataFrame:
+        """Pairs of every set of a large list with the smallest, the largest and one other."""
+        me = F.struct("n", "own", "pos", "before")
+        chosen = self.large.groupBy("list").agg(F.min(me).alias("p0"), F.max(me).alias("p1"), F.min_by(me, F.xxhash64("own", "list")).alias("p2"))
+        chosen = chosen.select("list", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p")).select("list", "p.*")
+        first = (F.col("own") != F.col("o_own")) & ~F.arrays_overlap("before", "o_before")
+        pairs = self.large.join(self.others(chosen, "before"), "list").where(first & self.near())
+        return self.fitting(pairs.select("own", "o_own", "n", "o_n"))
+
+    def apart(self, pivots: int | None) -> DataFrame:
+        """Pairs of different components, of large lists that hold several: sets outside the list's largest component with so many of that (None: all)."""
+        found = self.roots()
+        if found is None:
+            rooted = self.large.withColumn("root", F.col("own"))
+        else:
+            rooted = self.large.join(found, "own", "left").withColumn("root", F.coalesce("root", "own"))
+        sizes = rooted.groupBy("list", "root").agg(F.count("*").alias("rows"))
+        main = sizes.groupBy("list").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("list", "main")
+        rows = self.scratch.write(rooted.join(main, "list").join(self.bits, "own"))
+        outside = rows.where("root != main")
+        if pivots is not None:
+            low = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("own", "list"), "own"))
+            inside = rows.where("root = main").withColumn("k", low).where(F.col("k") <= pivots)
+        else:
+            inside = rows
+        test = self.near() & (F.col("root") != F.col("o_root")) & ~F.arrays_overlap("before", "o_before") & self.fits("bits", "o_bits", "n", "o_n")
+        return outside.join(self.others(inside, "before", "bits", "root"), "list").where(test).select("own", "o_own")
+
+    def run(self) -> DataFrame | None:
+        """(own, root) for the sets that any link joins; None without links."""
+        if self.large.isEmpty():
+            self.verify(self.all_of_small())
+            return self.roots()
+        self.verify(self.all_of_small().unionByName(self.pivots_of_large()))
+        self.verify(self.apart(PIVOTS))
+        self.verify(self.apart(None))
+        return self.roots()
 
 
 def near_groups(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,17 +336,24 @@ def near_groups(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "
     scratch = Scratch(docs.sparkSession)
     levels = shingle_levels(docs, text_col, sim.words)
     rows = scratch.write(prefixes(docs, id_col, text_col, sim, levels))
+    classes = scratch.write(rows.where("n > 0").groupBy("own").agg(F.min("id").alias("least")))
     lists = set_lists(scratch, rows)
-    classes = rows.where("n > 0").groupBy("own").agg(F.min("id").alias("least"))
-    wanted = classes.join(lists.select("own").distinct(), "own", "left_semi").select(F.col("least").alias("id"))
-    needed = lists.select("own").distinct()
-    sets = sets_of(docs, id_col, text_col, sim, wanted.distinct()).join(needed, "own", "left_semi").dropDuplicates(["own"])
-    roots = linked(scratch, lists, scratch.write(sets), sim)
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        ids = classes.join(wanted, "own", "left_semi").select(F.col("least").alias("id")).distinct()
+        return sets_of(docs, id_col, text_col, sim, ids).join(wanted, "own", "left_semi").dropDuplicates(["own"])
+
+    linker = Linker(scratch, lists, rows, sim, sets_for)
+    light = scratch.write(rows.select("id", "mark", "n", "own"))
+    scratch.drop(rows)
+    roots = linker.run()
+    if roots is None:
+        roots = classes.select("own", F.col("own").alias("root"))
     named = classes.join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root"))
     named = scratch.write(named)
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = scratch.write(named.join(lowest, "root").select("own", "component"))
-    out = rows.select("id", "mark", "n", "own").join(named, "own", "left")
+    out = light.join(named, "own", "left")
     return out.select(F.col("id").alias(id_col), "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

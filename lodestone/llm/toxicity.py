@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices, texts_of
 
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)

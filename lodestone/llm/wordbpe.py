@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import slices, texts_of, utf8_lengths
 
 #: Words remembered by a Python worker; the memory is emptied beyond it.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: New words merged at once.
 WORDS = 50_000
 

@@ -67,8 +67,16 @@ class Packer:
         self.quiet = np.concatenate([self.quiet, np.zeros(len(name), np.int64) if quiet is None else np.array(quiet, np.int64)])
 
     def loss(self) -> np.ndarray:
+        if not self.quiet.any():
+            return self.left
         return np.maximum(self.start + self.left - np.maximum(self.start, self.quiet), 0)
 
+    def drop(self, at: int) -> None:
+        """Forget an example; the last one takes its place."""
+        for values in (self.name, self.start, self.left, self.quiet):
+            values[at] = values[-1]
+        self.name, self.start, self.left, self.quiet = self.name[:-1], self.start[:-1], self.left[:-1], self.quiet[:-1]
+
     def fill(self, tokens: int) -> None:
         """One sequence of at most `tokens` tokens."""
         most = self.limits.vector
@@ -76,12 +84,16 @@ class Packer:
         offset = 0
         while free[0] >= 1 and free[1] >= 1 and len(self.left):
             loss = self.loss()
-            fits = (self.left <= free[0]) & (loss <= free[2])
+            fits = self.left <= free[0]
+            if loss is not self.left or free[2] < free[0]:
+                fits &= loss <= free[2]
             if free[1] == 1:  # the last segment should fill the gap
                 fits &= self.left == free[0]
             if fits.any():
-                score = (self.left / most[0]) * (free[0] / most[0]) + (free[1] / most[1]) / most[1] + (loss / most[2]) * (free[2] / most[2])
-                at = int(np.argmax(np.where(fits, score, -1.0)))
+                # The segment's share of the dot product is the same for all.  Where all tokens bear loss, the two
+                # others grow with the length alone, so the longest that fits has the largest product.
+                score = self.left if loss is self.left else self.left * (free[0] / most[0] ** 2) + loss * (free[2] / most[2] ** 2)
+                at = int(np.argmax(np.where(fits, score, -1)))
                 length = int(self.left[at])
             else:
                 at = int(np.argmax(self.left))
@@ -96,13 +108,12 @@ class Packer:
             self.start[at] += length
             self.left[at] -= length
             if not self.left[at]:
-                keep = np.arange(len(self.left)) != at
-                self.name, self.start, self.left, self.quiet = self.name[keep], self.start[keep], self.left[keep], self.quiet[keep]
+                self.drop(at)
         self.sequences += 1
 
     def drain(self, keep: int) -> None:
         """Full sequences until at most `keep` sequences' worth of tokens is left to choose from."""
-        while int(self.left.sum()) > keep * self.limits.tokens:
+        while len(self.left) and int(self.left.sum()) > keep * self.limits.tokens:
             self.fill(self.limits.tokens)
 
     def finish(self) -> None:

@@ -332,7 +332,11 @@ class Linker:
 
 
 def near_groups(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: its id, mark (a hash of the text), n_shingles and component_id."""
+    """For each row: its id, mark (a hash of the text), n_shingles, component_id (the smallest id) and root.
+
+    Root tells groups apart where one id occurs with several texts, so that two groups have the same smallest id; it is
+    null for rows without shingles.
+    """
     scratch = Scratch(docs.sparkSession)
     levels = shingle_levels(docs, text_col, sim.words)
     rows = scratch.write(prefixes(docs, id_col, text_col, sim, levels))
@@ -352,19 +356,19 @@ def near_groups(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "
     named = classes.join(roots, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root"))
     named = scratch.write(named)
     lowest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = scratch.write(named.join(lowest, "root").select("own", "component"))
+    named = scratch.write(named.join(lowest, "root").select("own", "root", "component"))
     out = light.join(named, "own", "left")
-    return out.select(F.col("id").alias(id_col), "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of alike documents: the smallest id, of equal ids the smallest mark.
+    """docs with one row of each group of alike documents: the smallest id, of equal ids in the group the smallest mark.
 
     Documents without shingles are alike to none and all stay; so do rows with a null id whose group has no other id.
     """
     found = Scratch(docs.sparkSession).write(near_groups(docs, sim, id_col, text_col))
     alone = found.where("n_shingles = 0 or component_id is null").select(id_col, "mark")
-    least = found.where(F.col("n_shingles") > 0).where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.min("mark").alias("mark"))
+    least = found.where((F.col("n_shingles") > 0) & (F.col(id_col) == F.col("component_id"))).groupBy("root").agg(F.min(F.struct(id_col, "mark")).alias("v")).select("v.*")
     keep = least.unionByName(alone).distinct().alias("k")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("k.mark"))
     out = docs.alias("d").join(keep, same, "left_semi")

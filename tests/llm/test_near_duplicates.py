@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import embed_dedup, ngram_join, winnow
 from lodestone.llm.common import Scratch
@@ -87,6 +88,17 @@ def test_keep_one_of_each_group(spark):
     assert kept.count() == 5
 
 
+def test_one_id_in_unrelated_groups_loses_none_of_them(spark):
+    first, second = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(5, first), (5, second), (6, first), (7, second + " "), (8, "one two three four five six"), (None, "alone with no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_one(docs)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, rows[5][1]), (5, first), (5, second), rows[4]]
+    found = {(r.doc_id, r.text): r for r in ngram_join.near_groups(docs).join(docs.selectExpr("doc_id as id", "text", "xxhash64(text) as m"), F.expr("id <=> doc_id and m = mark")).collect()}
+    roots = [bytes(found[row].root) for row in rows[:5]]
+    assert roots[0] == roots[2] != roots[1] == roots[3] != roots[4] and {found[row].component_id for row in rows[:4]} == {5}
+
+
 def test_word_hashes_do_not_mix_texts():
     many = ngram_join.shingles(["a b c", "", "d", "a b c d", "A  b\nC\td "], 3)
     assert [len(x) for x in many] == [1, 0, 1, 2, 2]

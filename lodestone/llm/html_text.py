@@ -7,7 +7,9 @@ style, template, the hidden attribute, display:none, visibility:hidden, closed
 details) go; the rest is laid out: white space collapses outside pre and
 textarea, blocks stand on lines of their own with blank lines around paragraphs
 and headings, list items get a marker and their depth as indent, table cells
-are padded to the widths of their columns.
+are padded to the widths of their columns.  Cells and rows outside of their
+table parts get them, and whatever else stands between those is laid out as
+blocks before the rows, as browsers do.
 
 Null html gives null, empty html an empty text.  Truncated and broken pages
 give what can be seen of them.  Depth is bounded (MOST_DEPTH); deeper elements
@@ -44,21 +46,21 @@ IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "thead": (frozenset(["tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
 }
-IMPLIED["tbody"] = IMPLIED["tfoot"] = IMPLIED["thead"]
+SECTIONS = frozenset(["thead", "tbody", "tfoot"])
+CELLS = frozenset(["td", "th"])
+#: A start tag ends all that is open below the nearest of these in its table, or below the table.
+TABLE_PARTS = {"tr": SECTIONS, "td": SECTIONS | {"tr"}, "th": SECTIONS | {"tr"}} | dict.fromkeys([*SECTIONS, "caption", "colgroup"], frozenset())
 #: An end tag doesn't reach through these.
 WALLS = frozenset(["table", "td", "th", "caption", "template"])
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.IGNORECASE)
-_OPEN = re.compile(r"(?:^|\s)open(?:\s|=|/|$)", re.IGNORECASE)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d+)", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_NUMBER = re.compile(r"\s*([+-]?\d+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -69,6 +71,28 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Properties of a style attribute: the last of each counts, of important ones the last important."""
+    out: dict[str, str] = {}
+    important = set()
+    for part in _COMMENT.sub("", style).lower().split(";"):
+        name, colon, value = part.partition(":")
+        name, (value, bang, word) = name.strip(), value.partition("!")
+        if colon and value.strip() and (bang or name not in important):
+            out[name] = value.strip()
+            if bang and word.strip() == "important":
+                important.add(name)
+    return out
+
+
 def build(page: str) -> Node:
     """The page's tree."""
     root = Node("html")
@@ -87,6 +111,23 @@ def build(page: str) -> Node:
                 del stack[found:]
                 break
 
+    def table_part(tag: str) -> None:
+        """Go up to where a part of a table belongs; a cell outside of rows gets one."""
+        found = None
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth].tag == "template":
+                return
+            if found is None and stack[depth].tag in TABLE_PARTS[tag]:
+                found = depth
+            if stack[depth].tag == "table":
+                del stack[(found or depth) + 1 :]
+                if tag in CELLS and stack[-1].tag != "tr":
+                    row = Node("tr")
+                    stack[-1].children.append(row)
+                    if len(stack) < MOST_DEPTH:
+                        stack.append(row)
+                return
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -117,6 +158,8 @@ def build(page: str) -> Node:
             stack.pop()  # the body begins
         if tag in IMPLIED:
             close(*IMPLIED[tag])
+        if tag in TABLE_PARTS:
+            table_part(tag)
         if tag in ENDS_P:
             close(frozenset(["p"]), WALLS | {"button"})
         node = Node(tag, m[4])
@@ -132,7 +175,13 @@ def build(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attributes and _HIDDEN.search(node.attributes))
+    if node.tag in UNSEEN:
+        return False
+    if not node.attributes or not _MAY_HIDE.search(node.attributes):
+        return True
+    attributes = attributes_of(node.attributes)
+    style = declarations(attributes.get("style", ""))
+    return "hidden" not in attributes and style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
 
 
 class Layout:
@@ -214,7 +263,7 @@ def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> None:
             out.end_line(depth == 0)
             lay_list(child, out, depth)
             out.end_line(depth == 0)
-        elif tag == "details" and not _OPEN.search(child.attributes):
+        elif tag == "details" and "open" not in attributes_of(child.attributes):
             out.end_line()
             lay(Node("div", "", [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), out, pre, depth)
             out.end_line()
@@ -238,7 +287,7 @@ def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> None:
 
 
 def lay_list(node: Node, out: Layout, depth: int) -> None:
-    start = _START.search(node.attributes)
+    start = _NUMBER.match(attributes_of(node.attributes).get("start", ""))
     number = int(start[1]) if start else 1
     before = out.indent
     for child in node.children:
@@ -255,30 +304,55 @@ def lay_list(node: Node, out: Layout, depth: int) -> None:
             lay(Node("div", "", [child]), out, False, depth + 1)
 
 
-def table_rows(node: Node) -> Iterator[Node]:
+def table_parts(node: Node) -> Iterator[Node | str]:
+    """Rows, captions, and what else stands in a table, its sections and column groups."""
     for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from table_rows(child)
+        if isinstance(child, Node) and (child.tag in SECTIONS or child.tag == "colgroup"):
+            if visible(child):
+                yield from table_parts(child)
+        else:
+            yield child
 
 
 def lay_table(node: Node, out: Layout, depth: int) -> None:
     rows = []
-    for row in table_rows(node):
+    before: list[Node] = []  # captions, and runs of what stands outside of any cell
+
+    def stray(child: Node | str, run: bool) -> bool:
+        if isinstance(child, Node) and child.tag == "caption":
+            if visible(child):
+                before.append(child)
+            return False
+        if not run:
+            before.append(Node("div"))
+        before[-1].children.append(child)
+        return True
+
+    run = False
+    for part in table_parts(node):
+        if not isinstance(part, Node) or part.tag not in ("tr", *CELLS):
+            run = stray(part, run)
+            continue
+        run = False
+        if not visible(part):
+            continue
         cells = []
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell):
+        for cell in [part] if part.tag in CELLS else part.children:
+            if not isinstance(cell, Node) or cell.tag not in CELLS:
+                run = stray(cell, run)
+                continue
+            run = False
+            if visible(cell):
                 inner = Layout()
                 lay(cell, inner, False, depth + 1)
                 cells.append(inner.finished().split("\n"))
+        run = False
         if cells:
             rows.append(cells)
-    for child in node.children:  # the caption, and what stands in the table outside of any row
-        if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            lay(Node("div", "", [child]), out, False, depth)
-            out.end_line()
+    for block in before:
+        out.end_line()
+        lay(block, out, False, depth)
+        out.end_line()
     widths = [max((len(line) for row in rows if c < len(row) for line in row[c]), default=0) for c in range(max(map(len, rows), default=0))]
     # Beyond this width columns are not padded: one long cell would fill every row with spaces.
     padded = sum(widths) <= 400

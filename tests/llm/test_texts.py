@@ -236,3 +236,50 @@ def test_deep_and_broken_pages_keep_their_text():
     rng = random.Random(9)
     for _ in range(300):
         html_text.render("".join(rng.choice(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "x ", "<", "&", "\"", "<!--", "-->", "<script>", "</script>"]) for _ in range(60)))
+
+
+MISPLACED = [
+    ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+    ("<table><tbody><td>x<td>y</table>", "x  y"),
+    ("<table><tr>text <b>bold</b><td>x</table>", "text bold\nx"),
+    ("<table><tbody><div>a</div><tr><td>x</td></tr><p>b</p></tbody></table>", "a\n\nb\n\nx"),
+    ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><caption>C</caption><colgroup>g<col></colgroup><tr><div>d<td>x</table>z", "C\ng\nd\nx\n\nz"),
+    ("<table><tr><td>a<table><tbody><td>in</table>b<td>c</table>", "a   c\nin\nb"),
+    ("<table><tr hidden><td>no</tr><tbody style='display:none'><td>no</tbody><tr><td hidden>no</td><td>x</table>", "x"),
+]
+SEEN = [
+    '<p title="the hidden cost">x</p>',
+    '<p alt="a hidden gem">x</p>',
+    '<body style="overflow: hidden !important"><p>x</p>',
+    '<p data-type="hidden">x</p>',
+    '<p data-style="display:none" class=hidden aria-hidden=false>x</p>',
+    '<p style="display:none;display:block">x</p>',
+    '<p title="style=display:none">x</p>',
+]
+UNSEEN = ["<p HIDDEN>x</p>", '<p hidden="">x</p>', '<p id=a hidden>x</p>', '<p style="color:red; DISPLAY : none !important; display:block">x</p>', "<p style=visibility:hidden>x</p>", '<p style="visibility&#58;collapse">x</p>', '<details title="open "><p>x</p></details>']
+
+
+def test_misplaced_parts_of_tables_keep_their_text():
+    for page, want in MISPLACED:
+        assert html_text.render(page) == want, page
+    rng = random.Random(4)
+    tags = "table tr td th tbody thead tfoot caption colgroup form div p b".split()
+    for _ in range(400):
+        parts = [rng.choice(["w%d " % i, "<%s>" % rng.choice(tags), "</%s>" % rng.choice(tags)]) for i in range(60)]
+        got = html_text.render("".join(parts)).split()
+        assert sorted("".join(got)) == sorted("".join(x for x in parts if x[0] == "w").replace(" ", "")), parts
+    for most in range(190, 204):
+        assert "kept" in html_text.render("<div>" * most + "<table><tr><td>kept")
+        assert "kept" in html_text.render("<div>" * most + "<table><td>kept")
+    assert "deep" in html_text.render("<table>" * 1000 + "deep")
+    assert "deep" in html_text.render("<table><tr><td>" * 1000 + "deep")
+    assert "deep" in html_text.render("<table><td>" * 1000 + "deep")
+
+
+def test_only_attributes_of_that_name_hide():
+    for page in SEEN:
+        assert html_text.render(page) == "x", page
+    for page in UNSEEN:
+        assert html_text.render(page) == "", page
+    assert html_text.render('<ol data-start="7" start=" 3"><li>x</ol>') == "3. x"

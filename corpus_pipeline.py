@@ -20,8 +20,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template an earlier document has."""
-    return linededup.drop_recurring_lines(docs, count_col=None)
+    """All documents, without the lines whose template an earlier document has, short lines too."""
+    return linededup.drop_recurring_lines(docs, least_words=1, count_col=None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

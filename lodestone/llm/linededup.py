@@ -8,7 +8,10 @@ lines that differ in one quarter only meet.  Shorter lines belong to the leaf of
 their whole template.  A leaf that two documents share recurs: its lines stay in
 the first document (smallest id) and are dropped from all others.
 
-Lines of fewer than `least_words` words are never dropped.  Null texts stay
+Lines of fewer than `least_words` words are never dropped.  Where that is less
+than 3, lines of one and two words belong to the leaf of their exact words, with
+no fields in place of any, so that lines of numbers stay apart; a long line
+without spaces is such a line.  Lines without words are never dropped.  Null texts stay
 null, empty texts empty; a text whose lines all go becomes empty, its row stays.
 Rows equal in id and text count as one document.  Null ids come first.  All
 other columns are kept as they are, whatever their names; n_chars, where there
@@ -22,12 +25,17 @@ from pyspark.sql import functions as F
 
 FIELD = "<*>"
 LEAD = 3
+#: Lines of fewer words have no variable fields, where they have a leaf at all.
+EXACT_BELOW = 3
 
 
-def words_of(line: Column) -> Column:
-    """Words of a line, those with a digit as the variable field."""
+def words_of(line: Column, exact_below: int = 0) -> Column:
+    """Words of a line, those with a digit as the variable field, but none in lines of fewer than exact_below words."""
     plain = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+    digits = plain.rlike("[0-9]")
+    if exact_below > 1:
+        digits &= plain.rlike("^(?:[^ ]+ ){%d}" % (exact_below - 1))
+    masked = F.when(digits, F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
     return F.split(masked, " ")
 
 
@@ -40,13 +48,14 @@ def leaves(words: Column, least_words: int, long_words: int) -> Column:
     first = F.slice(words, 1, quarter)
     kept = [(2, third, fourth), (3, second, fourth), (4, second, third)]
     long = F.array(*(F.xxhash64(*branch, F.lit(i), first, F.lit(i), a, F.lit(i), b) for i, a, b in kept))
-    return F.when(n >= long_words, long).when(n >= least_words, F.array(F.xxhash64(*branch, words))).otherwise(F.array().cast("array<bigint>"))
+    some = (n >= least_words) & (words[0] != "")
+    return F.when(n >= long_words, long).when(some, F.array(F.xxhash64(*branch, words))).otherwise(F.array().cast("array<bigint>"))
 
 
 def line_leaves(docs: DataFrame, id_col: str, text_col: str, least_words: int, long_words: int) -> DataFrame:
     """A row (id, mark, pos, leaf) for each line and leaf; id and mark together name a document."""
     lines = docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("mark"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    words = lines.select("id", "mark", "pos", words_of(F.col("line")).alias("words"))
+    words = lines.select("id", "mark", "pos", words_of(F.col("line"), EXACT_BELOW if least_words < EXACT_BELOW else 0).alias("words"))
     return words.select("id", "mark", "pos", F.explode(leaves(F.col("words"), least_words, long_words)).alias("leaf"))
 
 

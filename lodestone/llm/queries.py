@@ -51,6 +51,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With lines of one and two words, which the SQL of op10_line_dedup leaves out."""
+    return linededup.drop_recurring_lines(table(spark, sf_dir, "documents"), least_words=1)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -62,6 +67,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_all": op10_line_dedup_all,
 }
 #: The same templates with words joined by spaces in place of hashes.
 LINE_DEDUP_SQL = r"""

@@ -38,3 +38,9 @@ def test_stages_keep_the_columns_and_work_on_what_came_before(spark, tmp_path):
     assert kept["ngram_join"].keys() == {i for i, c in groups.items() if i == c or not sizes[i]}
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sum(r.length for r in run.collect()) == sum(r.length for r in pieces)
+
+
+def test_line_dedup_stage_takes_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Les.\nown words of one"), (2, "Les.\nothers stand here"), (3, "17"), (4, "18")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.recurring_lines(spark, docs, "").collect()}
+    assert got == {1: "Les.\nown words of one", 2: "others stand here", 3: "17", 4: "18"}

@@ -75,6 +75,34 @@ def test_a_line_that_differs_in_one_later_quarter_recurs(spark):
     assert got == {1: a, 2: "", 3: rows[2][1], 4: rows[3][1]}
 
 
+def brute_short_lines(rows):
+    """Drop what brute_lines drops, and all later copies of lines of one or two words."""
+    first, out = {}, brute_lines(rows)
+    for i, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for line in text.split("\n"):
+            if 0 < len(line.split()) < 3:
+                first.setdefault(tuple(line.split()), i)
+    for i, text in rows:
+        if text is not None:
+            # what brute_lines leaves keeps its order, and short lines are never among what it drops
+            left = out[i][0].split("\n")
+            kept = [x for x in left if not 0 < len(x.split()) < 3 or first[tuple(x.split())] == i]
+            out[i] = ("\n".join(kept), out[i][1] + len(left) - len(kept))
+    return out
+
+
+def test_short_and_unspaced_lines_recur_too(spark):
+    rng = random.Random(12)
+    url, cjk = "https://example.org/" + "a1b2" * 40, "\u8fd9\u662f\u4e00\u6bb5" * 30 + "2024"
+    lines = ["Les.", "And ornd.", "1 2", "3 4", "17", "18", "Page 4", "Page 5", url, url + "x", cjk, "", " \t ", "\tLes. ", "three short words", "item 1 of", "item 2 of", "long " * 9 + "line"]
+    rows = [(i, "\n".join([f"own line{i} {'qrs'[i % 3]}{'tuvwx'[i % 5]} of {'abcdefgh'[i % 8]}"] + [rng.choice(lines) for _ in range(rng.randint(0, 6))] + ["end"])) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "Les."), (73, "16"), (74, "\n\n")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.drop_recurring_lines(documents(spark, rows).repartition(4), least_words=1).collect()}
+    assert got == brute_short_lines(rows)
+    for line in ("Les.", "And ornd.", "1 2", "3 4", "17", "18", "Page 4", "Page 5", url, url + "x", cjk):
+        assert sum(line.split() in [x.split() for x in t.split("\n")] for t, _ in got.values() if t) == 1, line
+
+
 def test_line_dedup_of_repeated_rows_clashing_names_and_nothing(spark):
     kind = "doc_id long, text string, id string, mark int, drop string, n_dropped string"
     assert linededup.drop_recurring_lines(spark.createDataFrame([], kind)).count() == 0

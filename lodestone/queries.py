@@ -317,9 +317,9 @@ CLOSED = f"""with recursive {DAG}, walk as (select child, parent as ancestor, 1
   closed as (select child, ancestor, depth, path from first where k = 1)"""
 
 
-def dag(spark, sf_dir) -> DataFrame:
-    """Customers below 200 with two parents each: half and a third of their key."""
-    keys = read(spark, sf_dir, "customer").where("c_custkey between 1 and 199").select(F.col("c_custkey").alias("child"))
+def dag(spark, sf_dir, some: str = "c_custkey between 1 and 199") -> DataFrame:
+    """Customers (below 200, as in the SQL, if not told otherwise) with two parents each: half and a third of their key."""
+    keys = read(spark, sf_dir, "customer").where(some).select(F.col("c_custkey").alias("child"))
     half = keys.select("child", F.expr("child div 2").alias("parent"), F.lit(0).alias("edge_ordinal"), F.lit("super").alias("kind"))
     third = keys.select("child", F.expr("child div 3").alias("parent"), F.lit(1).alias("edge_ordinal"), F.lit("interface").alias("kind"))
     return half.unionByName(third)
@@ -354,11 +354,15 @@ def lca(spark, sf_dir):
        select c.child as owner, a.name, a.descriptor, c.ancestor as overrides, c.depth from closed c join f a on a.owner = c.child and not a.hidden
        join f b on b.owner = c.ancestor and b.name = a.name and b.descriptor = a.descriptor and not b.hidden and not b.final and (b.open or b.package = a.package)""")
 def overrides(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_custkey < 200").select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("descriptor")).distinct()
+    return hierarchy.overridden(order_methods(read(spark, sf_dir, "orders").where("o_custkey < 200")), hierarchy.closure(dag(spark, sf_dir)))
+
+
+def order_methods(orders: DataFrame) -> DataFrame:
+    """Methods of customers, named by the status and priority of their orders."""
+    named = orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("descriptor")).distinct()
     owner = F.col("owner")
     bit = lambda test, value: F.when(test, F.lit(value)).otherwise(0)
-    methods = orders.withColumns({"access_flags": bit(owner % 5 == 0, 2) + bit(owner % 7 == 0, 16) + bit(owner % 2 == 0, 1), "package": owner % 3})
-    return hierarchy.overridden(methods, hierarchy.closure(dag(spark, sf_dir)))
+    return named.withColumns({"access_flags": bit(owner % 5 == 0, 2) + bit(owner % 7 == 0, 16) + bit(owner % 2 == 0, 1), "package": owner % 3})
 
 
 @query("""with recursive p as (select c_custkey as k, c_custkey * 7 % 131 as n from customer where c_custkey between 1 and 99),
@@ -370,14 +374,59 @@ def goto_chain(spark, sf_dir):
     return deobfuscate.chase(pointers, ["m"], "label", "to", doublings=8).select("label", "end")
 
 
+# The same over whole tables: recursive SQL is too slow for them, so they have none
+
+
+@query()
+def closure_all(spark, sf_dir):
+    closed = hierarchy.visit_order(hierarchy.closure(dag(spark, sf_dir, "true")))
+    return closed.select("child", "ancestor", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "").alias("path"), F.col("position").cast("bigint").alias("position"))
+
+
+@query()
+def is_subtype_all(spark, sf_dir):
+    pairs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), (F.col("c_custkey") % 12).alias("ancestor"))
+    return hierarchy.is_subtype(pairs, hierarchy.closure(dag(spark, sf_dir, "true")))
+
+
+@query()
+def lca_all(spark, sf_dir):
+    """Each customer with one spread over all keys."""
+    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
+    pairs = keys.crossJoin(keys.agg((F.max("a") + 1).alias("n"))).select("a", (F.col("a") * 7 % F.col("n")).alias("b"))
+    chains = hierarchy.closure(dag(spark, sf_dir, "true").where("kind = 'super'"))
+    return hierarchy.common_superclass(pairs, chains, F.lit(0).cast("bigint")).select("a", "b", "common")
+
+
+@query()
+def overrides_all(spark, sf_dir):
+    return hierarchy.overridden(order_methods(read(spark, sf_dir, "orders")), hierarchy.closure(dag(spark, sf_dir, "true")))
+
+
+@query()
+def goto_chain_all(spark, sf_dir):
+    pointers = read(spark, sf_dir, "customer").select(F.lit(0).alias("m"), F.col("c_custkey").alias("label"), (F.col("c_custkey") * 7 % 131).alias("to"))
+    return deobfuscate.chase(pointers, ["m"], "label", "to").select("label", "end")
+
+
+@query()
+def range_cover_all(spark, sf_dir):
+    return covered(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
+
+
 # Joins, dictionaries, duplicates
 
 
 @query("""select l_orderkey, l_linenumber, o_orderkey as span from lineitem join orders on l_suppkey % 50 = o_custkey % 50 and l_shipdate >= o_orderdate and l_shipdate < o_orderdate + interval 1 day
           where o_orderkey % 40 = 0 and l_orderkey % 40 = 1""")
 def range_cover(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 1").select("l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_suppkey") % 50).alias("k"))
-    spans = read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("span"), F.col("o_orderdate").alias("from_"), (F.col("o_orderdate") + F.expr("interval 1 day")).alias("to_"), (F.col("o_custkey") % 50).alias("k"))
+    return covered(read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 1"), read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0"))
+
+
+def covered(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Line items with the orders of their group on whose day they were shipped."""
+    items = lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_suppkey") % 50).alias("k"))
+    spans = orders.select(F.col("o_orderkey").alias("span"), F.col("o_orderdate").alias("from_"), (F.col("o_orderdate") + F.expr("interval 1 day")).alias("to_"), (F.col("o_custkey") % 50).alias("k"))
     return cfg.interval_cover(items, spans, ["k"], "l_shipdate", "from_", "to_").select("l_orderkey", "l_linenumber", "span")
 
 

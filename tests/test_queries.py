@@ -45,3 +45,49 @@ def test_empty_and_unknown_matchers():
     with pytest.raises(ValueError):
         matchers.matches("name", "(?=x)")
     assert repr(~(matchers.classes.flag("public") & matchers.classes.named("A"))) == "!(public & name='A')"
+
+
+def test_whole_tables_against_brute_force(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    top, day = 420, datetime(2020, 1, 1)
+    customers = list(range(1, top + 1))
+    orders = [(i, i * 13 % top + 1, "FO"[i % 2], "12"[i // 2 % 2], day + timedelta(days=i % 9)) for i in range(1, 901)]
+    items = [(i * 7 % 900, i, i * 11 % 97, day + timedelta(days=i % 9, hours=5)) for i in range(300)]
+    for name, rows, kind in (("customer", [(k,) for k in customers], "c_custkey long"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"), ("lineitem", items, "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp")):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name, *columns: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+
+    above = {}
+    for child in customers:
+        seen, level = {}, [(child, "")]
+        while level:
+            further = sorted((p + str(o), to) for at, p in level if at for o, to in ((0, at // 2), (1, at // 3)))
+            level = []
+            for path, to in further:
+                if to not in seen:
+                    seen[to] = path
+                    level.append((to, path))
+        above[child] = seen
+    assert run("closure_all", "child", "ancestor", "depth", "path") == sorted((c, a, len(p), p) for c in customers for a, p in above[c].items())
+    assert run("is_subtype_all", "child", "ancestor", "is_subtype") == [(c, c % 12, c % 12 == c or c % 12 in above[c]) for c in customers]
+
+    def chain(x):
+        return [x, *chain(x // 2)] if x else [0]
+
+    assert run("lca_all", "a", "b", "common") == [(a, b, next(x for x in chain(a) if x in chain(b))) for a in customers for b in [a * 7 % (top + 1)]]
+    methods = {o[1:4] for o in orders}
+    want = sorted((c, s, p, a, len(path)) for c, s, p in methods if c % 5 for a, path in above[c].items() if (a, s, p) in methods and a % 5 and a % 7 and (a % 2 == 0 or a % 3 == c % 3))
+    assert run("overrides_all", "owner", "name", "descriptor", "overrides", "depth") == want and any(w[0] > 199 for w in want)
+
+    def end(k):
+        for _ in range(500):
+            if not 1 <= k <= top:
+                return k
+            k = k * 7 % 131
+        return None
+
+    got = {r.label: r.end for r in queries.QUERIES["goto_chain_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: end(k) for k in customers}
+    want = sorted((o, n, s[0]) for o, n, supplier, at in items for s in orders if supplier % 50 == s[1] % 50 and s[4] <= at < s[4] + timedelta(days=1))
+    assert run("range_cover_all", "l_orderkey", "l_linenumber", "span") == want and want

@@ -10,10 +10,13 @@ a piece of a character, texts are put together as bytes before they are read
 as UTF-8, and decode_text() holds a split character back until it is whole.
 
 The library breaks ties between two splits of one token by merge order, the
-rank file's own rule by position.  They can differ only where a part repeats a
-pattern, so such parts are checked with tiktoken.
+rank file's own rule by position.  They can differ only where the bytes of a
+match repeat a pattern that is shorter than the longest token; such matches, of
+any length, are merged by the rule itself (by_rank).
 
-Null texts count as empty: 0 tokens and the digests of no bytes.
+Null texts count as empty: 0 tokens and the digests of no bytes.  Repeated rows
+and ids are encoded like any others, an empty table gives an empty result, other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import heapq
 import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,13 @@ from lodestone.llm.wordbpe import byte_characters
 
 REMEMBERED = 500_000
 
-#: Outside these characters, or where white space is doubled, the whole text goes through the library's own splitter.
+#: Where white space is doubled, first or last, the library's own splitter finds the matches of the pattern.
 _UNUSUAL = re.compile("\\s\\s|^\\s|\\s\\Z")
-#: Only x, y, z with xy = yz can be merged in two ways at once: a character four times, or a longer pattern twice.
-_DOUBTFUL = re.compile("(.)\\1\\1\\1|(..+)\\2", re.DOTALL)
 
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core already
-        import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
@@ -69,39 +69,69 @@ class ByteBpe:
         self.decimal = [b"%d," % i for i in range(top)]
         self.digits = np.array([len(d) for d in self.decimal])
         self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges))
-        split = pre_tokenizers.Split(Regex(pattern), "isolated")
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "isolated")
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.check = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([split, to_bytes])
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([self.splitter, to_bytes])
+        self.longest = max(map(len, self.ranks))
+        #: Only x, y, z with xy = yz, a token, can be merged in two ways at once: a byte four times, or a longer pattern twice.
+        self.repeats = re.compile(b"(.)\\1\\1\\1|(..{1,%d})\\2" % (self.longest - 1), re.DOTALL)
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each part; the pattern is applied to each by itself."""
-        found = [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        return [self.exact(p) if self.doubtful(p) else ids for p, ids in zip(parts, found, strict=True)]
+    def matches(self, text: str) -> list[str]:
+        """The matches of the pattern, which tile the text."""
+        return [part for part, _ in self.splitter.pre_tokenize_str(text)]
 
     def encode_run(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that may follow one another in one text, flat, and how many belong to each part.
 
         They are encoded as that text; the bytes that the ids stand for tell where each part ends.
         """
-        ids = np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype=np.int64)
-        lengths = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(lengths), "left") + 1
+        return self.settled(parts, np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype=np.int64))
+
+    def encode_each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that stand for themselves."""
+        return self.settled(parts, np.fromiter((i for x in self.library.encode_batch_fast(parts, add_special_tokens=False) for i in x.ids), np.int64))
+
+    def settled(self, parts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids dealt out to the parts, with ties within a match as the rank file has them."""
+        data = [p.encode() for p in parts]
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(d) for d in data]), "right")
         counts = np.diff(ends, prepend=0)
-        doubtful = [i for i, p in enumerate(parts) if self.doubtful(p)]
+        doubtful = [i for i, d in enumerate(data) if self.repeats.search(d)]
         if doubtful:
             split = np.split(ids, ends[:-1])
             for i in doubtful:
-                split[i] = np.array(self.exact(parts[i]), dtype=np.int64)
+                split[i] = np.array([x for m in self.matches(parts[i]) for x in self.by_rank(m.encode())], dtype=np.int64)
                 counts[i] = len(split[i])
             ids = np.concatenate(split)
         return ids, counts
 
-    def doubtful(self, part: str) -> bool:
-        return len(part) > 64 or _DOUBTFUL.search(part) is not None
-
-    def exact(self, part: str) -> list[int]:
-        return self.check.encode_ordinary(part)
+    def by_rank(self, data: bytes) -> list[int]:
+        """Ids of one match: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
+        if data in self.ranks:
+            return [self.ranks[data]]
+        n = len(data)
+        end = list(range(1, n + 1))  # of the symbol that begins here; 0: none does
+        before = list(range(-1, n))  # where the symbol before begins
+        waiting: list[tuple[int, int, int]] = []
+
+        def offer(at: int, to: int) -> None:
+            rank = self.ranks.get(data[at:to]) if to - at <= self.longest else None
+            if rank is not None:
+                heapq.heappush(waiting, (rank, at, to))
+
+        for i in range(n - 1):
+            offer(i, i + 2)
+        while waiting:
+            _, at, to = heapq.heappop(waiting)
+            middle = end[at]
+            if not middle or middle >= n or end[middle] != to:
+                continue  # one of the two is part of another symbol by now
+            end[at], end[middle], before[to] = to, 0, at
+            if to < n:
+                offer(at, end[to])
+            if at:
+                offer(before[at], to)
+        return [self.ranks[data[i:j]] for i, j in enumerate(end) if j]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids: their characters, each turned back by the byte table."""
@@ -120,8 +150,8 @@ class PartMemory:
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
-        #: By the text after a space, and by the text at a beginning.
-        self.after, self.first = {}, {}
+        #: By the text after a space, by the text at a beginning, by the match in an unusual text.
+        self.after, self.first, self.match = {}, {}, {}
 
     def learn(self, known: dict, parts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         if len(known) > REMEMBERED:  # what this batch lacks is learned here, the rest of it is found already
@@ -134,29 +164,28 @@ class PartMemory:
         for i, part in enumerate(parts):
             known[part] = (decimals[at[i] : at[i + 1]], decoded[to[i] : to[i + 1]])
 
-    def learn_first(self, parts: list[str]) -> None:
-        if parts:
-            ids = self.bpe.encode(parts)
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            self.learn(self.first, parts, flat, np.fromiter(map(len, ids), np.int64, len(ids)))
-
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text all its ids as decimals, a comma after each, and the bytes they decode to."""
         # Without doubled white space no match crosses from one part to the next: a match takes at most one space, in front.
-        split = [[t] if _UNUSUAL.search(t) else t.split(" ") for t in texts]
-        self.first.clear()  # beginnings and unusual texts do not come again
-        self.learn_first(list({s[0] for s in split}))
-        heads = [self.first[s[0]] for s in split]
-        found = [list(map(self.after.get, s[1:])) for s in split]
+        usual = [not _UNUSUAL.search(t) for t in texts]
+        split = [t.split(" ") if u else self.bpe.matches(t) for t, u in zip(texts, usual, strict=True)]
+        self.first.clear()  # beginnings do not come again
+        if heads := list({s[0] for s, u in zip(split, usual, strict=True) if u}):
+            self.learn(self.first, heads, *self.bpe.encode_each(heads))
+        known = [self.after if u else self.match for u in usual]
+        rest = [s[1:] if u else s for s, u in zip(split, usual, strict=True)]
+        found = [list(map(k.get, r)) for k, r in zip(known, rest, strict=True)]
         gaps = [[i for i, x in enumerate(v) if x is None] for v in found]
-        missing = {s[i + 1] for s, g in zip(split, gaps, strict=True) for i in g}
-        if missing:
-            parts = list(missing)
+        lacking = lambda kind: list({r[i] for u, r, g in zip(usual, rest, gaps, strict=True) if u == kind for i in g})
+        if parts := lacking(True):
             self.learn(self.after, parts, *self.bpe.encode_run([" " + p for p in parts]))
-            for s, v, g in zip(split, found, gaps, strict=True):
-                for i in g:
-                    v[i] = self.after[s[i + 1]]
-        return [(b"".join([head[0], *[x[0] for x in v]]), b"".join([head[1], *[x[1] for x in v]])) for head, v in zip(heads, found, strict=True)]
+        if parts := lacking(False):
+            self.learn(self.match, parts, *self.bpe.encode_each(parts))
+        for k, r, v, g in zip(known, rest, found, gaps, strict=True):
+            for i in g:
+                v[i] = k[r[i]]
+        whole = [[self.first[s[0]], *v] if u else v for s, u, v in zip(split, usual, found, strict=True)]
+        return [(b"".join([x[0] for x in v]), b"".join([x[1] for x in v])) for v in whole]
 
 
 @cache
@@ -165,19 +194,26 @@ def part_memory(path: str, pattern: str) -> PartMemory:
     return PartMemory(ByteBpe(path, pattern))
 
 
+def character_starts(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """The characters in which bytes of UTF-8 lie."""
+    return np.cumsum(np.append((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, True))[starts] - 1
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, the ids of its whole text, and where in its UTF-8 each of them begins."""
+    """For each row its id, the ids of its whole text, and where each of them begins: the byte of the UTF-8, and the character that this byte is part of."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = part_memory(path, pattern)
-        size = {i: len(token) for i, token in memory.bpe.tokens.items()}
         for batch in slices(batches, 64):
-            ids = [[int(x) for x in decimals.split(b",")[:-1]] for decimals, _ in memory.texts(texts_of(batch[1]))]
-            starts = [list(accumulate((size[i] for i in x[:-1]), initial=0)) if x else [] for x in ids]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))], [id_col, "ids", "starts"])
+            found = memory.texts(texts_of(batch[1]))
+            ids = [np.array(decimals.split(b",")[:-1], dtype=np.int64) for decimals, _ in found]
+            starts = [np.cumsum(memory.bpe.size[x]) - memory.bpe.size[x] for x in ids]
+            chars = [character_starts(data, x) for (_, data), x in zip(found, starts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(ids, pa.list_(pa.int64())).cast(pa.list_(pa.int32())), pa.array(starts, longs), pa.array(chars, longs)], [id_col, "ids", "starts", "char_starts"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, starts array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, starts array<long>, char_starts array<long>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:

@@ -4,14 +4,16 @@ A sequence has three limits at once: tokens, segments (pieces of examples) and
 loss-bearing tokens.  Each example asks for a vector of the three; the open
 sequence takes the example whose vector has the largest dot product with what
 the sequence still has free, as long as one fits whole.  Then the gap is filled
-with a cut from the largest example left, so that sequences end full.
+with a cut from the largest example left, so that sequences end full.  Of an
+example with a prompt (instruction data) only the ids after the prompt bear loss.
 
 Every Spark task packs its own rows, a window of examples at a time, and keeps
 only those that are not placed yet; there is no shuffle.  The last examples of
 a task go into sequences whose lengths are powers of two, which need no padding.
 
-Null texts count as empty: such an example is its end token alone.  Repeated
-rows and ids are packed like any others.  Sequence ids are unique across tasks
+Null texts and prompts count as empty: an example without either is its end
+token alone.  An empty table gives no row.  Repeated rows and ids are packed like
+any others, other columns are ignored.  Sequence ids are unique across tasks
 and the same when a task runs again.
 """
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices, texts_of
 from lodestone.llm.wordbpe import word_memory
@@ -47,10 +50,10 @@ class Limits:
 
 @dataclass
 class Packer:
-    """Places examples; `pieces` gets (example, start, length, sequence, offset) for each piece."""
+    """Places examples; `pieces` gets (example, start, length, sequence, offset, loss-bearing tokens) for each piece."""
 
     limits: Limits
-    pieces: list[tuple[int, int, int, int, int]] = field(default_factory=list)
+    pieces: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     sequences: int = 0
 
     def __post_init__(self) -> None:
@@ -67,9 +70,8 @@ class Packer:
         self.quiet = np.concatenate([self.quiet, np.zeros(len(name), np.int64) if quiet is None else np.array(quiet, np.int64)])
 
     def loss(self) -> np.ndarray:
-        if not self.quiet.any():
-            return self.left
-        return np.maximum(self.start + self.left - np.maximum(self.start, self.quiet), 0)
+        """Loss-bearing tokens that are left of each example."""
+        return np.minimum(self.left, np.maximum(self.start + self.left - self.quiet, 0))
 
     def drop(self, at: int) -> None:
         """Forget an example; the last one takes its place."""
@@ -84,16 +86,14 @@ class Packer:
         offset = 0
         while free[0] >= 1 and free[1] >= 1 and len(self.left):
             loss = self.loss()
-            fits = self.left <= free[0]
-            if loss is not self.left or free[2] < free[0]:
-                fits &= loss <= free[2]
+            fits = (self.left <= free[0]) & (loss <= free[2])
             if free[1] == 1:  # the last segment should fill the gap
                 fits &= self.left == free[0]
             if fits.any():
-                # The segment's share of the dot product is the same for all.  Where all tokens bear loss, the two
-                # others grow with the length alone, so the longest that fits has the largest product.
-                score = self.left if loss is self.left else self.left * (free[0] / most[0] ** 2) + loss * (free[2] / most[2] ** 2)
-                at = int(np.argmax(np.where(fits, score, -1)))
+                # What an example asks for is (left, 1, loss); the product is of shares of the limits.
+                weight = free / most**2
+                product = self.left * weight[0] + (loss * weight[2] + weight[1])
+                at = int(np.argmax(np.where(fits, product, -1)))
                 length = int(self.left[at])
             else:
                 at = int(np.argmax(self.left))
@@ -101,8 +101,8 @@ class Packer:
                 length = int(min(self.left[at], free[0], bare + free[2]))
                 if length < 1:  # only examples that bear loss are left, and no more loss is allowed here
                     break
-            borne = max(0, int(self.start[at]) + length - max(int(self.start[at]), int(self.quiet[at])))
-            self.pieces.append((int(self.name[at]), int(self.start[at]), length, self.sequences, offset))
+            borne = max(0, length - max(0, int(self.quiet[at] - self.start[at])))
+            self.pieces.append((int(self.name[at]), int(self.start[at]), length, self.sequences, offset, borne))
             offset += length
             free -= [length, 1, borne]
             self.start[at] += length
@@ -124,16 +124,18 @@ class Packer:
             self.fill(min(self.limits.tokens, 1 << (total.bit_length() - 1)))
 
 
-SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", kept: int = 32) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, kept: int = 32) -> DataFrame:
     """One row for each piece of each text's ids (tokenizers file at path, then end_id) in sequences under limits.
 
-    kept: sequences' worth of tokens that a task leaves open while more examples come.
+    prompt_col: text whose ids come before those of the text and bear no loss (for example the turns of a conversation
+    that are not the assistant's).  kept: sequences' worth of tokens that a task leaves open while more examples come.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
+    names = [id_col, *(part.split()[0] for part in SCHEMA.split(", "))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_memory(path, True)
@@ -142,32 +144,32 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
         def placed() -> pa.RecordBatch:
             rows = []
-            for name, start, length, sequence, offset in packer.pieces:
+            for name, start, length, sequence, offset, borne in packer.pieces:
                 doc, data = open_docs[name]
-                rows.append((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, first + sequence, offset))
+                rows.append((doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, first + sequence, offset, borne))
             packer.pieces.clear()
             waiting = set(packer.name.tolist())
             for name in [n for n in open_docs if n not in waiting]:
                 del open_docs[name]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
         for batch in slices(batches):
             kind = batch.schema.types[0]
-            names = []
-            for doc, words in zip(batch[0].to_pylist(), memory.words(texts_of(batch[1])), strict=True):
-                words.append(end)
-                open_docs[number] = (doc, b"".join(words))
-                names.append(number)
+            prompts = memory.words(texts_of(batch[2])) if prompt_col else [[]] * batch.num_rows
+            added, quiet = [], []
+            for doc, prompt, words in zip(batch[0].to_pylist(), prompts, memory.words(texts_of(batch[1])), strict=True):
+                before = b"".join(prompt)
+                open_docs[number] = (doc, b"".join([before, *words, end]))
+                added.append(number)
+                quiet.append(len(before) // 4)
                 number += 1
-            packer.add(names, [len(open_docs[n][1]) // 4 for n in names])
+            packer.add(added, [len(open_docs[n][1]) // 4 for n in added], quiet)
             packer.drain(kept)
             yield placed()
         if kind is not None:
             packer.finish()
             yield placed()
 
-    return docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {id_type}, {SCHEMA}")
+    source = docs.select(*(F.col(f"`{c}`") for c in (id_col, text_col, prompt_col) if c))
+    return source.mapInArrow(pack, f"`{id_col}` {id_type}, {SCHEMA}")

@@ -86,10 +86,32 @@ def test_byte_bpe_offsets_and_texts(spark):
         ends = [*r.starts[1:], len(data)]
         assert [data[a:b] for a, b in zip(r.starts, ends)] == [bpe.tokens[i] for i in r.ids]
         assert "".join(bpe.decode_text(r.ids)) == data.decode()  # split characters are put together
+        assert list(r.char_starts) == [len(data[:a].decode("utf-8", "ignore")) if a == 0 or data[a] & 0xC0 != 0x80 else len(data[:a].decode("utf-8", "ignore")) for a in r.starts]
     back = {r.doc_id: r.text for r in bytebpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_ties_of_any_length_are_the_rank_file_s():
+    bpe = bytebpe.part_memory(RANKS, public_tokenizers.PATTERN).bpe
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(6)
+    parts = ["".join(rng.choice(a) for _ in range(rng.choice([3, 8, 40, 65, 300]))) for a in ("ab", "an", "é日", "=-", "aeiou", "éèê") for _ in range(60)]
+    parts += ["=" * 500, "-=" * 300, "nan" * 100, "日本" * 200, "ab" * 20_000]
+    for part in parts:
+        want = library.encode_ordinary(part)
+        assert bpe.encode_each([part])[0].tolist() == want, part[:80]
+        assert [i for m in bpe.matches(part) for i in bpe.by_rank(m.encode())] == want, part[:80]
+    texts = [" ".join(rng.sample(parts[:-1], 3)) + rng.choice(["", "  ", "\n\n", "\n x"]) for _ in range(40)]
+    memory = bytebpe.PartMemory(bpe)
+    for _ in range(2):
+        assert [t[0] for t in memory.texts(texts)] == ["".join(f"{i}," for i in library.encode_ordinary(t)).encode() for t in texts]
+
+
+def test_encoding_and_decoding_of_nothing(spark):
+    empty = bytebpe.encode(docs(spark, []), RANKS, public_tokenizers.PATTERN)
+    assert empty.count() == 0 and bytebpe.decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_packing_holds_every_id_once_and_fills_sequences(spark):
     texts = ODD + noise(200, 2) + ["some longer text of words " * 400] * 5
     library = Tokenizer.from_file(WORD)
@@ -129,10 +151,48 @@ def test_packer_keeps_all_three_limits():
     packer.add(list(range(200)), lengths, quiet)
     packer.finish()
     held, loss, segments = {}, {}, {}
-    for name, start, length, sequence, offset in packer.pieces:
+    for name, start, length, sequence, offset, borne in packer.pieces:
         assert held.get(sequence, 0) == offset
         held[sequence] = offset + length
         segments[sequence] = segments.get(sequence, 0) + 1
         loss[sequence] = loss.get(sequence, 0) + max(0, start + length - max(start, quiet[name]))
+        assert borne == max(0, start + length - max(start, quiet[name]))
     assert sum(held.values()) == sum(lengths)
     assert max(held.values()) <= 512 and max(segments.values()) <= 8 and max(loss.values()) <= 100
+
+
+def test_the_largest_dot_product_is_placed_first():
+    packer = packing.Packer(packing.Limits(100, 4, 50))
+    packer.add([0, 1, 2], [60, 50, 30], [60, 5, 0])
+    packer.fill(100)
+    # (60, 1, 0): 0.6 + 0.25; (50, 1, 45): 0.5 + 0.25 + 0.9; (30, 1, 30): 0.3 + 0.25 + 0.6
+    assert [p[0] for p in packer.pieces][:1] == [1]
+    free = np.array([50, 3, 5]) / np.array([100, 4, 50])
+    assert packer.pieces[1][0] == 0 and free.min() > 0  # the others fit no more: a cut from the largest
+
+
+def test_conversations_are_packed_under_all_three_limits(spark):
+    library = Tokenizer.from_file(WORD)
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    said = lambda own: f"case when role {'=' if own else '<>'} 'assistant' then text end"
+    table = turns.selectExpr("conv_id * 1000 + turn as turn_id", "text as other", f"{said(False)} as prompt", f"{said(True)} as reply").repartition(2)
+    limits = packing.Limits(512, 6, 200)
+    rows = packing.pack_documents(table, WORD, limits, id_col="turn_id", text_col="reply", prompt_col="prompt").collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.turn_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    ids_of = lambda text: library.encode(text or "", add_special_tokens=False).ids
+    for t in table.collect():
+        quiet, ids = len(ids_of(t.prompt)), [*ids_of(t.prompt), *ids_of(t.reply), 1]
+        at = 0
+        for r in sorted(pieces.pop(t.turn_id), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + r.length]))
+            assert r.loss_tokens == sum(i >= quiet for i in range(at, at + r.length))
+            at += r.length
+        assert at == len(ids)
+    assert not pieces
+    for parts in sequences.values():
+        assert sum(r.length for r in parts) <= 512 and len(parts) <= 6 and sum(r.loss_tokens for r in parts) <= 200
+    assert max(sum(r.loss_tokens for r in parts) for parts in sequences.values()) == 200

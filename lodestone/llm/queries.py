@@ -51,11 +51,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
-def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With lines of one and two words, which the SQL of op10_line_dedup leaves out."""
-    return linededup.drop_recurring_lines(table(spark, sf_dir, "documents"), least_words=1)
-
-
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -67,24 +62,35 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_dedup_all": op10_line_dedup_all,
 }
 #: The same templates with words joined by spaces in place of hashes.
 LINE_DEDUP_SQL = r"""
-with lines as (
+with total as (select count(*) as documents from documents where text is not null),
+lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
-plain as (select doc_id, pos, line, trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), ' ') as p from lines),
-words as (select doc_id, pos, line, string_split(case when regexp_matches(p, '[0-9]') then regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') else p end, ' ') as w from plain),
-parts as (select doc_id, pos, line, w, len(w) as n, len(w) // 4 as q from words),
-leaves as (
-  select doc_id, pos, unnest(case
-    when n >= 8 then [
-      concat_ws(' ', '2', n, array_to_string(w[1:3], ' '), array_to_string(w[1:q], ' '), array_to_string(w[2*q+1:n], ' ')),
-      concat_ws(' ', '3', n, array_to_string(w[1:3], ' '), array_to_string(w[1:2*q], ' '), array_to_string(w[3*q+1:n], ' ')),
-      concat_ws(' ', '4', n, array_to_string(w[1:3], ' '), array_to_string(w[1:3*q], ' '))]
-    when n >= 3 then [concat_ws(' ', '0', n, array_to_string(w, ' '))] else [] end) as leaf from parts),
-recurring as (select leaf, min(doc_id) as first_id from leaves group by 1 having min(doc_id) <> max(doc_id)),
-gone as (select distinct doc_id, pos from leaves join recurring using (leaf) where doc_id <> first_id),
+plain as (select doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), '[0-9]+', '<*>', 'g') as p from lines),
+parts as (
+  select doc_id, pos, line, p, string_split(p, ' ') as w, length(replace(replace(p, '<*>', ''), ' ', '')) as chars,
+    concat_ws(' ', len(string_split(p, ' ')), array_to_string(string_split(p, ' ')[1:3], ' ')) as leaf from plain),
+own as (
+  select leaf, p, any_value(w) as w, any_value(chars) as chars, count(distinct doc_id) as docs, min(doc_id) as low, max(doc_id) as high
+  from parts where chars > 0 group by 1, 2),
+shared as (select leaf from own group by 1 having count(*) > 1 and min(low) <> max(high)),
+words as (select leaf, p, low, high, unnest(w) as word, generate_subscripts(w, 1) as i from own join shared using (leaf)),
+agreed as (select leaf, i, word, true as fixed from words group by 1, 2, 3 having min(low) <> max(high)),
+told as (
+  select leaf, p, string_agg(case when fixed then word else chr(10) end, ' ' order by i) as template, count(*) as size, count(fixed) as kept,
+    coalesce(sum(case when fixed then length(replace(word, '<*>', '')) end), 0) as chars
+  from words left join agreed using (leaf, i, word) group by 1, 2),
+grown as (select t.leaf, t.p, t.template, t.chars, o.docs, o.low, o.high from told t join own o using (leaf, p) where t.kept >= 0.75 * t.size),
+templates as (
+  select leaf, template, min(low) as low from grown group by 1, 2
+  having min(low) <> max(high) and sum(docs) >= greatest(2.0, 0.001 * (select documents from total) * pow(2.0, -max(chars) / 8.0))),
+recurring as (
+  select leaf, p, min(low) as low from (
+    select g.leaf, g.p, t.low from grown g join templates t using (leaf, template)
+    union all select leaf, p, low from own where low <> high and docs >= greatest(2.0, 0.001 * (select documents from total) * pow(2.0, -chars / 8.0))) group by 1, 2),
+gone as (select doc_id, pos from parts join recurring using (leaf, p) where chars > 0 and doc_id <> low),
 counts as (select doc_id, count(*) as n from gone group by 1),
 kept as (select doc_id, string_agg(line, chr(10) order by pos) as t from lines anti join gone using (doc_id, pos) group by 1),
 joined as (select d.*, coalesce(c.n, 0) as n_gone, case when c.n is null then d.text else coalesce(k.t, '') end as new_text

@@ -205,28 +205,85 @@ def test_best_windows_are_those_of_brute_force():
 # LM scoring
 
 
-def test_scores_are_sums_of_normalised_chances(spark):
-    rng = random.Random(2)
+SMALL = lm_score.Settings(dim=8, words=40, others=4, pieces=200, piece=32, windows=500, gathered=300, together=60)
+
+
+def sentences(n, seed=2):
+    rng = random.Random(seed)
     grammar = [["the", "a"], ["red", "blue", "old"], ["cat", "dog", "house"], ["sees", "hears"], ["me", "you"]]
-    texts = [" ".join(rng.choice(g) for _ in range(rng.randint(1, 12)) for g in grammar) for _ in range(300)]
-    table = documents(spark, list(enumerate(texts)) + [(900, None), (901, ""), (902, " \n"), (903, texts[0]), (904, "you hears dog blue a " * 6), (905, "cat " * 5000)])
-    got = {r.doc_id: r for r in lm_score.score(table).collect()}
-    assert len(got) == 306
-    assert [(got[i].n_tokens, got[i].log_likelihood, got[i].per_token) for i in (900, 901, 902)] == [(0, 0.0, None)] * 3
-    assert got[903].log_likelihood == pytest.approx(got[0].log_likelihood)
-    assert got[904].per_token < np.mean([got[i].per_token for i in range(300)])  # out of order
-    counts = lm_score.slot_counts(table)
-    assert counts.sum() == sum(r.n_tokens for r in got.values())
-    vocabulary = lm_score.Vocabulary.of(counts)
-    shares = np.bincount(vocabulary.class_of, weights=np.exp(vocabulary.log_share.astype(float)), minlength=lm_score.CLASSES)
-    assert shares == pytest.approx(np.ones(lm_score.CLASSES), abs=1e-3)
-    net = lm_score.train(table, vocabulary)
-    around = lm_score.windows(np.array([3, 1, 4]), np.array([0, 2, 3]))
-    assert around.tolist() == [[96, 96, 96], [96, 3, 96], [1, 96, 96], [96, 96, 96]]
-    total = sum(np.exp(net.log_chances(around, np.full(3, c))) for c in range(lm_score.CLASSES))
+    return [" ".join(rng.choice(g) for _ in range(rng.randint(1, 12)) for g in grammar) + (f" rare{rng.randrange(500)}" if rng.random() < 0.5 else "") for _ in range(n)]
+
+
+def brute_scores(texts, model):
+    """The definition, window by window, over the network's chances."""
+    words = lm_score.Words(model.vocabulary, model.settings.others, model.bytes)
+    seen, chances = defaultdict(int), []
+    for text in texts:
+        split = (text or "").lower().split()
+        rows, lengths = words.rows([text or ""])
+        chance = model.network.log_chances(lm_score.windows(words.input[rows], lengths, model.edge), words.number[rows]) + words.chance[rows]
+        own = []
+        for i, w in enumerate(split):
+            outer = (*(["", *split, ""][i :: 2][:2]),)
+            pair = tuple(words.input[words.known[x]] if x else model.edge for x in outer)
+            at = np.searchsorted(model.crowded, pair[0] * (model.edge + 1) + pair[1])
+            if at < len(model.crowded) and model.crowded[at] == pair[0] * (model.edge + 1) + pair[1]:
+                outer += (lm_score.xxhash.xxh64_intdigest(text.encode()) % int(model.shards[at]),)
+            seen[outer] += 1
+            seen[outer, w] += 1
+            own.append((outer, w, float(np.float16(chance[i]))))
+        chances.append(own)
+    k = model.settings.strength
+    return [sum(np.log((seen[o, w] - 1 + k * np.exp(c)) / (seen[o] - 1 + k)) for o, w, c in own) for own in chances]
+
+
+def test_scores_are_those_of_brute_force_whatever_the_partitions(spark):
+    texts = sentences(300)
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, " \n"), (903, texts[0]), (904, "you hears dog blue a " * 6), (905, "cat " * 3000), (905, "Cat " * 9), (None, "A red dog")]
+    table = documents(spark, rows).withColumnsRenamed({"lang": "block", "source": "data"})
+    got = lm_score.score(table.repartition(5), settings=SMALL).collect()
+    assert len(got) == len(rows)
+    model, total = lm_score.fit(table, SMALL)
+    assert total == sum(len((t or "").split()) for _, t in rows) == sum(r.n_tokens for r in got)
+    assert len(model.crowded) and max(model.shards) > 1
+    want = brute_scores([t for _, t in rows], model)
+    told = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in got)
+    wanted = sorted((str(i), len((t or "").split()), s) for (i, t), s in zip(rows, want, strict=True))
+    assert [t[:2] for t in told] == [t[:2] for t in wanted]
+    assert [t[2] for t in told] == pytest.approx([float(t[2]) for t in wanted], abs=1e-2)
+    assert {(r.n_tokens, r.log_likelihood, r.per_token) for r in got if r.doc_id in (900, 901, 902)} == {(0, 0.0, None)}
+    again = {(r.doc_id, r.n_tokens): r.log_likelihood for r in lm_score.score(table.coalesce(1), settings=SMALL).collect()}
+    assert all(again[r.doc_id, r.n_tokens] == pytest.approx(r.log_likelihood, abs=1e-3) for r in got)
+
+
+def test_network_s_chances_sum_to_one_and_words_in_order_are_likelier(spark):
+    model, _ = lm_score.fit(documents(spark, list(enumerate(sentences(400)))), SMALL)
+    edge, n = model.edge, len(model.vocabulary)
+    around = lm_score.windows(np.array([3, 1, 4], np.int32), np.array([2, 1]), edge)
+    assert around.tolist() == [[edge] * 3, [edge, 3, edge], [1, edge, edge], [edge] * 3]
+    total = sum(np.exp(model.network.log_chances(around, np.full(3, c))) for c in range(-1, n))
     assert total == pytest.approx(np.ones(3), abs=1e-4)
-    n, sums = lm_score.log_likelihoods(texts[:3], vocabulary, net)
-    assert sums == pytest.approx([got[i].log_likelihood for i in range(3)], rel=1e-4)
+    assert np.exp(model.bytes.reshape(257, 257)).sum(1) == pytest.approx(np.ones(257), abs=1e-4)
+    words = lm_score.Words(model.vocabulary, SMALL.others, model.bytes)
+
+    def alone(text):
+        rows, lengths = words.rows([text])
+        return float(model.network.log_chances(lm_score.windows(words.input[rows], lengths, edge), words.number[rows]).sum() + words.chance[rows].sum())
+
+    rng, better = random.Random(5), 0
+    held_out = [t for t in sentences(100, seed=77) if len(t.split()) > 9]
+    for text in held_out:
+        mixed = text.split()
+        rng.shuffle(mixed)
+        better += alone(text) > alone(" ".join(mixed))
+    assert better >= 0.97 * len(held_out), (better, len(held_out))
+
+
+def test_texts_that_occur_twice_are_scored_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(200)]
+    got = {r.doc_id: r.per_token for r in lm_score.score(documents(spark, list(enumerate(texts + texts[:20]))).repartition(4), settings=SMALL).collect()}
+    assert min(got[i] for i in [*range(20), *range(200, 220)]) > max(got[i] for i in range(20, 200)) + 2
 
 
 def test_lm_of_an_empty_table(spark):

@@ -7,19 +7,24 @@ style, template, the hidden attribute, display:none, visibility:hidden, closed
 details) go; the rest is laid out: white space collapses outside pre and
 textarea, blocks stand on lines of their own with blank lines around paragraphs
 and headings, list items get a marker and their depth as indent, table cells
-are padded to the widths of their columns.  Cells and rows outside of their
-table parts get them, and whatever else stands between those is laid out as
-blocks before the rows, as browsers do.
+begin where their columns do, over as many columns and rows as they span.  A
+line of a cell that is longer than OVERHANG doesn't widen its column: it runs
+over it, and what follows in its line comes two spaces after.  Cells and rows
+outside of their table parts get them, and whatever else stands between those is
+laid out as blocks before the rows, as browsers do.
 
 Null html gives null, empty html an empty text.  Truncated and broken pages
-give what can be seen of them.  Depth is bounded (MOST_DEPTH); deeper elements
-are laid out in the last element above, so their text stays.
+give what can be seen of them.  Elements may be nested to any depth: neither the
+builder nor the layout calls itself.  Repeated rows and null ids are rendered
+like any others; an empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +34,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices
 
-MOST_DEPTH = 200
+#: Characters up to which a line of a cell widens its column, and up to which lists and quotations indent.
+OVERHANG = 400
+# Fixed values of HTML: the most that a span may say.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -71,6 +79,29 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts
 
 
+class Open(list):
+    """The open elements, outermost first, and how many of each tag there are: what isn't open needn't be looked for."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count = Counter([root.tag])
+        self.paragraphs = [0]  # for each element where the p is that a block would end, 0: none
+
+    def push(self, node: Node) -> None:
+        self.count[node.tag] += 1
+        last = len(self) if node.tag == "p" else 0 if node.tag in WALLS or node.tag == "button" else self.paragraphs[-1]
+        self.paragraphs.append(last)
+        self.append(node)
+
+    def cut(self, at: int) -> None:
+        """End all elements from place `at` on."""
+        self.count.subtract(n.tag for n in self[at:])
+        del self[at:], self.paragraphs[at:]
+
+    def some(self, tags: frozenset) -> bool:
+        return any(self.count[t] > 0 for t in tags)
+
+
 def attributes_of(text: str) -> dict[str, str]:
     """Names, in lower case, and values of a tag's attributes; of equal names the first counts."""
     out: dict[str, str] = {}
@@ -96,11 +127,13 @@ def declarations(style: str) -> dict[str, str]:
 def build(page: str) -> Node:
     """The page's tree."""
     root = Node("html")
-    stack = [root]
+    stack = Open(root)
     at, end = 0, len(page)
 
     def close(tags: frozenset, stop: frozenset) -> None:
         """End the outermost open element of tags below the nearest of stop."""
+        if not stack.some(tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in stop:
                 break
@@ -108,11 +141,13 @@ def build(page: str) -> Node:
                 found = depth
                 while found > 1 and stack[found - 1].tag in tags:
                     found -= 1
-                del stack[found:]
+                stack.cut(found)
                 break
 
     def table_part(tag: str) -> None:
         """Go up to where a part of a table belongs; a cell outside of rows gets one."""
+        if not stack.count["table"]:
+            return
         found = None
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag == "template":
@@ -120,12 +155,11 @@ def build(page: str) -> Node:
             if found is None and stack[depth].tag in TABLE_PARTS[tag]:
                 found = depth
             if stack[depth].tag == "table":
-                del stack[(found or depth) + 1 :]
+                stack.cut((found or depth) + 1)
                 if tag in CELLS and stack[-1].tag != "tr":
                     row = Node("tr")
                     stack[-1].children.append(row)
-                    if len(stack) < MOST_DEPTH:
-                        stack.append(row)
+                    stack.push(row)
                 return
 
     while at < end:
@@ -140,11 +174,11 @@ def build(page: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag in ("html", "body") or tag == "head" and not any(n.tag == "head" for n in stack):
+            if tag in ("html", "body"):
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if stack.count[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    stack.cut(depth)
                     break
                 if stack[depth].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
@@ -155,13 +189,13 @@ def build(page: str) -> Node:
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in UNSEEN and tag != "noscript":
-            stack.pop()  # the body begins
+            stack.cut(len(stack) - 1)  # the body begins
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in TABLE_PARTS:
             table_part(tag)
-        if tag in ENDS_P:
-            close(frozenset(["p"]), WALLS | {"button"})
+        if tag in ENDS_P and stack.paragraphs[-1]:
+            stack.cut(stack.paragraphs[-1])
         node = Node(tag, m[4])
         stack[-1].children.append(node)
         if tag in RAW or tag in ESCAPABLE_RAW:
@@ -169,8 +203,8 @@ def build(page: str) -> Node:
             inner = page[at : closing.start() if closing else end]
             node.children.append(entities.unescape(inner) if tag in ESCAPABLE_RAW else inner)
             at = end if closing is None else (page.find(">", closing.end()) + 1 or end)
-        elif tag not in VOID and len(stack) < MOST_DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
+            stack.push(node)
     return root
 
 
@@ -241,7 +275,22 @@ class Layout:
         return "\n".join(self.lines)
 
 
-def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> None:
+#: A part of the layout: it yields the parts that have to be done before it goes on.
+Steps = Iterator["Steps"]
+
+
+def done(steps: Steps) -> None:
+    """All of the layout, whatever its depth."""
+    waiting = [steps]
+    while waiting:
+        further = next(waiting[-1], None)
+        if further is None:
+            waiting.pop()
+        else:
+            waiting.append(further)
+
+
+def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> Steps:
     for child in node.children:
         if isinstance(child, str):
             out.verbatim(child) if pre else out.text(child)
@@ -257,36 +306,36 @@ def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> None:
             out.end_line()
         elif tag == "table":
             out.end_line(True)
-            lay_table(child, out, depth)
+            yield lay_table(child, out, depth)
             out.end_line(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.end_line(depth == 0)
-            lay_list(child, out, depth)
+            yield lay_list(child, out, depth)
             out.end_line(depth == 0)
         elif tag == "details" and "open" not in attributes_of(child.attributes):
             out.end_line()
-            lay(Node("div", "", [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), out, pre, depth)
+            yield lay(Node("div", "", [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), out, pre, depth)
             out.end_line()
         elif tag == "textarea":
             out.end_line()
-            lay(child, out, True, depth)
+            yield lay(child, out, True, depth)
             out.end_line()
         elif tag in BLOCK:
             spaced = tag in SPACED
             out.end_line(spaced)
             before = out.indent
             if tag in ("dd", "blockquote"):
-                out.indent += "  "
+                out.indent = (out.indent + "  ")[:OVERHANG]
             if tag == "pre" and child.children and isinstance(child.children[0], str):
                 child.children[0] = child.children[0].removeprefix("\n")
-            lay(child, out, pre or tag == "pre", depth)
+            yield lay(child, out, pre or tag == "pre", depth)
             out.end_line(spaced)
             out.indent = before
         else:
-            lay(child, out, pre, depth)
+            yield lay(child, out, pre, depth)
 
 
-def lay_list(node: Node, out: Layout, depth: int) -> None:
+def lay_list(node: Node, out: Layout, depth: int) -> Steps:
     start = _NUMBER.match(attributes_of(node.attributes).get("start", ""))
     number = int(start[1]) if start else 1
     before = out.indent
@@ -295,27 +344,99 @@ def lay_list(node: Node, out: Layout, depth: int) -> None:
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             out.end_line()
-            out.indent, out.marker = before + " " * len(marker), marker
-            lay(child, out, False, depth + 1)
+            out.indent, out.marker = (before + " " * len(marker))[:OVERHANG], marker
+            yield lay(child, out, False, depth + 1)
             out.end_line()
             out.marker = ""
             out.indent = before
         else:
-            lay(Node("div", "", [child]), out, False, depth + 1)
+            yield lay(Node("div", "", [child]), out, False, depth + 1)
 
 
 def table_parts(node: Node) -> Iterator[Node | str]:
-    """Rows, captions, and what else stands in a table, its sections and column groups."""
-    for child in node.children:
-        if isinstance(child, Node) and (child.tag in SECTIONS or child.tag == "colgroup"):
+    """Rows, captions, and what else stands in a table, its sections and column groups; rows of a section end with it."""
+    waiting = [iter(node.children)]
+    while waiting:
+        child = next(waiting[-1], None)
+        if child is None:
+            waiting.pop()
+            yield END_OF_ROWS
+        elif isinstance(child, Node) and (child.tag in SECTIONS or child.tag == "colgroup"):
             if visible(child):
-                yield from table_parts(child)
+                yield END_OF_ROWS
+                waiting.append(iter(child.children))
         else:
             yield child
 
 
-def lay_table(node: Node, out: Layout, depth: int) -> None:
-    rows = []
+#: Cells don't span rows beyond this.
+END_OF_ROWS = Node("")
+
+
+def span_of(cell: Node, name: str, most: int) -> int:
+    found = _NUMBER.match(attributes_of(cell.attributes).get(name, "")) if name in cell.attributes.lower() else None
+    return min(max(1, int(found[1])), most) if found else 1
+
+
+@dataclass
+class Grid:
+    """The cells of a table: where each begins, how many columns it spans, its lines."""
+
+    rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)
+    taken: dict[int, int] = field(default_factory=dict)  # for each column the rows that a cell above still spans
+
+    def add(self, cells: list[tuple[int, int, list[str]]]) -> None:
+        """A row of cells (columns, rows, lines), from the left wherever there is room."""
+        row, at, below = [], 0, {c: n - 1 for c, n in self.taken.items() if n > 1}
+        for columns, rows, lines in cells:
+            while self.taken.get(at):
+                at += 1
+            row.append((at, columns, lines))
+            if rows > 1:
+                below.update(dict.fromkeys(range(at, at + columns), rows - 1))
+            at += columns
+        self.taken = below
+        if row:
+            self.rows.append(row)
+
+    def starts(self) -> dict[int, int]:
+        """Where each column begins; columns without text of their own take no room."""
+        widths: dict[int, int] = {}
+        need = lambda lines: max((len(line) for line in lines if len(line) <= OVERHANG), default=0)
+        wide = []
+        for row in self.rows:
+            for at, columns, lines in row:
+                if columns == 1:
+                    widths[at] = max(widths.get(at, 0), need(lines))
+                else:
+                    wide.append((at, columns, need(lines)))
+        used = sorted({at for row in self.rows for at, _, _ in row})
+        for at, columns, width in sorted(wide):
+            inside = used[bisect_left(used, at) : bisect_left(used, at + columns)]
+            have = sum(widths.get(c, 0) + 2 for c in inside if widths.get(c) or c == inside[-1]) - 2
+            widths[inside[-1]] = widths.get(inside[-1], 0) + max(0, width - have)
+        starts, x = {}, 0
+        for c in used:
+            starts[c] = x
+            x += widths[c] + 2 if widths.get(c) else 0
+        return starts
+
+    def lines(self) -> Iterator[str]:
+        starts = self.starts()
+        for row in self.rows:
+            for i in range(max(len(lines) for _, _, lines in row)):
+                out, length = [], 0
+                for at, _, lines in row:
+                    text = lines[i] if i < len(lines) else ""
+                    if text:
+                        gap = max(starts[at] - length, 2 if length else 0)
+                        out += [" " * gap, text]
+                        length += gap + len(text)
+                yield "".join(out)
+
+
+def lay_table(node: Node, out: Layout, depth: int) -> Steps:
+    grid = Grid()
     before: list[Node] = []  # captions, and runs of what stands outside of any cell
 
     def stray(child: Node | str, run: bool) -> bool:
@@ -330,6 +451,9 @@ def lay_table(node: Node, out: Layout, depth: int) -> None:
 
     run = False
     for part in table_parts(node):
+        if part is END_OF_ROWS:
+            grid.taken = {}
+            continue
         if not isinstance(part, Node) or part.tag not in ("tr", *CELLS):
             run = stray(part, run)
             continue
@@ -344,31 +468,24 @@ def lay_table(node: Node, out: Layout, depth: int) -> None:
             run = False
             if visible(cell):
                 inner = Layout()
-                lay(cell, inner, False, depth + 1)
-                cells.append(inner.finished().split("\n"))
+                yield lay(cell, inner, False, depth + 1)
+                cells.append((span_of(cell, "colspan", MOST_COLUMNS), span_of(cell, "rowspan", MOST_ROWS), inner.finished().split("\n")))
         run = False
-        if cells:
-            rows.append(cells)
+        grid.add(cells)
     for block in before:
         out.end_line()
-        lay(block, out, False, depth)
+        yield lay(block, out, False, depth)
         out.end_line()
-    widths = [max((len(line) for row in rows if c < len(row) for line in row[c]), default=0) for c in range(max(map(len, rows), default=0))]
-    # Beyond this width columns are not padded: one long cell would fill every row with spaces.
-    padded = sum(widths) <= 400
-    for row in rows:
-        for i in range(max(map(len, row))):
-            parts = [(cell[i] if i < len(cell) else "").ljust(widths[c] if padded else 0) for c, cell in enumerate(row)]
-            line = "  ".join(parts).rstrip()
-            if line:
-                out.write(line)
-                out.end_line()
+    for line in grid.lines():
+        if line.strip():
+            out.write(line.rstrip(" "))
+            out.end_line()
 
 
 def render(page: str) -> str:
     """All visible text of a page."""
     out = Layout()
-    lay(build(page), out)
+    done(lay(build(page), out))
     return out.finished()
 
 

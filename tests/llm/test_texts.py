@@ -363,7 +363,7 @@ def test_misplaced_parts_of_tables_keep_their_text():
         parts = [rng.choice(["w%d " % i, "<%s>" % rng.choice(tags), "</%s>" % rng.choice(tags)]) for i in range(60)]
         got = html_text.render("".join(parts)).split()
         assert sorted("".join(got)) == sorted("".join(x for x in parts if x[0] == "w").replace(" ", "")), parts
-    for most in range(190, 204):
+    for most in (190, 203, 5000):
         assert "kept" in html_text.render("<div>" * most + "<table><tr><td>kept")
         assert "kept" in html_text.render("<div>" * most + "<table><td>kept")
     assert "deep" in html_text.render("<table>" * 1000 + "deep")
@@ -377,3 +377,86 @@ def test_only_attributes_of_that_name_hide():
     for page in UNSEEN:
         assert html_text.render(page) == "", page
     assert html_text.render('<ol data-start="7" start=" 3"><li>x</ol>') == "3. x"
+
+
+def test_rules_hold_at_any_depth():
+    for n in (250, 30_000):
+        page = "<div>" * n + "<div hidden>SECRET</div><p>seen<ul><li>item</ul><pre> kept  spaces</pre><table><tr><td>a<td>b<tr><td>long<td>c</table>"
+        assert html_text.render(page) == "seen\n\n- item\n\n kept  spaces\n\na     b\nlong  c"
+        assert html_text.render("<p>" + "<span>" * n + "x" + "</span>" * n + "<p>y") == "x\n\ny"
+        assert html_text.render("<ul><li>" * n + "x<p>y").split() == ["-", "x", "y"]
+    assert html_text.render("<table><tr><td>" * 3000 + "in").strip() == "in"
+
+
+SPANS = [
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>c</table>", "wide  c\na  b  c"),
+    ("<table><tr><td colspan=2>very wide<td>c<tr><td>a<td>b<td>c</table>", "very wide  c\na  b       c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</tbody></table>", "a  b\nc  d"),
+    ("<table><tr><td colspan=0>a<td colspan=x>b<tr><td colspan=99999>c</table>", "a  b\nc"),
+    ("<table><tr><td>a<td><td>b<tr><td>cc<td><td>d</table>", "a   b\ncc  d"),
+    ("<table><tr><td>a<br>bb<td>c<tr><td>d<td>e</table>", "a   c\nbb\nd   e"),
+]
+
+
+def test_cells_stand_in_their_columns():
+    for page, want in SPANS:
+        assert html_text.render(page) == want, page
+    row = "<tr>" + "".join(f"<td>{'x' * (30 + i % 5)}" for i in range(40))
+    lines = html_text.render(f"<table>{row}<tr>{'<td>y' * 40}</table>").split("\n")
+    assert [i for i, c in enumerate(lines[1]) if c == "y"] == [i for i, c in enumerate(lines[0]) if c == "x" and (i == 0 or lines[0][i - 1] == " ")]
+    long = "word " * 200
+    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>aaa<td>c<tr><td>a<td>d</table>") == f"{long.strip()}  b\naaa  c\na    d"
+
+
+def plain_rendering(tree):
+    """Blocks, inline elements, line breaks and hidden parts, by recursion."""
+    lines, line = [], []
+
+    def end():
+        if line:
+            lines.append(" ".join(line))
+            line.clear()
+
+    def walk(node):
+        for child in node[1]:
+            if isinstance(child, str):
+                line.append(child)
+            elif child[0] == "br":
+                if line:
+                    end()
+                elif lines:
+                    lines.append("")
+            elif child[0] in ("div", "section"):
+                end()
+                walk(child)
+                end()
+            elif child[0] not in ("script", 'div hidden', 'b style="display:none"'):
+                walk(child)
+
+    walk(tree)
+    end()
+    return "\n".join(lines)
+
+
+def test_random_trees_are_rendered_as_by_a_plain_renderer():
+    rng = random.Random(11)
+    tags = ["div", "section", "b", "span", "i", "br", "script", "div hidden", 'b style="display:none"']
+
+    def tree(depth):
+        tag = rng.choice(tags)  # a script holds text alone
+        return (tag, [f"w{rng.randrange(99)}" if rng.random() < 0.5 or depth > 5 or tag == "script" else tree(depth + 1) for _ in range(rng.randrange(5))])
+
+    def page(node):
+        inner = " ".join(c if isinstance(c, str) else page(c) for c in node[1])
+        return "<br>" if node[0] == "br" else f"<{node[0]}> {inner} </{node[0].split()[0]}>"
+
+    for _ in range(400):
+        node = ("div", [tree(0) for _ in range(4)])
+        assert html_text.render(page(node)) == plain_rendering(node), page(node)
+
+
+def test_pages_repeated_and_without_ids(spark):
+    rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, "b", "y"), (None, None, "y"), (2, "c" * 2_000_000, "z")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, n_lines string")).collect()
+    assert sorted(((str(r.page_id), (r.text or "")[:3], r.n_lines) for r in got), key=str) == [("1", "a", 1), ("1", "a", 1), ("2", "ccc", 1), ("None", "", None), ("None", "b", 1)]

@@ -10,12 +10,14 @@ starts on whole texts and goes on with each text's most toxic window; a text is
 scored by its most toxic window, over the whole text, and the margin is turned
 into a probability by a logistic fit on the training texts.
 
-The classifier is fitted on a bounded sample of labelled rows (Settings.rows of
-each class, by a hash of the id; texts over Settings.longest characters are not
-trained on).  Everything else covers all rows.  Only text is scored: null, empty
-and wordless texts get the score of a text whose words say nothing.  Without
-rows of both classes every score is the smoothed share of toxic labels.  Of
-several labels for one id the largest counts.
+The classifier is fitted on a bounded sample of labelled documents: Settings.rows
+of each class, by a hash of the id, of those whose text has 1 to Settings.longest
+characters; labels without such a document take no place in it.  Everything else
+covers all rows.  Only text is scored: null, empty and wordless texts get the
+score of a text whose words say nothing.  Without rows of both classes every
+score is the smoothed share of toxic labels.  Of several labels for one id the
+largest counts.  Repeated rows and null ids are scored like any others; an empty
+table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm.common import slices, texts_of
 
@@ -170,9 +173,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
         feature = bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words], n)]
         share = np.repeat(1.0 / (n * size[window]), n).astype(np.float32)  # of the feature in its window's mean
         where = np.repeat(window, n)
-        mean = np.empty((len(rows), settings.dim), np.float32)
-        for d in range(settings.dim):
-            mean[:, d] = np.bincount(where, weights=vectors[feature, d] * share, minlength=len(rows))
+        # Features stand window by window, and each window has some.
+        mean = np.add.reduceat(vectors[feature] * share[:, None], np.flatnonzero(np.diff(where, prepend=-1)))
         logits = mean @ output + bias
         logits -= logits.max(1, keepdims=True)
         chance = np.exp(logits)
@@ -180,10 +182,9 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
         chance[np.arange(len(rows)), labels[rows]] -= 1
         error = (chance * weight[rows, None]).astype(np.float32) / len(rows)
         back = error @ output.T
-        touched, inverse = np.unique(feature, return_inverse=True)
-        change = np.empty((len(touched), settings.dim), np.float32)
-        for d in range(settings.dim):
-            change[:, d] = np.bincount(inverse, weights=back[where, d] * share, minlength=len(touched))
+        order = np.argsort(feature.astype(np.int32), kind="stable")
+        touched, begins = np.unique(feature[order], return_index=True)
+        change = np.add.reduceat((back[where] * share[:, None])[order], begins)
         grad_output, grad_bias = mean.T @ error, error.sum(0)
         seen_vectors[touched] += (change**2).mean(1)
         seen_output[...] += grad_output**2
@@ -228,9 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lab
     """A model from labelled rows outside the fold held_out: at most settings.rows of each class, the lowest by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     known = known.where(fold(F.col("id")) != held_out)
-    ordered = [known.where(f"y {test} 0").orderBy(F.xxhash64("id"), "id").limit(settings.rows) for test in (">", "<=")]
-    chosen = ordered[0].unionAll(ordered[1])  # 2 * settings.rows ids at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, settings.longest))
+    # Labels that a document can be trained on with.
+    usable = known.join(texts.select("id"), "id", "left_semi")
+    ordered = [usable.where(f"y {test} 0").orderBy(F.xxhash64("id"), "id").limit(settings.rows) for test in (">", "<=")]
+    chosen = ordered[0].unionAll(ordered[1])  # 2 * settings.rows ids at most
     # One text for each id, the smallest: repeated ids can't enlarge the sample.
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("id").collect()
     return train([r.text for r in rows], np.array([int(r.y > 0) for r in rows], dtype=np.int64), settings)
@@ -265,8 +268,8 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns keep of docs, and the score of each row's text under the given name."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").withColumn(name, F.lit(0.0)).schema
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`"))
+    schema = StructType([*source.schema.fields[:-1], StructField(name, DoubleType())])
     scorer: list[Scorer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +282,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores until no column is called so."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id, held_out, score and predicted (1 if the score is at least one half)."""
     found = score(docs, fit(docs, labels, settings, id_col=id_col, text_col=text_col), [id_col], text_col)
@@ -289,4 +299,5 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text scores one half or more; all columns as they are."""
     model = fit(docs, labels, settings, id_col=id_col, text_col=text_col)
-    return score(docs, model, docs.columns, text_col, "__score").where("__score < 0.5").drop("__score")
+    name = free_name(docs, "score")
+    return score(docs, model, docs.columns, text_col, name).where(F.col(f"`{name}`") < 0.5).drop(name)

@@ -184,6 +184,25 @@ def test_toxic_rows_go_and_columns_stay(spark, toxic):
     assert {r.predicted for r in toxicity.classify(docs, one).collect()} == {0}
 
 
+def test_labels_without_a_usable_text_take_no_place_in_the_sample(spark, toxic):
+    rows, docs, labels = toxic
+    more = spark.createDataFrame([(10_000 + i, 1, i % 2) for i in range(3000)], labels.schema)
+    few = toxicity.Settings(rows=60, longest=5000)
+    held = {i: y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels.unionAll(more), few).collect()}
+    assert sum(got[i] == y for i, y in held.items()) / len(held) > 0.85
+
+
+def test_scores_of_repeated_rows_and_clashing_names(spark, toxic):
+    _, docs, labels = toxic
+    from pyspark.sql import functions as F
+
+    odd = docs.limit(50).unionAll(docs.limit(50)).withColumns({"__text": F.lit("a"), "score": F.lit("b"), "Score_": F.lit("c"), "held_out": F.lit("d")})
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.where("score = 'b' and __text = 'a'").count() == kept.count() > 0
+    assert toxicity.classify(odd, labels).count() == 100
+
+
 def test_best_windows_are_those_of_brute_force():
     rng = np.random.default_rng(0)
     lengths = np.array([0, 3, 12, 5, 0, 40, 1])

@@ -7,13 +7,14 @@ characters in a row share a chosen hash.
 
 A fingerprint is a string of ten hexadecimal digits for each chosen k-gram: two
 for the step from the position before (from 0 for the first), eight for the
-hash.  A text of fewer than k characters is hashed as one; the empty (or null)
+hash; a step is never longer than the window, which is 255 at most.  A text of fewer than k characters is hashed as one; the empty (or null)
 text has the empty fingerprint.  Likeness is the Jaccard similarity of the sets
 of chosen hashes; two empty fingerprints are alike (1.0).
 
 neighbours() also compares each text with an edited one and with the next row
-by id.  Rows with a null id come first; equal ids are ordered by text.  No row
-gives an empty result; a single row is its own next.
+by id, which has to be a whole number.  Rows with a null id come first; equal ids
+are ordered by text.  No row gives an empty result; a single row is its own next.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm.common import slices, texts_of
 
@@ -42,6 +44,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def chosen(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions and 32-bit hashes that winnowing chooses."""
+    if not 1 <= window <= 255 or k < 1:
+        raise ValueError(f"k of at least 1 and windows from 1 to 255: {k}, {window}")
     points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -107,8 +111,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
 
     The ranges begin at ids that are quantiles of all ids; only these bounds reach the driver.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} is no whole number: {kind.simpleString()}")
     shares = [i / (4 * parts) for i in range(4 * parts)]
-    bounds, nulls = docs.agg(F.expr(f"approx_percentile(`{id_col}`, array({','.join(map(str, shares))}), {max(10_000, 40 * parts)})"), F.count_if(F.col(id_col).isNull())).first()
+    bounds, nulls, null_text = docs.agg(F.expr(f"approx_percentile(`{id_col}`, array({','.join(map(str, shares))}), {max(10_000, 40 * parts)})"), F.count_if(F.col(id_col).isNull()), F.xxhash64(F.min(F.when(F.col(id_col).isNull(), F.coalesce(text_col, F.lit("")))))).first()
     bounds = np.array(sorted(set(bounds or [])), dtype=np.int64)
     last = max(0, len(bounds) - 1)
 
@@ -122,7 +129,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
         return ids.isin(bounds)
 
     place = lambda bucket, tail: F.struct(bucket.cast("int").alias("bucket"), F.lit(tail).alias("tail"))
-    first = F.col("id").isNull() if nulls else F.col("id") == F.lit(int(bounds[0]) if len(bounds) else 0)
+    # Of rows without an id only those with the smallest text can come first.
+    first = F.col("id").isNull() & (F.xxhash64(F.coalesce("text", F.lit(""))) == null_text) if nulls else F.col("id") == F.lit(int(bounds[0]) if len(bounds) else 0)
     copies = F.array(
         place(F.col("bucket"), 0),
         F.when(F.col("begins") & (F.col("bucket") > 0), place(F.col("bucket") - 1, 1)),

@@ -213,3 +213,20 @@ def test_neighbours_of_few_rows_and_null_ids(spark):
     assert [r.near_next for r in winnow.neighbours(spark.createDataFrame([(4, "abcd")], kind)).collect()] == [1.0]
     rows = [(None, "first"), (3, "aa"), (3, "bb"), (3, "bb"), (8, None)]
     assert winnow.neighbours(spark.createDataFrame(rows, kind)).count() == 5
+
+
+def test_fingerprints_refuse_what_they_cannot_hold(spark):
+    with pytest.raises(ValueError):
+        winnow.chosen("text", 12, 400)
+    with pytest.raises(TypeError):
+        winnow.neighbours(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_rows_without_ids_come_first_in_the_order_of_their_texts(spark):
+    texts = [f"text number {i} of many " * 9 for i in range(7)]
+    rows = [(None, t) for t in texts[:4]] + [(5, texts[4]), (5, texts[5]), (9, texts[6])]
+    got = winnow.neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = [*sorted(texts[:4]), *sorted(texts[4:6]), texts[6]]
+    prints = lambda t: set(winnow.chosen(t)[1].tolist())
+    want = sorted((winnow.fingerprint(*winnow.chosen(t)), winnow.likeness(prints(t), prints(order[(i + 1) % 7]))) for i, t in enumerate(order))
+    assert sorted((r.fingerprint, r.near_next) for r in got) == want

@@ -128,7 +128,7 @@ def vectors(rng):
     return rows
 
 
-@pytest.mark.parametrize("residents", [1024, 20])
+@pytest.mark.parametrize("residents", [1024, 20, 1])
 def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, residents):
     monkeypatch.setattr(embed_dedup, "RESIDENTS", residents)
     monkeypatch.setattr(embed_dedup, "BLOCK", 32)
@@ -149,6 +149,26 @@ def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, residents)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (counts[i], want[i], want[i] == i) for i in got}
 
 
+def test_vectors_of_any_length_and_size_are_linked(spark):
+    x = np.random.default_rng(3).normal(size=3000)
+    rows = [(1, (x * 1e200).tolist(), "a"), (2, (x * 1e-200).tolist(), "a"), (3, (-x).tolist(), "a"), (4, x.tolist(), "b"), (5, x[:2000].tolist(), "a"), (5, x[:2000].tolist(), "a"), (None, x.tolist(), "a")]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 2, 1), ("2", 2, 1), ("3", 0, 3), ("4", 0, 4), ("5", 1, 5), ("5", 1, 5), ("None", 2, 1)]
+
+
+def test_cells_in_two_levels_miss_no_link():
+    rng = np.random.default_rng(4)
+    x = embed_dedup.unit_vectors(rng.normal(size=(60, 8)).repeat(20, axis=0) + rng.normal(scale=0.2, size=(1200, 8)))
+    cells = embed_dedup.Cells(x, 200)
+    assert len(cells.coarse) > 5 and len(cells) > 100
+    home, at, cell = cells.of(x, np.sqrt(2 - 2 * 0.93) / 2)
+    goes = {*zip(at.tolist(), cell.tolist())}
+    assert all((i, int(h)) in goes for i, h in enumerate(home))
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(a) > 1000 and all((i, int(home[j])) in goes or (j, int(home[i])) in goes for i, j in zip(a.tolist(), b.tolist()))
+    assert len(goes) < 0.5 * len(x) * len(cells)
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embed_dedup.near_vectors(empty).count() == 0

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Scratch
 
 FIELD = "<*>"
+#: Leaves of several lines that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_LEAVES = 500_000
 
 
 @dataclass(frozen=True)
@@ -84,20 +86,21 @@ def _first() -> Column:
     return same & (~_one_id() | (F.col("mark") == F.col("low_mark")))
 
 
-def grown(lines: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
+def grown(scratch: Scratch, lines: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     """(key, template, chars, FACTS) of the lines (key, leaf, FACTS) whose leaf has others; texts: (key, leaf, plain)."""
-    shared = lines.groupBy("leaf").agg(F.count("*").alias("lines"), *_facts()).where((F.col("lines") > 1) & _several()).select("leaf")
+    shared = scratch.write(lines.groupBy("leaf").agg(F.count("*").alias("lines"), *_facts()).where((F.col("lines") > 1) & _several()).select("leaf"))
+    if shared.count() <= BROADCAST_LEAVES:  # else the texts of all lines are joined by a shuffle
+        shared = F.broadcast(shared)
     plain = texts.join(shared, "leaf", "left_semi").groupBy("key").agg(F.any_value("plain").alias("plain"))
     rows = lines.join(shared, "leaf", "left_semi").join(plain, "key")
     words = rows.select("leaf", "key", *FACTS, F.posexplode(F.split("plain", " ")).alias("at", "word"))
-    agreed = words.groupBy("leaf", "at", "word").agg(*_facts()).where(_several()).select("leaf", "at", "word", F.lit(True).alias("fixed"))
-    told = words.select("leaf", "key", "at", "word").join(agreed, ["leaf", "at", "word"], "left")
+    chars = F.length(F.replace("word", F.lit(FIELD), F.lit("")))
+    words = words.select("leaf", "key", *FACTS, F.xxhash64("leaf", "at", "word").alias("place"), chars.alias("chars"))
+    agreed = words.groupBy("place").agg(*_facts()).where(_several()).select("place", F.lit(True).alias("fixed"))
+    told = words.select("leaf", "key", "place", "chars").join(agreed, "place", "left")
     fixed = lambda value: F.when(F.col("fixed"), value)
     told = told.groupBy("leaf", "key").agg(
-        F.count("*").alias("size"),
-        F.count("fixed").alias("kept"),
-        F.coalesce(F.sum(fixed(F.length(F.replace("word", F.lit(FIELD), F.lit(""))))), F.lit(0)).alias("chars"),
-        F.bit_xor(fixed(F.xxhash64("at", "word"))).alias("sum"),
+        F.count("*").alias("size"), F.count("fixed").alias("kept"), F.coalesce(F.sum(fixed(F.col("chars"))), F.lit(0)).alias("chars"), F.bit_xor(fixed(F.col("place"))).alias("sum")
     )
     told = told.where(F.col("kept") >= F.lit(rules.agree) * F.col("size"))
     return told.select("key", F.xxhash64("leaf", "kept", "sum").alias("template"), "chars").join(lines.select("key", *FACTS), "key")
@@ -112,7 +115,7 @@ def recurring(scratch: Scratch, rows: DataFrame, rules: Rules) -> DataFrame:
         F.count("*").alias("docs"), F.count_if(F.col("id").isNull()).alias("nulls"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("mark").alias("low_mark"), F.max("mark").alias("high_mark")
     )
     lines = scratch.write(lines)
-    some = scratch.write(grown(lines, rows.select("key", "leaf", "plain"), rules))
+    some = scratch.write(grown(scratch, lines, rows.select("key", "leaf", "plain"), rules))
     enough = _several() & (F.col("docs") >= rules.least(documents, F.col("chars")))
     templates = some.groupBy("template").agg(F.max("chars").alias("chars"), *_facts()).where(enough).select("template", *FACTS)
     by_template = some.select("key", "template").join(templates, "template").select("key", *FACTS)

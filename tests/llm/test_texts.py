@@ -50,7 +50,9 @@ def brute_lines(rows, agree=0.75, share=0.001, halving=8.0):
     return out
 
 
-def test_recurring_templates_stay_in_the_first_document(spark):
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_recurring_templates_stay_in_the_first_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_LEAVES", broadcast)
     rng = random.Random(1)
     word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.choice(["", 1, 22]))
     shared = [" ".join(word() for _ in range(n)) for n in (2, 3, 5, 8, 12, 16, 21) for _ in range(3)]

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +13,13 @@ from lodestone.sources.scratch import Scratch
 KEY = ["class_id"]
 
 
-def archive_path() -> str:
-    """The smallest of the archives that ship with PySpark and hold ordinary classes."""
-    return sorted(glob.glob(f"{os.path.dirname(pyspark.__file__)}/jars/py4j-*.jar"))[0]
+def archive_path(spark: SparkSession) -> str:
+    """The archive that the JVM has the classes of its Python gateway from, wherever Spark is installed."""
+    return spark._jvm.java.lang.Class.forName("py4j.GatewayServer").getProtectionDomain().getCodeSource().getLocation().toString()
 
 
 def entries(spark: SparkSession) -> DataFrame:
-    return archives.named(archives.read_entries(spark, archive_path()))
+    return archives.named(archives.read_entries(spark, archive_path(spark)))
 
 
 def parsed(spark: SparkSession) -> DataFrame:
@@ -33,7 +29,7 @@ def parsed(spark: SparkSession) -> DataFrame:
 
 
 def class_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.inventory(archives.read_entries(spark, archive_path())).drop("archive")
+    return archives.inventory(archives.read_entries(spark, archive_path(spark))).drop("archive")
 
 
 def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

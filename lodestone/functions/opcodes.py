@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The constants that an opcode of their own pushes, and the longer form that pushes the same.
-SHORT_CONSTANTS = [
-    ("iconst_m1", 0x02, "bipush", "-1"), ("iconst_0", 0x03, "bipush", "0"), ("iconst_1", 0x04, "bipush", "1"), ("iconst_2", 0x05, "bipush", "2"),
-    ("iconst_3", 0x06, "bipush", "3"), ("iconst_4", 0x07, "bipush", "4"), ("iconst_5", 0x08, "bipush", "5"), ("lconst_0", 0x09, "ldc2_w", "0"),
-    ("lconst_1", 0x0A, "ldc2_w", "1"), ("fconst_0", 0x0B, "ldc", "0.0"), ("fconst_1", 0x0C, "ldc", "1.0"), ("fconst_2", 0x0D, "ldc", "2.0"),
-    ("dconst_0", 0x0E, "ldc2_w", "0.0"), ("dconst_1", 0x0F, "ldc2_w", "1.0"),
-]
-
-
 def equivalents(spark: SparkSession) -> DataFrame:
     """(a, b): a short constant's mnemonic and the longer form with its operand; for sequence_diff."""
-    return spark.createDataFrame([(short, f"{long} {operand}") for short, _, long, operand in SHORT_CONSTANTS], "a string, b string")
+    rows = [(f"iconst_{'m1' if v < 0 else v}", f"bipush {v}") for v in range(-1, 6)]
+    for kind, load, values, end in (("l", "ldc2_w", 2, ""), ("f", "ldc", 3, ".0"), ("d", "ldc2_w", 2, ".0")):
+        rows += [(f"{kind}const_{v}", f"{load} {v}{end}") for v in range(values)]
+    return spark.createDataFrame(rows, "a string, b string")
 
 
 def short_constant(kind: Column, value: Column) -> Column:

@@ -23,17 +23,20 @@ def idle_gotos(items: DataFrame, by: list[str], order: str = "ordinal") -> DataF
     return gotos.join(labels, [*by, "_run", "target_label"], "left_semi").select(*by, order)
 
 
-def chase(pointers: DataFrame, key: list[str], at: str, to: str, doublings: int = 20) -> DataFrame:
+def chase(pointers: DataFrame, key: list[str], at: str, to: str) -> DataFrame:
     """(key, at, end): where following pointers from at ends; null where it runs in a circle.
 
-    Every round doubles the reach, so what still moves after the last round is a circle: chains are shorter.
+    Every round doubles the reach, and no chain is longer than its key has pointers, so what still moves then runs in
+    a circle.
     """
     save = Scratch(pointers.sparkSession).write
-    hop = pointers.select(*key, F.col(at).alias("_at"), F.col(to).alias("_end"))
-    for _ in range(doublings):
+    hop = save(pointers.select(*key, F.col(at).alias("_at"), F.col(to).alias("_end"), F.lit(True).alias("_moved")))
+    longest, reach = hop.groupBy(*key).count().agg(F.max("count")).first()[0] or 0, 1
+    while reach <= 2 * longest:
         further = hop.select(*key, F.col("_at").alias("_end"), F.col("_end").alias("_next"))
         hop = hop.select(*key, "_at", "_end").join(further, [*key, "_end"], "left")
         hop = save(hop.select(*key, "_at", F.coalesce("_next", "_end").alias("_end"), F.col("_next").isNotNull().alias("_moved")))
+        reach *= 2
         if hop.where("_moved").isEmpty():
             break
     return hop.select(*key, F.col("_at").alias(at), F.when(~F.col("_moved"), F.col("_end")).alias("end"))
@@ -56,18 +59,17 @@ def collapse_gotos(items: DataFrame, by: list[str], order: str = "ordinal") -> D
     return joined.withColumn("target_label", F.coalesce("_to", "target_label")).select(*items.columns)
 
 
-def clean(items: DataFrame, by: list[str], order: str = "ordinal", most_rounds: int = 16) -> DataFrame:
-    """Nops once, then chains and idle gotos until nothing changes."""
+def clean(items: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:
+    """Nops once, then chains and idle gotos until nothing changes: every round but the last takes some away."""
     save = Scratch(items.sparkSession).write
     items = remove_nops(items, by, order)
-    for _ in range(most_rounds):
+    while True:
         items = save(collapse_gotos(items, by, order))
         idle = idle_gotos(items, by, order)
         if idle.isEmpty():
-            break
+            return items
         marked = items.join(idle.withColumn("_idle", F.lit(True)), [*by, order], "left")
         items = remove(marked, F.coalesce("_idle", F.lit(False)), by, order).select(*items.columns)
-    return items
 
 
 def remove_nops_of_straight_code(items: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:

@@ -1,8 +1,8 @@
 """Class hierarchies: closures over an edge table (child, parent, edge_ordinal, kind).
 
 Edge 0 of a class is its super class, the others its interfaces in order.
-Closures grow one level a round, as a join of the frontier with the edges, and
-keep of each pair the first visit: lowest depth, then lowest path of ordinals.
+Closures double their reach every round and keep of each pair the first visit:
+lowest depth, then lowest path of ordinals.
 """
 
 from __future__ import annotations
@@ -25,23 +25,26 @@ def edges_of(classes: DataFrame) -> DataFrame:
     return rows.where(F.col("parent").isNotNull()).withColumn("kind", F.when(F.col("edge_ordinal") == 0, "super").otherwise("interface"))
 
 
-def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(child, ancestor, depth, path): every ancestor but the child itself, at its first visit.  Cycles are absorbed."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(child, ancestor, depth, path): every ancestor but the child itself, at its first visit.  Cycles are absorbed.
+
+    A first visit of depth 2^k + m goes on by a first visit of depth m from where a first visit of depth 2^k ends, so
+    after k rounds all of up to 2^k steps are known, and one round without new pairs ends the search.
+    """
     save = Scratch(edges.sparkSession).write
-    edges = save(edges)
-    step = edges.select(F.col("child").alias("_from"), F.col("parent").alias("_to"), F.col("edge_ordinal").cast("int").alias("_ordinal"))
-    best = F.min_by(F.struct("depth", "path"), F.struct("depth", "path")).alias("v")
-    found = edges.where(F.col("child") != F.col("parent")).select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array(F.col("edge_ordinal").cast("int")).alias("path"))
-    frontier = save(found.groupBy("child", "ancestor").agg(best).select("child", "ancestor", "v.*"))
-    levels = [frontier]
-    for depth in range(2, most_depth + 1):
-        new = frontier.join(step, F.col("ancestor") == F.col("_from")).select("child", F.col("_to").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_ordinal")).alias("path"))
-        new = new.where(F.col("child") != F.col("ancestor")).groupBy("child", "ancestor").agg(best).select("child", "ancestor", "v.*")
-        frontier = save(new.join(reduce(DataFrame.unionByName, levels), ["child", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(frontier)
-    raise ValueError(f"deeper than {most_depth} levels")
+    best = F.min(F.struct("depth", "path")).alias("v")
+    near = edges.where(F.col("child") != F.col("parent")).select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array(F.col("edge_ordinal").cast("int")).alias("path"))
+    rounds, reach = [save(near.groupBy("child", "ancestor").agg(best).select("child", "ancestor", "v.*"))], 1
+    while True:
+        known = reduce(DataFrame.unionByName, rounds)
+        first = rounds[-1].where(F.col("depth") == reach).select("child", F.col("ancestor").alias("middle"), F.col("path").alias("_path"))
+        onward = known.select(F.col("child").alias("middle"), "ancestor", "depth", "path")
+        new = first.join(onward, "middle").where(F.col("child") != F.col("ancestor")).select("child", "ancestor", (F.col("depth") + reach).alias("depth"), F.concat("_path", "path").alias("path"))
+        new = save(new.join(known, ["child", "ancestor"], "left_anti").groupBy("child", "ancestor").agg(best).select("child", "ancestor", "v.*"))
+        if new.isEmpty():
+            return known
+        rounds.append(new)
+        reach *= 2
 
 
 def visit_order(closed: DataFrame) -> DataFrame:
@@ -58,17 +61,12 @@ def superclasses(edges: DataFrame) -> DataFrame:
     return chain.unionByName(root)
 
 
-def cycles(edges: DataFrame, most_depth: int = 64) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(child) of the classes that their own super chain reaches again: an error for a superclass walk."""
-    save = Scratch(edges.sparkSession).write
-    up = save(edges.where("kind = 'super'").select("child", "parent"))
-    reached, looped = up.select("child", F.col("parent").alias("at")), []
-    for _ in range(most_depth):
-        looped.append(reached.where("child = at").select("child"))
-        reached = save(reached.where("child != at").join(up.select(F.col("child").alias("at"), "parent"), "at").select("child", F.col("parent").alias("at")))
-        if reached.isEmpty():
-            break
-    return reduce(DataFrame.unionAll, looped).distinct()
+    up = edges.where("kind = 'super'")
+    above = closure(up).select(F.col("child").alias("parent"), F.col("ancestor").alias("child"))
+    itself = up.where(F.col("child") == F.col("parent")).select("child")
+    return up.join(above, ["parent", "child"], "left_semi").select("child").unionAll(itself).distinct()
 
 
 def unresolved(edges: DataFrame, classes: DataFrame) -> DataFrame:

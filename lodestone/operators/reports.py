@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import Scratch
+
 
 def top_groups(df: DataFrame, group: Column, condition: Column, name: str = "name", limit: int = 10) -> DataFrame:
     """(name, n, n_matching): the largest groups by n, then matching rows, then name."""
@@ -61,10 +63,16 @@ def multiplicity(df: DataFrame, key: list[str], at_least: int = 2) -> DataFrame:
 def dictionary(df: DataFrame, value: str, order: str, name: str = "code") -> DataFrame:
     """(value, code): dense codes from 0 by first appearance.
 
-    The codes of all values need one order, so the distinct values pass one task; the rows do not.
+    The distinct values are dealt out by ranges of that order and numbered in each; only the sizes of the ranges come
+    together.
     """
     first = df.groupBy(value).agg(F.min(order).alias("at"))
-    return first.select(value, (F.row_number().over(Window.orderBy("at", value)) - 1).alias(name))
+    dealt = Scratch(df.sparkSession).write(first.repartitionByRange("at", value).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))  # a row for each shuffle partition at most
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("at", value)) - 1
+    return dealt.withColumn("_within", within).join(F.broadcast(starts), "_range").select(value, (F.col("_before") + F.col("_within")).alias(name))
 
 
 def dangling(df: DataFrame, reference: str, known: DataFrame, key: str) -> DataFrame:

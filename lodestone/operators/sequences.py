@@ -54,9 +54,24 @@ def greedy(positions: Column, length: int) -> Column:
 
 
 def find_greedy(df: DataFrame, pattern: list[Column], by: list[str], order: str) -> DataFrame:
-    """(by, order) of the non-overlapping matches.  order must count rows from any number on without gaps."""
-    hits = find_all(df, pattern, by, order).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(order).cast("bigint"))).alias("_all"))
-    return hits.select(*by, F.explode(greedy(F.col("_all"), len(pattern))).alias(order))
+    """(by, order) of the non-overlapping matches.  order must count rows from any number on without gaps.
+
+    A start as far from the one before as the pattern is long is taken in any case, so each run of nearer starts is
+    scanned by itself.  In a run without gaps every n-th is taken; only the others are put in an array.
+    """
+    n = len(pattern)
+    w = _keyed(by, order)
+    hits = find_all(df, pattern, by, order).withColumn(order, F.col(order).cast("bigint"))
+    if n < 2:
+        return hits
+    gap = F.col(order) - F.lag(order).over(w)
+    runs = hits.withColumn("_gap", gap).withColumn("_run", islands(F.col("_gap").isNull() | (F.col("_gap") >= n), by, order))
+    spans = runs.groupBy(*by, "_run").agg(F.min(order).alias("_first"), F.max(order).alias("_last"), F.count("*").alias("_n"))
+    dense = F.col("_last") - F.col("_first") + 1 == F.col("_n")
+    every = spans.where(dense).select(*by, F.explode(F.sequence("_first", "_last", F.lit(n).cast("bigint"))).alias(order))
+    loose = runs.join(spans.where(~dense).select(*by, "_run"), [*by, "_run"], "left_semi")
+    loose = loose.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(order)).alias("_all"))
+    return every.unionByName(loose.select(*by, F.explode(greedy(F.col("_all"), n)).alias(order)))
 
 
 def renumber(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType
 from lodestone.functions import flags as bits
 from lodestone.operators import matchers, sequences
 from lodestone.plans.pipeline import Catalog
+from lodestone.sources.scratch import Scratch
 
 TABLES = {"class": "classes", "field": "fields", "method": "methods"}
 RULE_KEYS = {"kind", "name", "matcher", "owner", "action", "code_actions"}
@@ -128,6 +129,7 @@ def typed(rows: DataFrame, column: str, value: Column) -> Column:
 
 def apply(catalog: Catalog, rules: list[dict]) -> tuple[Catalog, DataFrame]:
     """The patched catalog, and a row (rule, kind, matched_classes, changed_classes, matched_targets, changed_targets) for each rule."""
+    save = Scratch(catalog.classes.sparkSession).write
     counts = None
     for number, rule in enumerate(rules):
         kind, table = rule["kind"], TABLES[rule["kind"]]
@@ -147,6 +149,7 @@ def apply(catalog: Catalog, rules: list[dict]) -> tuple[Catalog, DataFrame]:
                 differs = differs | ~F.col(column).eqNullSafe(typed(rows, column, value))
             marked = marked.withColumn("_new", F.col("_hit") & differs)
             after = lambda df, v=values, r=rows: df.withColumns({c: F.when(F.col("_hit"), typed(r, c, x)).otherwise(F.col(c)) for c, x in v.items()})
+        marked = save(marked)  # counted and edited from here: no rule is applied again for those after it
         once = lambda flag: F.count_distinct(F.when(F.col(flag), F.col("class_id")))
         count = marked.agg(once("_hit").alias("matched_classes"), once("_new").alias("changed_classes"), F.count_if("_hit").alias("matched_targets"), F.count_if("_new").alias("changed_targets"))
         if rule["code_actions"]:
@@ -162,7 +165,7 @@ def apply(catalog: Catalog, rules: list[dict]) -> tuple[Catalog, DataFrame]:
                 count = code.select(F.col("c").alias("matched_classes"), F.col("c").alias("changed_classes"), F.col("t").alias("matched_targets"), F.col("t").alias("changed_targets"))
             else:
                 count = count.crossJoin(F.broadcast(code)).select(*(F.col(f"{a}_classes") for a in ("matched", "changed")), *((F.col(f"{a}_targets") + F.col("t")).alias(f"{a}_targets") for a in ("matched", "changed")))  # one row with one row
-            catalog = replace(catalog, code_items=chosen.select(*catalog.code_items.columns).unionByName(rest))
+            catalog = replace(catalog, code_items=save(chosen.select(*catalog.code_items.columns).unionByName(rest)))
         count = count.select(F.lit(number).alias("ordinal"), F.lit(rule["name"]).alias("rule"), F.lit(kind).alias("kind"), "*")
         counts = count if counts is None else counts.unionByName(count)
         catalog = replace(catalog, **{table: after(marked).select(*rows.columns)})

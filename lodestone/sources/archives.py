@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -31,7 +32,10 @@ def _unzip(path: str, data: bytes) -> Iterator[tuple]:
                 mtime = datetime(max(year, 1980), max(month, 1), max(day, 1), *rest)
             except ValueError:
                 mtime = None
-            content = b"" if info.is_dir() else archive.read(info)
+            try:
+                content = b"" if info.is_dir() else archive.read(info)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError):  # damaged, encrypted or of a method unknown
+                content = None
             yield (path, ordinal, info.filename, info.is_dir(), info.compress_type, mtime, info.external_attr >> 16, info.create_system, info.comment, info.extra, content)
 
 
@@ -41,7 +45,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzip(files: DataFrame) -> DataFrame:
-    """The entries of files (path, content)."""
+    """The entries of files (path, content); content is null where it can't be read."""
     schema = StructType.fromDDL(ENTRIES)
     kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.timestamp("us", "UTC"), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -54,7 +58,7 @@ def unzip(files: DataFrame) -> DataFrame:
                     continue
                 for row in _unzip(file, data):
                     rows.append(row)
-                    size += len(row[-1])
+                    size += len(row[-1] or b"")
                     if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
                         rows, size = [], 0

@@ -25,13 +25,15 @@ with a null id count as others do but give no component_id of their own.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, slices, texts_of
@@ -40,6 +42,8 @@ from lodestone.llm.components import components
 #: Slots of the count table, and in how many pieces it is summed.
 SLOT_BITS, PIECES = 23, 32
 SLOTS = 1 << SLOT_BITS
+#: Tasks whose counts are summed together before.
+TOGETHER = 64
 #: Bits of a set's parity bitmap.
 BITS = 1024
 #: Lists up to this size are compared throughout; the others by pivots first.
@@ -123,8 +127,18 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _counts_row(key: list, counts: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Counts as a byte for each slot, and the rest of those that need more."""
+    large = np.flatnonzero(counts > 255)
+    rest = np.stack([large, counts[large].astype(np.int64) - 255]).astype("<i8").tobytes()
+    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes() + rest], pa.binary())], names)
+
+
 def shingle_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """For each slot how often its shingles occur in all documents, as steps of a logarithm (SLOTS numbers, whatever the input)."""
+    """For each slot how often its shingles occur in all documents, as steps of a logarithm (SLOTS numbers, whatever the input).
+
+    Tasks are summed in groups of TOGETHER first, so that few tables meet in the PIECES tasks that sum all.
+    """
     size = SLOTS // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,30 +146,35 @@ def shingle_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
         for batch in slices(batches):
             slots = _slot(np.concatenate(shingles(texts_of(batch[0]), k)))
             np.add.at(counts, slots, 1)
+        group = TaskContext.get().partitionId() // TOGETHER
         for i in range(PIECES):
             piece = counts[i * size : (i + 1) * size]
             if piece.any():
-                # A byte for each slot, and the rest of those that need more.
-                large = np.flatnonzero(piece > 255)
-                rest = np.stack([large, piece[large] - 255]).astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(piece, 255).astype(np.uint8).tobytes() + rest], pa.binary())], ["piece", "counts"])
+                yield _counts_row([i, group], piece, ["piece", "together", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, counts in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                total = sums.setdefault(piece, np.zeros(size, np.int64))
+            for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                total = out.setdefault(piece, np.zeros(size, np.int64))
                 total += np.frombuffer(counts, np.uint8, size)
                 large, more = np.frombuffer(counts, "<i8", offset=size).reshape(2, -1)
                 total[large] += more
-        for piece, counts in sums.items():
+        return out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, counts in sums(batches).items():
+            yield _counts_row([piece], counts, ["piece", "counts"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, counts in sums(batches).items():
             levels = np.round(4 * np.log2(counts + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["piece", "counts"])
 
     kind = "piece int, counts binary"
-    rows = docs.select(text_col).mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()
+    grouped = docs.select(text_col).mapInArrow(count, "piece int, together int, counts binary").repartition("piece", "together").mapInArrow(add, kind)
     levels = np.zeros(SLOTS, np.uint8)
-    for piece, counts in rows:
+    for piece, counts in grouped.repartition(PIECES, "piece").mapInArrow(level, kind).collect():
         levels[piece * size : (piece + 1) * size] = np.frombuffer(counts, np.uint8)
     return levels
 
@@ -301,24 +320,31 @@ class Linker:
         pairs = self.large.join(self.others(chosen, "before"), "list").where(first & self.near())
         return self.fitting(pairs.select("own", "o_own", "n", "o_n"))
 
+    def zone(self, n: str) -> Column:
+        """Sizes of sets that may be alike are in the same zone or in zones next to each other."""
+        return F.floor(F.log(F.col(n).cast("double")) / F.lit(1.001 * math.log(100 / self.sim.percent))).cast("int")
+
     def apart(self, pivots: int | None) -> DataFrame:
-        """Pairs of different components, of large lists that hold several: sets outside the list's largest component with so many of that (None: all)."""
+        """Pairs of different components, of large lists that hold several: sets outside the list's largest component with about so many of that (None: all).
+
+        Only sets of near sizes meet.
+        """
         found = self.roots()
         if found is None:
             rooted = self.large.withColumn("root", F.col("own"))
         else:
             rooted = self.large.join(found, "own", "left").withColumn("root", F.coalesce("root", "own"))
         sizes = rooted.groupBy("list", "root").agg(F.count("*").alias("rows"))
-        main = sizes.groupBy("list").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("list", "main")
-        rows = self.scratch.write(rooted.join(main, "list").join(self.bits, "own"))
-        outside = rows.where("root != main")
-        if pivots is not None:
-            low = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("own", "list"), "own"))
-            inside = rows.where("root = main").withColumn("k", low).where(F.col("k") <= pivots)
-        else:
-            inside = rows
+        main = sizes.groupBy("list").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.max("rows").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+        rows = self.scratch.write(rooted.join(main.select("list", "main", "rows"), "list").join(self.bits, "own").withColumn("zone", self.zone("n")))
+        outside = rows.where("root != main").drop("rows")
+        inside = rows
+        if pivots is not None:  # by chance more or fewer, or none: the others are compared later
+            inside = rows.where("root = main").where(F.pmod(F.xxhash64("own", "list"), F.col("rows")) < pivots)
+        inside = inside.withColumn("zone", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)))
         test = self.near() & (F.col("root") != F.col("o_root")) & ~F.arrays_overlap("before", "o_before") & self.fits("bits", "o_bits", "n", "o_n")
-        return outside.join(self.others(inside, "before", "bits", "root"), "list").where(test).select("own", "o_own")
+        others = inside.select("list", "zone", *(F.col(c).alias(f"o_{c}") for c in ("own", "n", "pos", "before", "bits", "root")))
+        return outside.join(others, ["list", "zone"]).where(test).select("own", "o_own")
 
     def run(self) -> DataFrame | None:
         """(own, root) for the sets that any link joins; None without links."""

@@ -100,6 +100,16 @@ def _means(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owners, weights=values, minlength=n) / np.maximum(np.bincount(owners, minlength=n), 1)
 
 
+def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values (below size) in order, and which of them each value is; no sort."""
+    seen = np.zeros(size, bool)
+    seen[values] = True
+    distinct = np.flatnonzero(seen)
+    number = np.empty(size, np.int64)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number[values]
+
+
 def best_windows(parts: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts whose words' parts lie one after another: where the window with the largest mean begins, its size, its mean (0 for no words)."""
     sums = np.concatenate([[0.0], np.cumsum(parts)])
@@ -169,13 +179,16 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
         nonlocal output, bias
         window = np.repeat(np.arange(len(rows)), size)
         words = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at, size)]
-        n = per_word[words]
-        feature = bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words], n)]
-        share = np.repeat(1.0 / (n * size[window]), n).astype(np.float32)  # of the feature in its window's mean
-        where = np.repeat(window, n)
+        # A word's vector is summed once a batch, however often it stands there.
+        word, place = _numbered(words, len(known))
+        n = per_word[word]
+        begin = np.cumsum(n) - n
+        feature = bucket[np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(first[word], n)]
+        embedded = np.add.reduceat(vectors[feature], begin, axis=0) / n[:, None]
+        share = 1.0 / size[window]  # of the word in its window's mean
         mean = np.empty((len(rows), settings.dim), np.float32)
         for d in range(settings.dim):
-            mean[:, d] = np.bincount(where, weights=vectors[feature, d] * share, minlength=len(rows))
+            mean[:, d] = np.bincount(window, weights=embedded[place, d] * share, minlength=len(rows))
         logits = mean @ output + bias
         logits -= logits.max(1, keepdims=True)
         chance = np.exp(logits)
@@ -183,10 +196,14 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Model:
         chance[np.arange(len(rows)), labels[rows]] -= 1
         error = (chance * weight[rows, None]).astype(np.float32) / len(rows)
         back = error @ output.T
-        touched, inverse = np.unique(feature, return_inverse=True)
+        pull = np.empty((len(word), settings.dim))
+        for d in range(settings.dim):
+            pull[:, d] = np.bincount(place, weights=back[window, d] * share, minlength=len(word))
+        pull /= n[:, None]
+        touched, inverse = _numbered(feature, settings.buckets)
         change = np.empty((len(touched), settings.dim), np.float32)
         for d in range(settings.dim):
-            change[:, d] = np.bincount(inverse, weights=back[where, d] * share, minlength=len(touched))
+            change[:, d] = np.bincount(inverse, weights=np.repeat(pull[:, d], n), minlength=len(touched))
         grad_output, grad_bias = mean.T @ error, error.sum(0)
         seen_vectors[touched] += (change**2).mean(1)
         seen_output[...] += grad_output**2

@@ -484,7 +484,7 @@ def name_kinds(spark, sf_dir):
 
 @query("""select l_orderkey, l_linenumber, (3 - l_partkey % 4) as padding, case when l_quantity between 0 and 5 then cast(l_quantity as integer) + 3 end as short_constant, case when l_linenumber between 0 and 3 then 26 + 4 * (l_suppkey % 5) + l_linenumber end as shortcut,
           case when 153 + l_partkey % 16 <= 166 then case when (153 + l_partkey % 16) % 2 = 1 then 154 + l_partkey % 16 else 152 + l_partkey % 16 end end as inverted from lineitem""")
-def opcode_facts(spark, sf_dir):
+def insn_facts(spark, sf_dir):
     i = F.col
     items = read(spark, sf_dir, "lineitem")
     return items.select(

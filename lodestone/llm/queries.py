@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytebpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, toxicity, winnow, wordbpe
+from lodestone.llm import bytebpe, cut_bpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, toxicity, winnow, wordbpe
 from lodestone.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_cut_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_cut_bpe": op11_cut_bpe,
 }
 #: The same templates with words joined by spaces in place of hashes.
 LINE_DEDUP_SQL = r"""

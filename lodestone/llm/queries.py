@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytebpe, cut_bpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, toxicity, winnow, wordbpe
+from lodestone.llm import bytebpe, cut_bpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, resample, toxicity, winnow, wordbpe
 from lodestone.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op11_cut_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = resample.Settings(words=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), settings)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -67,6 +72,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_cut_bpe": op11_cut_bpe,
+    "op13_resample": op13_resample,
 }
 #: The same templates with words joined by spaces in place of hashes.
 LINE_DEDUP_SQL = r"""
@@ -102,4 +108,34 @@ joined as (select d.*, coalesce(c.n, 0) as n_gone, case when c.n is null then d.
   from documents d left join counts c using (doc_id) left join kept k using (doc_id))
 select doc_id, new_text as text, lang, source, case when n_gone > 0 then length(new_text) else n_chars end as n_chars, n_gone as n_dropped from joined"""
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+#: The same with a CRC-32 of each distinct word, byte by byte.
+RESAMPLE_SQL = r"""
+with bits as (
+  select i, list_reduce(range(8), lambda c, _: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i)),
+crc_table as (select list(c order by i) as t from bits),
+own as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents),
+aim as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+words as (select w from own union select w from aim),
+spelled as (
+  select w, list_transform(range(octet_length(encode(w))), lambda i: 16 * (instr('0123456789ABCDEF', hex(w)[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hex(w)[2 * i + 2]) - 1) as bytes from words),
+bucketed as (
+  select w, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket from spelled, crc_table),
+s as (select bucket, count(*) as s from own join bucketed using (w) group by 1),
+t as (select bucket, count(*) as t from aim join bucketed using (w) group by 1),
+totals as (select (select count(*) from own)::double as ss, (select count(*) from aim)::double as tt),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (ss + 10000) / ((coalesce(s, 0) + 1.0::double) * (tt + 10000))))::bigint as gain
+  from (select distinct bucket from bucketed) left join s using (bucket) left join t using (bucket), totals),
+sums as (select doc_id, count(*) as n, floor(sum(gain) / count(*)::double)::bigint as weight from own join bucketed using (w) join gains using (bucket) group by 1),
+scored as (
+  select d.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::ubigint + 0.5) / 4294967296.0::double)))::bigint as score
+  from documents d left join sums using (doc_id)),
+ordered as (
+  select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place,
+    count(*) filter (where n_features >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from ordered"""
+
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL, "op13_resample": RESAMPLE_SQL}

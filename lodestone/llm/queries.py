@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bytebpe, cut_bpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, resample, toxicity, winnow, wordbpe
+from lodestone.llm import bytebpe, collocate, cut_bpe, embed_dedup, html_text, linededup, lm_score, ngram_join, packing, resample, toxicity, winnow, wordbpe
 from lodestone.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_cut_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.collocations(table(spark, sf_dir, "documents"), collocate.Settings(most=5, least=100, share=100, top=2000))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = resample.Settings(words=1, buckets=10_000, seed=2024, least_words=20, percent=10)
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), settings)
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_cut_bpe": op11_cut_bpe,
+    "op12_collocations": op12_collocations,
     "op13_resample": op13_resample,
 }
 #: The same templates with words joined by spaces in place of hashes.
@@ -108,6 +113,29 @@ joined as (select d.*, coalesce(c.n, 0) as n_gone, case when c.n is null then d.
   from documents d left join counts c using (doc_id) left join kept k using (doc_id))
 select doc_id, new_text as text, lang, source, case when n_gone > 0 then length(new_text) else n_chars end as n_chars, n_gone as n_dropped from joined"""
 
+#: The same with every phrase of 1 to 5 words spelled out.
+COLLOCATIONS_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+spans as (select lang, k, ws, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest(range(1, 6)) as k)),
+f as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase, count(*) as f from spans group by 1, 2, 3 having count(*) >= 100),
+totals as (select lang, sum(len(ws))::bigint as n from w group by 1),
+parts as (select lang, k, phrase, f, string_split(phrase, ' ') as ws from f where k > 1),
+inner_spans as (
+  select lang, k, ws, f, m, unnest(range(1, k - m + 2)) as i from parts, (select unnest(range(2, 5)) as m) where m < k),
+held as (select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, max(f) as holder from inner_spans group by 1, 2),
+own as (select p.* from parts p left join held h using (lang, phrase) where h.holder is null or 100 * h.holder < 100 * p.f),
+cuts as (select lang, phrase, f as a, k, ws, unnest(range(1, k)) as cut from own),
+scored as (
+  select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, t.n, (1000::hugeint * c.a * t.n) // (x.f::hugeint * y.f) as score
+  from cuts c join totals t using (lang)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1 : c.cut], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[c.cut + 1 : c.k], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from best qualify rank <= 2000"""
+
 #: The same with a CRC-32 of each distinct word, byte by byte.
 RESAMPLE_SQL = r"""
 with bits as (
@@ -138,4 +166,4 @@ ordered as (
     count(*) filter (where n_features >= 20) over () as able from scored)
 select doc_id, n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from ordered"""
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL, "op13_resample": RESAMPLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL, "op12_collocations": COLLOCATIONS_SQL, "op13_resample": RESAMPLE_SQL}

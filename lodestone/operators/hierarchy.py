@@ -2,7 +2,8 @@
 
 Edge 0 of a class is its super class, the others its interfaces in order.
 Closures double their reach every round and keep of each pair the first visit:
-lowest depth, then lowest path of ordinals.
+lowest depth, then lowest path of ordinals.  Super edges alone are a forest: its
+chains, circles and common classes come from lifting (lodestone.operators.ancestry).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import ancestry
 from lodestone.sources.scratch import Scratch
 
 OBJECT = "java/lang/Object"
@@ -52,21 +54,48 @@ def visit_order(closed: DataFrame) -> DataFrame:
     return closed.withColumn("position", F.row_number().over(Window.partitionBy("child").orderBy("depth", "path")) - 1)
 
 
+def super_lifting(edges: DataFrame) -> ancestry.Lifting:
+    """The super edges alone, lifted."""
+    return ancestry.lift(edges.where("kind = 'super'").select("child", "parent"))
+
+
 def superclasses(edges: DataFrame) -> DataFrame:
-    """(child, ancestor, depth) by super edges only, nearest first; the root is added where a chain ends elsewhere."""
-    chain = closure(edges.where("kind = 'super'")).select("child", "ancestor", "depth")
-    ends = edges.select("child").distinct().join(chain.where(F.col("ancestor") == OBJECT).select("child"), "child", "left_anti")
-    depth = chain.groupBy("child").agg((F.max("depth") + 1).alias("depth"))
-    root = ends.where(F.col("child") != OBJECT).join(depth, "child", "left").select("child", F.lit(OBJECT).alias("ancestor"), F.coalesce("depth", F.lit(1)).alias("depth"))
-    return chain.unionByName(root)
+    """(child, ancestor, depth) by super edges only, nearest first; the root is added where a chain ends elsewhere.
+
+    Classes whose chain runs into a circle have no rows: superclass_chain() tells them.
+    """
+    lifting = super_lifting(edges)
+    chain = ancestry.chains(lifting).select(F.col("node").alias("child"), "ancestor", "depth")
+    tops = edges.select(F.col("child").alias("node")).distinct().join(lifting.endless.select("node"), "node", "left_anti").join(lifting.tops, "node", "left")
+    ends = tops.where((F.col("node") != OBJECT) & (F.coalesce("top", "node") != OBJECT))
+    return chain.unionAll(ends.select(F.col("node").alias("child"), F.lit(OBJECT).alias("ancestor"), (F.coalesce("depth", F.lit(0)) + 1).alias("depth")))
+
+
+def superclass_chain(edges: DataFrame, classes: DataFrame | None = None, children: DataFrame | None = None) -> DataFrame:
+    """(child, depth, ancestor, error) of each child (all, or those of (child)): its super classes, or one row with what is wrong.
+
+    A chain into a circle is an error "cycle" at the smallest class of that circle; one that ends at a class which is not
+    among `classes` (name) is an error "unresolved" at that class.  Such a child has no other row, and depth 0.
+    """
+    lifting = super_lifting(edges)
+    tops = lifting.tops
+    if classes is not None:
+        tops = tops.join(classes.select(F.col("name").alias("top"), F.lit(True).alias("_known")).distinct(), "top", "left")
+        known = F.coalesce("_known", F.lit(False))
+        lifting = ancestry.Lifting(lifting.levels, tops.where(known).select("node", "top", "depth"), lifting.endless)
+        unknown = tops.where(~known).select("node", F.lit("unresolved").alias("error"), F.col("top").alias("at"))
+    wrong = lifting.endless.select("node", F.lit("cycle").alias("error"), F.col("low").alias("at"))
+    wrong = wrong if classes is None else wrong.unionAll(unknown)
+    only = None if children is None else children.select(F.col("child").alias("node"))
+    if only is not None:
+        wrong = wrong.join(only, "node", "left_semi")
+    whole = ancestry.chains(lifting, only).select(F.col("node").alias("child"), "depth", "ancestor", F.lit(None).cast("string").alias("error"))
+    return whole.unionAll(wrong.select(F.col("node").alias("child"), F.lit(0).cast("long").alias("depth"), F.col("at").alias("ancestor"), "error"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(child) of the classes that their own super chain reaches again: an error for a superclass walk."""
-    up = edges.where("kind = 'super'")
-    above = closure(up).select(F.col("child").alias("parent"), F.col("ancestor").alias("child"))
-    itself = up.where(F.col("child") == F.col("parent")).select("child")
-    return up.join(above, ["parent", "child"], "left_semi").select("child").unionAll(itself).distinct()
+    """(child, circle) of the classes that their own super chain reaches again, with the smallest class of that circle."""
+    return super_lifting(edges).circles().select(F.col("node").alias("child"), "circle")
 
 
 def unresolved(edges: DataFrame, classes: DataFrame) -> DataFrame:
@@ -80,16 +109,15 @@ def is_subtype(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     return pairs.join(known, ["child", "ancestor"], "left").withColumn("is_subtype", (F.col("child") == F.col("ancestor")) | F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def common_superclass(pairs: DataFrame, chains: DataFrame, root: str | Column = OBJECT) -> DataFrame:
-    """pairs (a, b) with common: equal names are themselves, arrays have the root, others the first of a's chain (a included) in b's."""
-    names = pairs.select(F.col("a").alias("child")).unionAll(pairs.select(F.col("b").alias("child"))).distinct()
-    own = names.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
-    whole = chains.select("child", "ancestor", "depth").unionByName(own)
-    left = whole.select(F.col("child").alias("a"), F.col("ancestor").alias("common"), F.col("depth").alias("a_depth"))
-    right = whole.select(F.col("child").alias("b"), F.col("ancestor").alias("common"))
-    nearest = pairs.distinct().join(left, "a").join(right, ["b", "common"]).groupBy("a", "b").agg(F.min_by("common", "a_depth").alias("common"))
+def common_superclass(pairs: DataFrame, lifting: ancestry.Lifting, root: str | Column = OBJECT) -> DataFrame:
+    """pairs (a, b) with common: equal names are themselves, arrays have the root, others the first of a's chain (a included) in b's.
+
+    Names without a common class have the root, chains into circles included.
+    """
     base = root if isinstance(root, Column) else F.lit(root)
     array = F.col("a").cast("string").startswith("[") | F.col("b").cast("string").startswith("[")
+    plain = (F.col("a") != F.col("b")) & ~array
+    nearest = ancestry.common_ancestors(pairs.where(plain), lifting)
     out = pairs.join(nearest, ["a", "b"], "left")
     return out.withColumn("common", F.when(F.col("a") == F.col("b"), F.col("a")).when(array, base).otherwise(F.coalesce("common", base)))
 
@@ -103,6 +131,8 @@ def overridden(methods: DataFrame, closed: DataFrame, package: Column | None = N
     hidden = F.col("access_flags").bitwiseAND(F.lit(0x0002 | 0x0008)) != 0
     own = methods.where(~hidden & ~F.col("name").isin("<init>", "<clinit>"))
     over = methods.where(~hidden & (F.col("access_flags").bitwiseAND(F.lit(0x0010)) == 0))
+    several = methods.groupBy("name", "descriptor").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("name", "descriptor")
+    own = own.join(several, ["name", "descriptor"], "left_semi")  # the others meet no method above them
     above = over.select(F.col("owner").alias("overrides"), "name", "descriptor", F.col("access_flags").alias("_flags"), F.col("package").alias("_package"))
     pairs = own.select("owner", "name", "descriptor", "package").join(closed.select(F.col("child").alias("owner"), F.col("ancestor").alias("overrides"), "depth"), "owner")
     seen = (F.col("_flags").bitwiseAND(F.lit(0x0001 | 0x0004)) != 0) | (F.col("package") == F.col("_package"))

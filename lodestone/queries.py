@@ -348,8 +348,7 @@ def lca(spark, sf_dir):
     """Each customer with one spread over all keys."""
     keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
     pairs = keys.crossJoin(F.broadcast(keys.agg((F.max("a") + 1).alias("n")))).select("a", (F.col("a") * 7 % F.col("n")).alias("b"))  # with one row
-    chains = hierarchy.closure(dag(spark, sf_dir).where("kind = 'super'"))
-    return hierarchy.common_superclass(pairs, chains, F.lit(0).cast("bigint")).select("a", "b", "common")
+    return hierarchy.common_superclass(pairs, hierarchy.super_lifting(dag(spark, sf_dir).where("child <> parent")), F.lit(0).cast("bigint")).select("a", "b", "common")
 
 
 @query(CLOSED + """, m as (select distinct o_custkey as owner, o_orderstatus as name, o_orderpriority as descriptor from orders),
@@ -385,8 +384,12 @@ def goto_chain(spark, sf_dir):
        w as (select k, n as e, 1 as steps from p union all select w.k, p.n, steps + 1 from w join p on p.k = w.e where w.e <> w.k and steps <= (select count(*) from customer))
        select distinct k as child from w where k = e""")
 def hierarchy_cycles(spark, sf_dir):
-    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), F.expr(POINTER).alias("parent"), F.lit(0).alias("edge_ordinal"), F.lit("super").alias("kind"))
-    return hierarchy.cycles(keys)
+    return hierarchy.cycles(pointers(spark, sf_dir)).select("child")
+
+
+def pointers(spark, sf_dir) -> DataFrame:
+    """Customers with one parent each, by POINTER."""
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), F.expr(POINTER).alias("parent"), F.lit(0).alias("edge_ordinal"), F.lit("super").alias("kind"))
 
 
 # Joins, dictionaries, duplicates

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import descriptors
 from lodestone.operators import dictionary, hierarchy
+from lodestone.plans import contents, verify
 from lodestone.queries import query, read
 
 # Chains of super classes
@@ -88,3 +90,144 @@ def dict_find(spark, sf_dir):
     """Each order looks a part up in the month that it was placed in."""
     keys = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("d"), (F.col("o_orderkey") % 2000).alias("v"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("as_of"))
     return dictionary.find(keys, versions(spark, sf_dir)[1], ["d"], "v").select("o_orderkey", "as_of", "code")
+
+
+# What constant pools, attributes, handles and record components hold
+
+# Parts are constants: forty classes, whose indexes come from the key.  What does not depend on the dialect is written once.
+_SLOT = "{key} {div} 40 + case when {key} % 40 = 7 then 0 else 1 end"
+_TAGS = "1, 1, 1, 7, 12, 15, 19, 20, 10, 9, 11, 5, 8"
+_TEXT = "case when p_partkey % 4 = 0 then '<init>' when p_partkey % 4 = 1 then '(I)V' when p_partkey % 4 = 2 then 'I' else p_name end"
+POOL = f"""t as (select p_partkey, p_partkey % 40 as class_id, {_SLOT.format(key="p_partkey", div="//")} as cp_index, [{_TAGS}][1 + p_size % 13] as tag, {_TEXT} as text from part where p_partkey % 23 <> 4),
+       raw as (select class_id, cp_index, tag, case when tag = 1 then text end as utf8, p_partkey % 11 as bits, 1 + p_partkey * 7 % 50 as ref1, 1 + p_partkey * 11 % 50 as ref2 from t),
+       classes as (select p_partkey % 40 as class_id, 'C' || (p_partkey % 40) as name, 45 + p_partkey % 40 % 16 as major, case when p_partkey % 40 % 4 = 0 then 32768 else 33 end as access_flags,
+         max(p_partkey // 40) + 2 + case when p_partkey % 40 % 3 = 0 then 1 else 0 end as slots from part group by 1, 2, 3, 4),
+       steps as (select *, coalesce(lag(cp_index) over w = cp_index - 1 and lag(tag in (5, 6)) over w, false) as after from raw window w as (partition by class_id order by cp_index)),
+       runs as (select *, sum(case when after then 0 else 1 end) over (partition by class_id order by cp_index) as run from steps),
+       marked as (select *, after and row_number() over (partition by class_id, run order by cp_index) % 2 = 0 as gap from runs),
+       pool as (select * from marked where not gap and cp_index > 0),
+       utf as (select class_id, cp_index, utf8 from pool where tag = 1)"""
+
+
+def pools(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The constants and the classes of POOL."""
+    part = read(spark, sf_dir, "part")
+    pool = part.where("p_partkey % 23 <> 4").selectExpr("*", f"array({_TAGS})[p_size % 13] as tag").selectExpr(
+        "p_partkey % 40 as class_id", f"cast({_SLOT.format(key='p_partkey', div='div')} as int) as cp_index", "tag", f"if(tag = 1, {_TEXT}, null) as utf8", "p_partkey % 11 as bits", "cast(1 + p_partkey * 7 % 50 as int) as ref1", "cast(1 + p_partkey * 11 % 50 as int) as ref2"
+    )
+    classes = part.groupBy((F.col("p_partkey") % 40).alias("class_id")).agg(F.max(F.expr("p_partkey div 40")).alias("top"))
+    classes = classes.selectExpr("class_id", "concat('C', class_id) as name", "cast(45 + class_id % 16 as int) as major", "if(class_id % 4 = 0, 32768, 33) as access_flags", "cast(top + 2 + if(class_id % 3 = 0, 1, 0) as int) as slots")
+    return pool, classes
+
+
+_SLOT_SQL = """spans as (select class_id, cp_index, case when tag in (5, 6) then 2 else 1 end as width from pool union all select class_id, 0, 1 from classes),
+       ends as (select *, cp_index + width as first, coalesce(lead(cp_index) over (partition by class_id order by cp_index), slots) as next from spans join classes using (class_id)),
+       slot_found as (
+         select class_id, cp_index, 'constant pool slot 0 must be empty' as message from marked where cp_index = 0
+         union all select class_id, cp_index, 'long/double constant-pool entry must be followed by an empty gap slot' from marked where gap
+         union all select class_id, unnest(range(first, next)), 'unexpected empty constant-pool slot' from ends where first < next
+         union all select class_id, null, 'long/double constant-pool entry is missing its trailing gap slot' from ends where width = 2 and first > slots)"""
+_HANDLE_SQL = f"""lines as (select * from (values {", ".join(map(str, contents.HANDLES))}) l(kind, tag, first, names)),
+       handles as (select h.class_id, h.cp_index, h.bits as kind, c.major, m.tag, u.utf8 as name from pool h join classes c using (class_id) left join pool m on m.class_id = h.class_id and m.cp_index = h.ref1 and m.tag in (9, 10, 11)
+         left join pool n on n.class_id = m.class_id and n.cp_index = m.ref2 and n.tag = 12 left join utf u on u.class_id = n.class_id and u.cp_index = n.ref1 where h.tag = 15),
+       told as (select h.*, l.names from handles h left join lines l on l.kind = h.kind and l.tag = h.tag and l.first <= h.major),
+       handle_found as (select class_id, cp_index, case when kind not between 1 and 9 then 'method handle reference_kind must be in 1..=9'
+         when names is null then case kind {" ".join(f"when {k} then '{v}'" for k, v in contents._TARGETS.items())} end
+         when names = '<init>' and name <> '<init>' then '{contents._NOT_INIT}' when names = 'method' and name in ('<init>', '<clinit>') then '{contents._SPECIAL}' end as message from told)"""
+_FIELD_SQL, _METHOD_SQL = (f"regexp_full_match({{0}}, '{p}')" for p in (descriptors.FIELD, descriptors.METHOD))
+_LINK_RULES = [
+    ("tag = 7 and t1 <> 1", "'class entry references invalid Utf8 name'"),
+    ("tag = 8 and t1 <> 1", "'string entry references invalid Utf8 payload'"),
+    ("tag in (9, 10, 11) and t1 <> 7", "'member reference has invalid class_index'"),
+    ("tag in (9, 10, 11) and t2 <> 12", "'member reference has invalid name_and_type_index'"),
+    (f"tag = 9 and not {_FIELD_SQL.format('type')}", "'field reference descriptor must be a field descriptor'"),
+    (f"tag in (10, 11) and not {_METHOD_SQL.format('type')}", "case when tag = 10 then 'method reference' else 'interface method reference' end || ' descriptor must be a method descriptor'"),
+    ("tag = 12 and t1 <> 1", "'name_and_type entry references invalid Utf8 name'"),
+    ("tag = 12 and t2 <> 1", "'name_and_type entry references invalid Utf8 descriptor'"),
+    ("tag in (19, 20) and t1 <> 1", "'module/package entry references invalid Utf8 name'"),
+]
+_LINK_SQL = "links as (select p.*, coalesce(a.tag, 0) as t1, coalesce(b.tag, 0) as t2, u.utf8 as type from pool p left join pool a on a.class_id = p.class_id and a.cp_index = p.ref1 left join pool b on b.class_id = p.class_id and b.cp_index = p.ref2 left join pool u on u.class_id = b.class_id and u.cp_index = b.ref2)"
+
+
+@query(f"with {POOL}, {_SLOT_SQL}, {_HANDLE_SQL}, {_LINK_SQL} select class_id, cp_index, message from slot_found union all select * from handle_found where message is not null union all " + " union all ".join(f"select class_id, cp_index, {m} from links where {t}" for t, m in _LINK_RULES))
+def check_pool(spark, sf_dir):
+    """Slots, links and handles of the pools."""
+    pool, classes = pools(spark, sf_dir)
+    return contents.all_pool_rules(pool, classes).select("class_id", "cp_index", "message")
+
+
+@query(f"with {POOL}, {_HANDLE_SQL} select class_id, cp_index, message from handle_found where message is not null")
+def check_handles(spark, sf_dir):
+    pool, classes = pools(spark, sf_dir)
+    return contents.handle_rules(contents.with_gaps(pool).where("not gap and cp_index > 0"), classes).select("class_id", "cp_index", "message")
+
+
+#: Each order is an attribute; what it holds, by path.
+_HELD = {
+    "index": "o_custkey % 60", "indexes[0]": "o_custkey % 55", "indexes[1]": "o_orderkey % 57", "indexes[2]": "0", "class_index": "o_custkey % 51", "method_index": "o_orderkey % 3 * 17",
+    "bootstrap[0].ref": "o_orderkey % 50", "bootstrap[0].args[0]": "o_custkey % 50", "bootstrap[0].args[1]": "o_orderkey % 49", "bootstrap[1].ref": "3", "types[0].name": "o_orderkey % 48", "types[0].signature": "o_custkey % 46",
+    "module.name": "o_custkey % 50", "module.version": "o_orderkey % 4 * 9", "module.requires[0].index": "o_orderkey % 50", "module.requires[0].version": "o_custkey % 3", "module.requires[1].index": "6", "module.requires[1].version": "0",
+    "module.exports[0].index": "o_custkey % 47", "module.exports[0].to[0]": "o_orderkey % 46", "module.exports[0].to[1]": "9", "module.opens[0].index": "8", "module.opens[0].to[0]": "o_custkey % 44",
+    "module.uses[0]": "o_orderkey % 43", "module.uses[1]": "o_custkey % 42", "module.provides[0].index": "o_orderkey % 41", "module.provides[0].to[0]": "o_custkey % 40",
+}
+_NAMES = ["Signature", "SourceFile", "Exceptions", "EnclosingMethod", "MethodParameters", "BootstrapMethods", "LocalVariableTypeTable", "NestHost", "NestMembers", "Module", "ModulePackages", "ModuleMainClass", "PermittedSubclasses", "Deprecated"]
+_OWNER = "'class', 'field', 'method', 'code'"
+
+
+def _at(path: str) -> str:
+    """A concrete path without the places in its lists."""
+    return "".join(c for c in path if not c.isdigit())
+
+
+def _content_sql() -> str:
+    rows = [
+        f"select o_orderkey % 40 as class_id, [{_OWNER}][1 + o_custkey % 4] as owner_kind, o_orderkey as owner_ordinal, '{place.attribute}' as attribute_name, '{path}' as path, {value} as cp_index, '{place.wanted}' as wanted, {place.or_zero} as or_zero, '{place.message}' as message from orders where o_orderkey % {len(_NAMES)} = {_NAMES.index(place.attribute)}"
+        for place in contents.PLACES for path, value in _HELD.items() if _at(path) == place.path
+    ]
+    return " union all ".join(rows)
+
+
+@query(f"""with {POOL}, r as ({_content_sql()}),
+       o as (select class_id, cp_index, case when tag = 1 then 'utf8' when tag = 7 and ref1 in (select cp_index from utf u where u.class_id = p.class_id) then 'class'
+           when tag = 12 and ref1 in (select cp_index from utf u where u.class_id = p.class_id) and ref2 in (select cp_index from utf u where u.class_id = p.class_id) then 'name_and_type' when tag = 15 then 'method_handle'
+           when tag = 19 and ref1 in (select cp_index from utf u where u.class_id = p.class_id) then 'module' when tag = 20 and ref1 in (select cp_index from utf u where u.class_id = p.class_id) then 'package' end as wanted from pool p
+         union all select class_id, cp_index, 'loadable' from pool where tag in (3, 4, 5, 6, 7, 8, 15, 16, 17))
+       select class_id, owner_kind, owner_ordinal, attribute_name, path, cp_index, message from r anti join o using (class_id, cp_index, wanted) where not (or_zero and cp_index = 0)""")
+def check_contents(spark, sf_dir):
+    """References of the attributes that orders are, to the constants that parts are."""
+    h = {k: f"cast({v} as int)" for k, v in _HELD.items()}
+    to = lambda key, n=1: f"named_struct('index', {h[f'module.{key}[0].index']}, 'to', array({', '.join(h[f'module.{key}[0].to[{i}]'] for i in range(n))}))"
+    requires = ", ".join(f"named_struct('index', {h[f'module.requires[{i}].index']}, 'version', {h[f'module.requires[{i}].version']})" for i in (0, 1))
+    attributes = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey % 40 as class_id", f"array({_OWNER})[o_custkey % 4] as owner_kind", "o_orderkey as owner_ordinal", f"array({', '.join(repr(n) for n in _NAMES)})[o_orderkey % {len(_NAMES)}] as name",
+        f"{h['index']} as `index`", f"array({h['indexes[0]']}, {h['indexes[1]']}, 0) as indexes", f"{h['class_index']} as class_index", f"{h['method_index']} as method_index",
+        f"array(named_struct('ref', {h['bootstrap[0].ref']}, 'args', array({h['bootstrap[0].args[0]']}, {h['bootstrap[0].args[1]']})), named_struct('ref', 3, 'args', cast(array() as array<int>))) as bootstrap",
+        f"array(named_struct('name', {h['types[0].name']}, 'signature', {h['types[0].signature']})) as types",
+        f"named_struct('name', {h['module.name']}, 'version', {h['module.version']}, 'requires', array({requires}), 'exports', array({to('exports', 2)}), 'opens', array({to('opens')}), 'uses', array({h['module.uses[0]']}, {h['module.uses[1]']}), 'provides', array({to('provides')})) as module",
+    )
+    pool = contents.with_gaps(pools(spark, sf_dir)[0]).where("not gap and cp_index > 0")
+    return contents.content_rules(attributes, pool, grammar=False).select("class_id", "owner_kind", "owner_ordinal", "attribute_name", "path", "cp_index", "message")
+
+
+#: Each order is a record component with three attributes.
+_COMPONENT = ["'Signature', 'Code', 'Record', 'Own', 'RuntimeVisibleAnnotations', 'Module'", "'Signature', 'Own', 'NestHost', 'SourceFile', 'RuntimeVisibleAnnotations'", "'Own', 'Signature', 'Code', 'RuntimeVisibleAnnotations'"]
+_DESCRIPTOR = "'I', 'Q', 'Ljava/lang/String;', '[J', '(I)V'"
+
+
+@query(f"""with {POOL}, k as (select o_orderkey % 40 as class_id, o_orderkey as component_ordinal, case when o_orderkey % 9 = 0 then null else o_orderstatus end as member_name, [{_DESCRIPTOR}][1 + o_custkey % 5] as descriptor,
+         [[{_COMPONENT[0]}][1 + o_orderkey % 6], [{_COMPONENT[1]}][1 + o_custkey % 5], [{_COMPONENT[2]}][1 + o_custkey % 4]] as attributes from orders),
+       a as (select *, unnest(attributes) as attribute_name from k join classes using (class_id)),
+       f as (select *, case attribute_name {" ".join(f"when '{k}' then {v}" for k, v in verify.FIRST_MAJOR.items())} end as first from a),
+       n as (select class_id, component_ordinal, member_name, attribute_name, count(*) as n from a where attribute_name <> 'Own' group by all having count(*) > 1)
+       select class_id, component_ordinal, member_name, 'Record' as attribute_name, 'record component name_index must reference Utf8' as message from k where member_name is null
+       union all select class_id, component_ordinal, member_name, 'Record', 'invalid record component descriptor' from k where descriptor in ('Q', '(I)V')
+       union all select class_id, component_ordinal, member_name, attribute_name, attribute_name || ' attribute is not allowed on record component' from f where attribute_name in ('Code', 'Record', 'Module', 'NestHost', 'SourceFile')
+       union all select class_id, component_ordinal, member_name, attribute_name, 'Module attribute is only allowed on module classes' from f where attribute_name = 'Module' and access_flags < 32768
+       union all select class_id, component_ordinal, member_name, attribute_name, attribute_name || ' attribute requires class file version ' || first || '.0 or newer' from f where major < first
+       union all select class_id, component_ordinal, member_name, attribute_name, 'record component must not declare multiple ' || attribute_name || ' attributes' from n""")
+def check_components(spark, sf_dir):
+    components = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey % 40 as class_id", "o_orderkey as component_ordinal", "if(o_orderkey % 9 = 0, null, o_orderstatus) as name", f"array({_DESCRIPTOR})[o_custkey % 5] as descriptor",
+        f"array(array({_COMPONENT[0]})[o_orderkey % 6], array({_COMPONENT[1]})[o_custkey % 5], array({_COMPONENT[2]})[o_custkey % 4]) as attributes",
+    )
+    return contents.component_rules(components, pools(spark, sf_dir)[1]).select("class_id", "component_ordinal", "member_name", "attribute_name", "message")

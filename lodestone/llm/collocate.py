@@ -11,28 +11,31 @@ phrase leaves its piece.  A shard that begins inside of a piece repeats the word
 before it, so that phrases over the border are found, and counts what ends after
 them only.
 
-Popcounts are summed over shards.  First those of words; a word below
-Settings.least is in no candidate, so the others get numbers, and only their
-bitmaps are kept.  Then those of pairs; a shard then extends depth-first from its
-words, only along pairs that are frequent over all shards, up to Settings.most
-words, and what it finds is summed and compared with Settings.least again.
-Counts of parts, scores and containment are joins over the frequent phrases.
+Popcounts are summed over shards, for words first; a word below Settings.least is
+in no candidate, so the others get numbers, and only their bitmaps are kept.  Then
+come pairs, triples and so on up to Settings.most words: a shard goes depth-first
+from its words along the phrases that are frequent over all shards, as far as
+those are known, and extends them by one word more, if what the new phrase holds
+without its first word is frequent too.  Frequent phrases get numbers like words,
+so a phrase is told by the number of what it extends and that of its last word.  Counts of parts, scores and containment
+are joins over the frequent phrases.
 
 Null texts are empty, a null language is named Settings.unknown.  Repeated rows
 count each time.  An empty table, or one without frequent phrases, gives an empty
 result; other columns are ignored, whatever their names.  Texts and pieces of any
 length are whole: they go on in the next shard.
 
-What is broadcast are the frequent pairs, up to Settings.broadcast of them; beyond
-that each shard is joined with its own.  The driver sees the number of pairs, and
-those that it broadcasts.
+What is broadcast are the frequent words and phrases, up to Settings.broadcast of
+them; beyond that each shard is joined with its own.  The driver sees how many
+there are, and those that it broadcasts.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -41,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, slices
+from lodestone.llm.common import Scratch, numbered_rows, slices
 
 
 @dataclass(frozen=True)
@@ -55,9 +58,9 @@ class Settings:
     top: int = 2000
     unknown: str = "und"
     #: Places of a shard.
-    places: int = 1 << 20
-    #: Frequent pairs that are broadcast at most (24 bytes each).
-    broadcast: int = 500_000
+    places: int = 1 << 21
+    #: Frequent words, and frequent phrases, that are broadcast at most (24 bytes each, and the text of words).
+    broadcast: int = 400_000
 
     def __post_init__(self):
         if self.most < 2 or self.least < 1 or self.places < 64:
@@ -110,11 +113,11 @@ class Bitmaps:
         block, bit = place >> 3, np.left_shift(1, place & 7).astype(np.uint8)
         begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), (word[1:] != word[:-1]) | (block[1:] != block[:-1])]))
         bits = np.add.reduceat(bit, begins, dtype=np.uint8) if len(begins) else bit
-        return cls(word[begins], block[begins], bits, words)
+        return cls(word[begins].astype(np.int32), block[begins].astype(np.int32), bits, words)
 
     def stored(self) -> tuple[bytes, bytes, bytes]:
         """Entries of each word, steps between its blocks, bits."""
-        steps = np.diff(self.block, prepend=0)
+        steps = np.diff(self.block, prepend=np.int32(0))
         first = np.flatnonzero(np.diff(self.word, prepend=-1))
         steps[first] = self.block[first]
         return packed(np.bincount(self.word, minlength=self.words).astype(np.uint32)), packed(steps.astype(np.uint32)), packed(self.bits)
@@ -125,11 +128,11 @@ class Bitmaps:
         n = int(size.sum())
         block = np.cumsum(unpacked(steps, n, np.uint32).astype(np.int64))
         before = np.concatenate([[0], block])[(np.cumsum(size) - size)]
-        return cls(np.repeat(np.arange(words), size), block - np.repeat(before, size), unpacked(bits, n, np.uint8), words)
+        return cls(np.repeat(np.arange(words, dtype=np.int32), size), (block - np.repeat(before, size)).astype(np.int32), unpacked(bits, n, np.uint8), words)
 
     def only(self, keep: np.ndarray) -> Bitmaps:
         """The bitmaps of the words in keep, which are numbered by their places in it."""
-        number = np.full(self.words, -1, np.int64)
+        number = np.full(self.words, -1, np.int32)
         number[keep] = np.arange(len(keep))
         word = number[self.word]
         kept = np.flatnonzero(word >= 0)
@@ -149,7 +152,7 @@ class Extender:
         self.start = np.cumsum(self.size) - self.size
 
     def roots(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words, phrase, block, bits) of the bitmaps of some words after another; phrase numbers the rows of words."""
+        """(words, phrase, block, bits) of the bitmaps of some words after another; phrase numbers those words."""
         maps = self.maps
         ends = np.cumsum(np.bincount(maps.word, minlength=maps.words))
         word = 0
@@ -157,13 +160,13 @@ class Extender:
             begin = int(ends[word - 1]) if word else 0
             to = max(word + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
             part = slice(begin, int(ends[to - 1]))
-            yield np.arange(word, to)[:, None], maps.word[part] - word, maps.block[part], maps.bits[part]
+            yield np.arange(word, to), maps.word[part] - word, maps.block[part], maps.bits[part]
             word = to
 
-    def extend(self, words: np.ndarray, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, along: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, phrase, block, bits) of all phrases one word longer, and their occurrences.
+    def extend(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray, allow: Callable | None = None) -> tuple[np.ndarray, ...]:
+        """All phrases one word longer: the phrase that each goes on from, its last word, (phrase, block, bits) of their bitmaps, their occurrences.
 
-        along: sorted numbers (word * words + next) of the pairs to go along, None for all.
+        allow: tells for arrays of phrases and words which to go along with; None: all.
         """
         shifted, over = (bits << 1).astype(np.uint8), bits >> 7
         stay, go = np.flatnonzero(shifted), np.flatnonzero(over)
@@ -175,23 +178,57 @@ class Extender:
         entry = np.arange(len(source)) + np.repeat(self.start[block] - (np.cumsum(size) - size), size)
         both = bits[source] & self.bits[entry]
         hit = np.flatnonzero(both)
-        source, entry, both = source[hit], entry[hit], both[hit]
-        phrase, block, word = phrase[source], block[source], self.word[entry]
-        n = self.maps.words
-        if along is not None:
-            pair = words[phrase, -1] * n + word
-            at = np.searchsorted(along, pair)
-            known = np.flatnonzero((at < len(along)) & (along[np.minimum(at, len(along) - 1)] == pair)) if len(along) else at[:0]
+        phrase, word, both = phrase[source[hit]], self.word[entry[hit]], both[hit]
+        block = block[source[hit]]
+        if allow is not None:
+            known = np.flatnonzero(allow(phrase, word))
             phrase, block, word, both = phrase[known], block[known], word[known], both[known]
-        key = phrase * n + word
+        n = self.maps.words
+        key = phrase.astype(np.int64) * n + word
         order = np.argsort(key, kind="stable")
         key, block, both = key[order], block[order], both[order]
         begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
         ends_here = np.bitwise_count(both).astype(np.int64) * (block >= self.first_own)
         found = np.add.reduceat(ends_here, begins) if len(begins) else np.zeros(0, np.int64)
-        longer = np.column_stack([words[key[begins] // n], key[begins] % n])
-        return longer, number, block, both, found
+        return key[begins] // n, key[begins] % n, number, block, both, found
+
+
+class Trie:
+    """Frequent phrases in the words of a shard, by length; each knows its phrase without the first word."""
+
+    def __init__(self, numbers: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """numbers: of the shard's words, ascending; tables: for each length from 2 on (number, phrase, word) of the phrases, by the numbers of what they extend and of the last word."""
+        self.n = len(numbers)
+        #: For each length: the phrases' numbers, the sorted keys (phrase without the last word, last word), the phrase without the first word.
+        self.numbers, self.keys, self.suffix = [numbers], [np.arange(self.n)], [np.zeros(self.n, np.int64)]
+        for number, phrase, word in tables:
+            parent, last = _places(self.numbers[-1], phrase), _places(numbers, word)
+            here = np.flatnonzero((parent >= 0) & (last >= 0))
+            keys = parent[here] * self.n + last[here]
+            order = np.argsort(keys)
+            parent, last = parent[here][order], last[here][order]
+            length = len(self.numbers)
+            self.suffix.append(last if length == 1 else self.child(length, self.suffix[-1][parent], last))
+            self.numbers.append(number[here][order])
+            self.keys.append(keys[order])
+
+    def child(self, length: int, phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The phrase of that length which each phrase is with the word behind it; -1 if there is none."""
+        keys, key = self.keys[length - 1], phrase.astype(np.int64) * self.n + word
+        if not len(keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (phrase >= 0), at, -1)
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands in known; -1 if it does not."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known, wanted, sorter=order), len(known) - 1)
+    return np.where(known[order[at]] == wanted, order[at], -1)
 
 
 SHARDS = "shard long, lang string, n_words long, words array<string>, counts array<long>, sizes binary, steps binary, bits binary"
@@ -216,7 +253,7 @@ class _Shard:
         at = 0
         while at < len(tokens):
             some = tokens[at : at + self.settings.places - self.size]
-            self.parts.append(np.fromiter(map(self.known.__getitem__, some), np.int64, len(some)))
+            self.parts.append(np.fromiter(map(self.known.__getitem__, some), np.int32, len(some)))
             at += len(some)
             self.size += len(some)
             if self.size >= self.settings.places:
@@ -230,8 +267,8 @@ class _Shard:
         tail = ids[len(ids) - min(self.settings.most - 1, len(ids)) :].tolist()
         carried = self.before + [words[i] for i in tail]
         after = len(carried) - (carried[::-1].index(b"\xff") if b"\xff" in carried else len(carried))
-        every = np.concatenate([np.array(before, np.int64), ids])
-        place = np.arange(lead - len(before), lead + len(ids))
+        every = np.concatenate([np.array(before, np.int32), ids])
+        place = np.arange(lead - len(before), lead + len(ids), dtype=np.int32)
         real = every > 0
         maps = Bitmaps.of(every[real], place[real], len(words))
         counts = np.bincount(ids, minlength=len(words))
@@ -280,13 +317,15 @@ def frequent_words(scratch: Scratch, rows: DataFrame, settings: Settings) -> Dat
     """(lang, word, f, number) of the words that occur often enough."""
     each = rows.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     f = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= settings.least)
-    return scratch.write(f.withColumn("number", F.monotonically_increasing_id()))
+    return numbered_rows(scratch, f)
 
 
-def numbered(rows: DataFrame, words: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
     """The bitmaps of frequent words with the words' numbers, KEPT."""
     each = rows.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    local = each.join(words.select("lang", "word", "number"), ["lang", "word"]).select(F.col("shard").alias("of"), "at", "number")
+    known = words.select("lang", "word", "number")
+    known = F.broadcast(known) if words.count() <= settings.broadcast else known
+    local = each.join(known, ["lang", "word"]).select(F.col("shard").alias("of"), "at", "number")
 
     names = [x.split()[0] for x in KEPT.split(", ")]
 
@@ -312,65 +351,72 @@ def _extenders(batches: Iterator[pa.RecordBatch], lead: int) -> Iterator[tuple[i
             yield row["shard"].as_py(), numbers, Extender(maps, lead)
 
 
-def pairs(kept: DataFrame, settings: Settings) -> DataFrame:
-    """(shard, a, b, f): how often the word b follows a in a shard; 0 where they end before the shard's own places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, numbers, extender in _extenders(batches, settings.lead):
-            for root in extender.roots():
-                words, *_, found = extender.extend(*root, None)
-                a, b = numbers[words[:, 0]], numbers[words[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), shard)), pa.array(a), pa.array(b), pa.array(found)], ["shard", "a", "b", "f"])
-
-    return kept.mapInArrow(run, "shard long, a long, b long, f long")
-
-
-def _longer(numbers: np.ndarray, extender: Extender, a: np.ndarray, b: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
-    """Phrases of three words and more of a shard, depth-first along the frequent pairs (a, b)."""
-    ia, ib = np.searchsorted(numbers, a), np.searchsorted(numbers, b)
-    here = (ia < len(numbers)) & (ib < len(numbers))
-    here[here] = (numbers[ia[here]] == a[here]) & (numbers[ib[here]] == b[here])
-    along = np.sort(ia[here] * len(numbers) + ib[here])
-    for root in extender.roots():
-        at = root
-        for k in range(2, settings.most + 1):
-            words, phrase, block, bits, found = extender.extend(*at, along)
-            at = (words, phrase, block, bits)
-            some = found > 0
-            if k > 2 and some.any():
-                columns = [pa.array(numbers[words[some, i]]) if i < k else pa.nulls(int(some.sum()), pa.int64()) for i in range(settings.most)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found[some])], [*_names(settings), "f"])
-            if not len(words):
-                break
-
-
-def _names(settings: Settings) -> list[str]:
-    return [f"w{i}" for i in range(1, settings.most + 1)]
-
-
-def longer_phrases(scratch: Scratch, kept: DataFrame, two: DataFrame, settings: Settings) -> DataFrame:
-    """(w1, w2, ..., f) of the occurrences in each shard of phrases whose pairs are all frequent."""
-    schema = ", ".join(f"{n} long" for n in [*_names(settings), "f"])
-    if two.count() <= settings.broadcast:
-        table = two.select("a", "b").toArrow()
-        known = kept.sparkSession.sparkContext.broadcast((table["a"].to_numpy(), table["b"].to_numpy()))
+FOUND = "shard long, phrase long, word long, f long"
+
+
+def _extended(numbers: np.ndarray, extender: Extender, shard: int, tables: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """FOUND of the phrases of that length in a shard, depth-first along the shorter ones in tables; f is 0 where they end before the shard's own places."""
+    trie = Trie(numbers, tables)
+    for node, phrase, block, bits in extender.roots():
+        for k in range(2, length):
+            parent, word, phrase, block, bits, _ = extender.extend(phrase, block, bits, lambda p, w, k=k, node=node: trie.child(k, node[p], w) >= 0)
+            node = trie.child(k, node[parent], word)
+        rest = trie.suffix[length - 2][node]
+        parent, word, *_, found = extender.extend(phrase, block, bits, None if length == 2 else lambda p, w, rest=rest: trie.child(length - 1, rest[p], w) >= 0)
+        columns = [np.full(len(word), shard, np.int64), trie.numbers[length - 2][node[parent]], numbers[word], found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "phrase", "word", "f"])
+
+
+class Levels:
+    """Finds the frequent phrases of one length after the other."""
+
+    def __init__(self, scratch: Scratch, kept: DataFrame, settings: Settings):
+        self.scratch, self.kept, self.settings = scratch, kept, settings
+        #: By length from 2 on: what each shard found, what is frequent, what of that is in each shard.
+        self.found: list[DataFrame] = []
+        self.frequent: list[DataFrame] = []
+        self.own: list[DataFrame] = []
+        self.tables: list[tuple] = []
+        self.together = True
+
+    def next(self) -> DataFrame:
+        """(phrase, word, f, number) of the frequent phrases that are one word longer than those so far."""
+        length = len(self.frequent) + 2
+        found = self._with_all(length) if self.together else self._with_own(length)
+        frequent = found.groupBy("phrase", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= self.settings.least)
+        self.found.append(found)
+        self.frequent.append(numbered_rows(self.scratch, frequent))
+        if self.together:
+            self.together = sum(f.count() for f in self.frequent) <= self.settings.broadcast
+        if self.together:
+            table = self.frequent[-1].select("number", "phrase", "word").toArrow()
+            self.tables.append(tuple(c.to_numpy() for c in table.columns))
+        return self.frequent[-1]
+
+    def _with_all(self, length: int) -> DataFrame:
+        """Every shard is told all frequent phrases."""
+        lead, known = self.settings.lead, self.kept.sparkSession.sparkContext.broadcast(list(self.tables))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, numbers, extender in _extenders(batches, settings.lead):
-                yield from _longer(numbers, extender, *known.value, settings)
+            for shard, numbers, extender in _extenders(batches, lead):
+                yield from _extended(numbers, extender, shard, known.value, length)
 
-        return kept.mapInArrow(run, schema)
+        return self.kept.mapInArrow(run, FOUND)
 
-    own = pairs(kept, settings).join(two.select("a", "b"), ["a", "b"]).select(F.col("shard").alias("of"), "a", "b")
+    def _with_own(self, length: int) -> DataFrame:
+        """Every shard is told those that it holds itself."""
+        for k in range(len(self.own), len(self.frequent)):
+            held = self.found[k].join(self.frequent[k].select("phrase", "word", "number"), ["phrase", "word"])
+            self.own.append(self.scratch.write(held.select(F.col("shard").alias("of"), F.lit(k).alias("level"), "number", "phrase", "word")))
+        own, lead = reduce(DataFrame.unionAll, self.own), self.settings.lead
 
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for batch in left.to_batches() if right.num_rows else []:
-            for _, numbers, extender in _extenders(iter([batch]), settings.lead):
-                out += _longer(numbers, extender, right["a"].to_numpy(), right["b"].to_numpy(), settings)
-        return pa.Table.from_batches(out, pa.schema([(n, pa.int64()) for n in [*_names(settings), "f"]]))
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            level, *columns = (right[c].to_numpy() for c in ("level", "number", "phrase", "word"))
+            tables = [tuple(c[level == k] for c in columns) for k in range(length - 2)]
+            out = [b for x in _extenders(iter(left.to_batches()), lead) for b in _extended(x[1], x[2], x[0], tables, length)]
+            return pa.Table.from_batches(out, pa.schema([(n, pa.int64()) for n in ("shard", "phrase", "word", "f")]))
 
-    return kept.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(both, schema)
+        return self.kept.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(run, FOUND)
 
 
 #: floor(1000 * a * n / (l * r)) in whole numbers of 38 digits.
@@ -383,13 +429,13 @@ def collocations(docs: DataFrame, settings: Settings = Settings(), lang_col: str
     rows = scratch.write(shards(docs, settings, lang_col, text_col))
     totals = rows.groupBy("lang").agg(F.sum("n_words").alias("n"))
     words = frequent_words(scratch, rows, settings)
-    kept = scratch.write(numbered(rows, words))
-    enough = F.col("f") >= settings.least
-    two = scratch.write(pairs(kept, settings).groupBy("a", "b").agg(F.sum("f").alias("f")).where(enough))
-    more = longer_phrases(scratch, kept, two, settings).groupBy(*_names(settings)).agg(F.sum("f").alias("f")).where(enough)
-    more = more.select(F.array_compact(F.array(*_names(settings))).alias("ids"), "f")
-    phrases = scratch.write(two.select(F.array("a", "b").alias("ids"), "f").unionAll(more))
-    return report(phrases, words, totals, settings)
+    levels = Levels(scratch, scratch.write(numbered(rows, words, settings)), settings)
+    shorter, found = words.select("number", F.array("number").alias("ids")), []
+    for _ in range(2, settings.most + 1):
+        spelled = levels.next().join(shorter.withColumnRenamed("number", "phrase"), "phrase").select("number", F.concat("ids", F.array("word")).alias("ids"), "f")
+        found.append(scratch.write(spelled))
+        shorter = found[-1].select("number", "ids")
+    return report(reduce(DataFrame.unionAll, found).select("ids", "f"), words, totals, settings)
 
 
 def report(phrases: DataFrame, words: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:

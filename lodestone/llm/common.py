@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lodestone.sources import scratch
 
@@ -28,6 +29,16 @@ class Scratch(scratch.Scratch):
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def numbered_rows(scratch: Scratch, df: DataFrame, name: str = "number") -> DataFrame:
+    """df as a written table with a number for each row, from 0 without gaps, in the order of its partitions and rows."""
+    rows = scratch.write(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each partition
+    rows = rows.withColumns({"_part": part, "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most `rows` rows and about `size` bytes of text, one row at least."""
     for batch in batches:

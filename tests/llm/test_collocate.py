@@ -105,17 +105,32 @@ def test_bitmaps_shift_and_count():
     one = maps.only(np.array([2, 0]))
     assert one.words == 2 and (np.bincount(one.word) == np.bincount(maps.word)[[2, 0]]).all()
     extender = Extender(maps, 8)
-    (root,) = extender.roots()
-    at = root
+    ((words, *at),) = extender.roots()
+    rows = words[:, None]
     for k in range(2, 6):
-        *at, found = extender.extend(*at, None)
+        parent, word, *at, found = extender.extend(*at)
+        rows = np.column_stack([rows[parent], word])
         told = Counter(tuple((ids[i : i + k] - 1).tolist()) for i in range(900 - k + 1) if real[i : i + k].all())
-        assert {tuple(w): n for w, n in zip(at[0].tolist(), found.tolist(), strict=True)} == told
+        assert {tuple(w): n for w, n in zip(rows.tolist(), found.tolist(), strict=True)} == told
     # Along some pairs only.
-    *_, found = extender.extend(*root, np.array([0 * 4 + 1]))
+    ((words, *at),) = extender.roots()
+    *_, found = extender.extend(*at, lambda p, w: (words[p] == 0) & (w == 1))
     assert found.tolist() == [sum(ids[i] == 1 and ids[i + 1] == 2 for i in range(899))]
 
 
+def test_trie_of_phrases():
+    numbers = np.array([3, 5, 9, 20])
+    two = (np.array([100, 101, 102, 103]), np.array([9, 3, 7, 5]), np.array([3, 5, 9, 9]))  # 9-3, 3-5, 7-9 (not here), 5-9
+    three = (np.array([7, 8, 9]), np.array([101, 103, 102]), np.array([9, 3, 3]))  # 3-5-9, 5-9-3, 7-9-3
+    trie = collocate.Trie(numbers, [two, three])
+    assert trie.numbers[1].tolist() == [101, 103, 100] and trie.numbers[2].tolist() == [7, 8]
+    assert trie.suffix[1].tolist() == [1, 2, 0] and trie.suffix[2].tolist() == [1, 2]
+    assert trie.child(3, np.array([0, 0, 1, -1]), np.array([2, 1, 0, 0])).tolist() == [0, -1, 1, -1]
+    none = np.zeros(0, np.int64)
+    empty = collocate.Trie(none, [(none, none, none)])
+    assert len(empty.numbers[1]) == 0 and empty.child(2, none, none).tolist() == []
+
+
 def test_query_is_its_sql(spark):
     connection = duckdb.connect()
     connection.execute(f"create view documents as select * from '{SF}/documents.parquet'")

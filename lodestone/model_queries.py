@@ -6,11 +6,12 @@ are classes, parts their constants, events code items and documents of rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import descriptors
-from lodestone.operators import dictionary, hierarchy
+from lodestone.item_queries import ITEMS, code_items
+from lodestone.operators import dictionary, diff, hierarchy
 from lodestone.plans import contents, verify
 from lodestone.queries import query, read
 
@@ -231,3 +232,57 @@ def check_components(spark, sf_dir):
         f"array(array({_COMPONENT[0]})[o_orderkey % 6], array({_COMPONENT[1]})[o_custkey % 5], array({_COMPONENT[2]})[o_custkey % 4]) as attributes",
     )
     return contents.component_rules(components, pools(spark, sf_dir)[1]).select("class_id", "component_ordinal", "member_name", "attribute_name", "message")
+
+
+# Exception tables of edited code
+
+#: A handler from each label to the next, handled at the one after; then edits: nodes come and go, handlers are dropped, changed and put in front.
+HANDLER_EDITS = ITEMS + """,
+       spans as (select user_id, pos as s, lead(pos) over w as e, lead(pos, 2) over w as t from items where kind = 'label' window w as (partition by user_id order by pos)),
+       old as (select user_id, row_number() over (partition by user_id order by s) - 1 as o, s, e, t, 'any' as c, s as k from spans where t is not null),
+       edited as (select user_id, s, e, t, case when s % 13 = 0 then 'E' else 'any' end as c, s as k from old where s % 7 <> 0
+         union all select user_id, low, high, high, 'added', -1 from items where kind = 'label' and pos = low and user_id % 5 = 1),
+       new as (select user_id, row_number() over (partition by user_id order by k) - 1 as o, s, case when s % 11 = 5 then t else e end as e, t, c from edited),
+       shared as (select user_id, pos from items where kind <> 'label' and event_id % 19 <> 5),
+       place as (select l.user_id, l.pos, count(s.pos) as n from items l left join shared s on s.user_id = l.user_id and s.pos < l.pos where l.kind = 'label' group by 1, 2)"""
+
+
+def edited_code(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items and handlers before and after the edits of HANDLER_EDITS."""
+    items = code_items(spark, sf_dir)
+    before = items.select("user_id", "pos", "kind", "label_id", "event_id")
+    raw = before.withColumn("at", F.col("pos") * 2).where("kind = 'label' or event_id % 19 <> 5")
+    come = before.where("kind <> 'label' and event_id % 11 = 3").selectExpr("user_id", "pos", "'raw' as kind", "cast(null as bigint) as label_id", "-event_id as event_id", "pos * 2 + 1 as at")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("at"))
+    after = raw.unionByName(come).withColumn("place", place).select("user_id", "place", "kind", F.when(F.col("kind") == "label", F.col("place")).alias("label_id"), "event_id", "pos")
+    by_label = Window.partitionBy("user_id").orderBy("s")
+    labels = items.where("kind = 'label'").select("user_id", F.col("pos").alias("s"), "low", "high")
+    spans = labels.withColumns({"e": F.lead("s").over(by_label), "t": F.lead("s", 2).over(by_label)}).where("t is not null")
+    old = spans.select("user_id", (F.row_number().over(by_label) - 1).alias("handler_ordinal"), F.col("s").alias("start_label"), F.col("e").alias("end_label"), F.col("t").alias("handler_label"), F.lit("any").alias("catch_type"))
+    # Each label gives its handler, if there is one and it stays, and a user's first label perhaps one more.
+    told = labels.withColumns({"e": F.lead("s").over(by_label), "t": F.lead("s", 2).over(by_label)}).selectExpr("user_id", """explode(filter(array(
+        if(t is not null and s % 7 <> 0, named_struct('s', s, 'e', if(s % 11 = 5, t, e), 't', t, 'c', if(s % 13 = 0, 'E', 'any'), 'k', s), null),
+        if(s = low and user_id % 5 = 1, named_struct('s', low, 'e', high, 't', high, 'c', 'added', 'k', cast(-1 as bigint)), null)), x -> x is not null)) as h""")
+    new = told.select("user_id", "h.*").withColumn("handler_ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("k")) - 1)
+    moved = after.where("kind = 'label'").select("user_id", "pos", "label_id")
+    for c, name in (("s", "start_label"), ("e", "end_label"), ("t", "handler_label")):
+        new = new.join(moved.select("user_id", F.col("pos").alias(c), F.col("label_id").alias(name)), ["user_id", c])
+    return before, after.select("user_id", F.col("place").alias("pos"), "kind", "label_id", "event_id"), old, new.withColumnRenamed("c", "catch_type")
+
+
+@query(f"""with {HANDLER_EDITS},
+       ha as (select old.user_id, o, x.n as s, y.n as e, z.n as t, c from old join place x on x.user_id = old.user_id and x.pos = s join place y on y.user_id = old.user_id and y.pos = e join place z on z.user_id = old.user_id and z.pos = t),
+       hb as (select new.user_id, o, x.n as s, y.n as e, z.n as t, c from new join place x on x.user_id = new.user_id and x.pos = s join place y on y.user_id = new.user_id and y.pos = e join place z on z.user_id = new.user_id and z.pos = t),
+       a2 as (select *, row_number() over (partition by user_id, s, e, t, c order by o) as nth from ha), b2 as (select *, row_number() over (partition by user_id, s, e, t, c order by o) as nth from hb),
+       m as (select a2.user_id, a2.o as x, b2.o as y from a2 join b2 using (user_id, s, e, t, c, nth)),
+       r as (select *, row_number() over (partition by user_id order by x) <> row_number() over (partition by user_id order by y) as moved from m),
+       ga as (select h.*, (select count(*) from r where r.user_id = h.user_id and not moved and x < h.o) as gap from ha h where not exists (select 1 from m where m.user_id = h.user_id and m.x = h.o)),
+       gb as (select h.*, (select count(*) from r where r.user_id = h.user_id and not moved and y < h.o) as gap from hb h where not exists (select 1 from m where m.user_id = h.user_id and m.y = h.o)),
+       pa as (select *, row_number() over (partition by user_id, gap order by o) as place from ga), pb as (select *, row_number() over (partition by user_id, gap order by o) as place from gb)
+       select user_id, 'moved' as change, x as old_ordinal, y as new_ordinal, null as what from r where moved
+       union all select user_id, case when pb.o is null then 'removed' when pa.o is null then 'inserted' else 'changed' end, pa.o, pb.o,
+         case when pa.o is not null and pb.o is not null then concat_ws(',', case when pa.s <> pb.s then 'start' end, case when pa.e <> pb.e then 'end' end, case when pa.t <> pb.t then 'target' end, case when pa.c <> pb.c then 'catch_type' end) end
+       from pa full join pb using (user_id, gap, place)""")
+def handler_diff(spark, sf_dir):
+    """Exception tables of users' code before and after edits that renumber all labels."""
+    return diff.handler_diff(*edited_code(spark, sf_dir), ["user_id"], "pos", "event_id")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,5 +40,56 @@ def sequence_diff(before: DataFrame, after: DataFrame, by: list[str], order: str
     return uneven.unionByName(pairs.select(*by, order, severity.alias("severity"), F.col("old").cast("string").alias("old"), F.col("new").cast("string").alias("new")))
 
 
-def union(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+#: What a handler is, apart from its place in the table.
+CELLS = ["start", "end", "target", "catch_type"]
+
+
+def bound_handlers(items: DataFrame, other: DataFrame, handlers: DataFrame, by: list[str], order: str, identity: str) -> DataFrame:
+    """(by, handler_ordinal, start, end, target, catch_type): handlers whose labels are the number of nodes before them that `other` has too.
+
+    So labels of both snapshots are told in one numbering, whatever was inserted or removed between them; a label that is
+    not in the items is null.
+    """
+    shared = other.where("kind != 'label'").select(*by, identity, F.lit(1).alias("_shared"))
+    marked = items.join(shared, [*by, identity], "left").withColumn("_shared", F.when(F.col("kind") == "label", 0).otherwise(F.coalesce("_shared", F.lit(0))))
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    places = marked.withColumn("_place", F.coalesce(F.sum("_shared").over(before), F.lit(0))).where("kind = 'label'")
+    out = handlers
+    for label, name in (("start_label", "start"), ("end_label", "end"), ("handler_label", "target")):
+        out = out.join(places.select(*by, F.col("label_id").alias(label), F.col("_place").alias(name)), [*by, label], "left")
+    return out.select(*by, "handler_ordinal", *CELLS)
+
+
+def handler_diff(before: DataFrame, after: DataFrame, old: DataFrame, new: DataFrame, by: list[str], order: str, identity: str) -> DataFrame:
+    """(by, change, old_ordinal, new_ordinal, what) of exception tables, of the same code before and after an edit.
+
+    before, after: items (by, order, kind, label_id, identity); identity names an item in its method in both.
+    old, new: handlers (by, handler_ordinal, start_label, end_label, handler_label, catch_type) with the labels of their
+    own items.  Equal handlers are matched, the first with the first; a match whose rank among the matches differs is
+    "moved".  What is left between the same two matches is compared place by place: "changed", with the cells that differ
+    in `what`, and beyond the shorter side "removed" or "inserted".
+    """
+    key = F.to_json(F.struct(*CELLS), {"ignoreNullFields": "false"})
+    nth = F.row_number().over(Window.partitionBy(*by, "_key").orderBy("handler_ordinal"))
+    told = lambda items, other, handlers: bound_handlers(items, other, handlers, by, order, identity).withColumn("_key", key).withColumn("_nth", nth)
+    a, b = told(before, after, old), told(after, before, new)
+    side = lambda df, name: df.select(*by, "_key", "_nth", F.col("handler_ordinal").alias(f"{name}_ordinal"), F.struct(*CELLS).alias(f"{name}_cells"))
+    both = side(a, "old").join(side(b, "new"), [*by, "_key", "_nth"], "full_outer").drop("_key", "_nth")
+    matched = F.col("old_ordinal").isNotNull() & F.col("new_ordinal").isNotNull()
+    rank = lambda name: F.row_number().over(Window.partitionBy(*by, "_matched").orderBy(name))
+    both = both.withColumn("_matched", matched).withColumn("_moved", F.col("_matched") & (rank("old_ordinal") != rank("new_ordinal")))
+    fixed = (F.col("_matched") & ~F.col("_moved")).cast("int")
+
+    def left_over(name: str) -> DataFrame:
+        """What only one side has, with the number of fixed matches before it and its place behind the last of them."""
+        rows = both.where(F.col(f"{name}_ordinal").isNotNull())
+        gap = F.sum(fixed).over(Window.partitionBy(*by).orderBy(f"{name}_ordinal"))
+        rows = rows.withColumn("_gap", gap).where("not _matched")
+        place = F.row_number().over(Window.partitionBy(*by, "_gap").orderBy(f"{name}_ordinal"))
+        return rows.select(*by, "_gap", place.alias("_place"), f"{name}_ordinal", f"{name}_cells")
+
+    pairs = left_over("old").join(left_over("new"), [*by, "_gap", "_place"], "full_outer")
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"old_cells.{c}").eqNullSafe(F.col(f"new_cells.{c}")), F.lit(c)) for c in CELLS)))
+    change = F.when(F.col("new_ordinal").isNull(), "removed").when(F.col("old_ordinal").isNull(), "inserted").otherwise("changed")
+    edits = pairs.select(*by, change.alias("change"), "old_ordinal", "new_ordinal", F.when(change == "changed", F.array_join(differ, ",")).alias("what"))
+    return both.where("_moved").select(*by, F.lit("moved").alias("change"), "old_ordinal", "new_ordinal", F.lit(None).cast("string").alias("what")).unionByName(edits)

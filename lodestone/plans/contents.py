@@ -246,11 +246,15 @@ def slot_rules(pool: DataFrame, classes: DataFrame) -> DataFrame:
     rows = with_gaps(pool)
     real = rows.where(~F.col("gap") & (F.col("cp_index") > 0))
     width = F.when(F.col("tag").isin(5, 6), 2).otherwise(1)
-    nexts = F.lead("cp_index").over(Window.partitionBy("class_id").orderBy("cp_index"))
-    # Where the slots before the first constant and behind each one begin and end.
-    known = real.select("class_id", "cp_index", width.alias("width")).unionAll(classes.select("class_id", F.lit(0).alias("cp_index"), F.lit(1).alias("width")))
-    known = known.join(classes.select("class_id", "slots"), "class_id")
-    spans = known.select("class_id", "cp_index", "width", "slots", (F.col("cp_index") + F.col("width")).alias("from_"), F.coalesce(nexts, F.col("slots")).alias("to_"))
+    # Where the slots behind each constant begin and end, and those before the first: a constant carries the place before it too.
+    by = Window.partitionBy("class_id").orderBy("cp_index")
+    known = real.select("class_id", "cp_index", width.alias("width"), F.lead("cp_index").over(by).alias("next"), F.row_number().over(by).alias("nth"))
+    rows_of = classes.select("class_id", "slots").join(known, "class_id", "left")
+    none = F.col("cp_index").isNull()
+    start = F.struct(F.lit(0).alias("cp_index"), F.lit(1).alias("width"), F.coalesce("cp_index", "slots").alias("to_"))
+    each = F.struct(F.col("cp_index"), F.col("width"), F.coalesce("next", "slots").alias("to_"))
+    told = F.when(none, F.array(start)).when(F.col("nth") == 1, F.array(start, each)).otherwise(F.array(each))
+    spans = rows_of.select("class_id", "slots", F.explode(told).alias("s")).select("class_id", "slots", "s.*").withColumn("from_", F.col("cp_index") + F.col("width"))
     empty = spans.where("from_ < to_").select("class_id", F.explode(F.sequence("from_", F.col("to_") - 1)).alias("cp_index"))
     place = {"class_id": "class_id", "cp_index": "cp_index"}
     found = violations(rows, [Rule("constant_pool", "constant pool slot 0 must be empty", F.col("cp_index") == 0), Rule("constant_pool", "long/double constant-pool entry must be followed by an empty gap slot", F.col("gap"))], place)

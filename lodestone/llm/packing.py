@@ -43,6 +43,10 @@ class Limits:
     #: Loss-bearing tokens of a sequence; None: as many as tokens.
     loss: int | None = None
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, 1 if self.loss is None else self.loss) < 1:
+            raise ValueError("a sequence holds a token, a segment and a loss-bearing token at least")
+
     @property
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.segments, self.tokens if self.loss is None else self.loss], dtype=float)
@@ -96,10 +100,11 @@ class Packer:
                 at = int(np.argmax(np.where(fits, product, -1)))
                 length = int(self.left[at])
             else:
-                at = int(np.argmax(self.left))
-                bare = max(0, int(self.quiet[at] - self.start[at]))
-                length = int(min(self.left[at], free[0], bare + free[2]))
-                if length < 1:  # only examples that bear loss are left, and no more loss is allowed here
+                # A cut may take what bears no loss, and as much loss as is still allowed.
+                cut = np.minimum(np.minimum(self.left, free[0]), np.maximum(self.quiet - self.start, 0) + free[2])
+                at = int(np.argmax(np.where(cut >= 1, self.left, -1)))
+                length = int(cut[at])
+                if length < 1:  # no example has a prompt left, and no more loss is allowed here
                     break
             borne = max(0, length - max(0, int(self.quiet[at] - self.start[at])))
             self.pieces.append((int(self.name[at]), int(self.start[at]), length, self.sequences, offset, borne))

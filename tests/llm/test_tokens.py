@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -196,3 +197,59 @@ def test_conversations_are_packed_under_all_three_limits(spark):
     for parts in sequences.values():
         assert sum(r.length for r in parts) <= 512 and len(parts) <= 6 and sum(r.loss_tokens for r in parts) <= 200
     assert max(sum(r.loss_tokens for r in parts) for parts in sequences.values()) == 200
+
+
+def plain_fill(examples, limits, tokens):
+    """One sequence, by going through all (name, start, left, quiet) for each piece."""
+    most = [limits.tokens, limits.segments, limits.tokens if limits.loss is None else limits.loss]
+    free, pieces = [min(most[0], tokens), most[1], most[2]], []
+    while free[0] >= 1 and free[1] >= 1 and examples:
+        bare = lambda e: max(0, e[3] - e[1])
+        loss = lambda e: min(e[2], max(e[1] + e[2] - e[3], 0))
+        whole = [e for e in examples if e[2] <= free[0] and loss(e) <= free[2] and (free[1] > 1 or e[2] == free[0])]
+        product = lambda e: e[2] * free[0] / most[0] ** 2 + (loss(e) * free[2] / most[2] ** 2 + free[1] / most[1] ** 2)
+        if whole:
+            best = max(whole, key=product)
+            length = best[2]
+        else:
+            cut = lambda e: min(e[2], free[0], bare(e) + free[2])
+            able = [e for e in examples if cut(e) >= 1]
+            if not able:
+                break
+            best = max(able, key=lambda e: e[2])
+            length = cut(best)
+        borne = max(0, length - bare(best))
+        pieces.append((best[0], best[1], length, borne))
+        free = [free[0] - length, free[1] - 1, free[2] - borne]
+        best[1] += length
+        best[2] -= length
+        if not best[2]:
+            at = examples.index(best)
+            examples[at] = examples[-1]  # the last one takes its place
+            examples.pop()
+    return pieces
+
+
+def test_packer_is_the_plain_one():
+    rng = random.Random(8)
+    for limits in (packing.Limits(64, 6), packing.Limits(50, 5, 12), packing.Limits(40, 3, 1)):
+        packer, examples = packing.Packer(limits), []
+        lengths, quiet = [rng.randint(1, 90) for _ in range(120)], [rng.choice([0, 0, rng.randint(0, 90)]) for _ in range(120)]
+        packer.add(list(range(120)), lengths, quiet)
+        examples = [[i, 0, n, q] for i, (n, q) in enumerate(zip(lengths, quiet, strict=True))]
+        for _ in range(60):
+            if not examples:
+                break
+            packer.pieces.clear()
+            packer.fill(limits.tokens)
+            assert [(p[0], p[1], p[2], p[5]) for p in packer.pieces] == plain_fill(examples, limits, limits.tokens)
+
+
+def test_a_prompt_is_cut_when_no_more_loss_is_allowed():
+    packer = packing.Packer(packing.Limits(100, 8, 10))
+    packer.add([0, 1, 2], [10, 500, 80], [0, 0, 60])
+    packer.fill(100)
+    assert [(p[0], p[2], p[5]) for p in packer.pieces] == [(0, 10, 10), (2, 60, 0)]
+    for broken in ({"loss": 0}, {"tokens": 0}, {"segments": 0}):
+        with pytest.raises(ValueError):
+            packing.Limits(**broken)

@@ -3,13 +3,15 @@
 A tokenizer and a tree builder with implied tags (p, li, dt and dd, table parts,
 options; void elements; end tags without a start are dropped, open elements end
 with their parent) give a tree; elements that are not displayed (head, script,
-style, template, the hidden attribute, display:none, visibility:hidden, closed
-details) go; the rest is laid out: white space collapses outside pre and
+style, template, the hidden attribute, display:none, closed details and dialogs,
+definitions and notes inside of drawings and formulas) go.  Visibility is inherited,
+and a descendant may turn it on again: text shows by that of its own element.  What
+style sheets say is not looked at, only style attributes.  The rest is laid out: white space collapses outside pre and
 textarea, blocks stand on lines of their own with blank lines around paragraphs
 and headings, list items get a marker and their depth as indent, table cells
 begin where their columns do, over as many columns and rows as they span.  A
-line of a cell that is longer than OVERHANG doesn't widen its column: it runs
-over it, and what follows in its line comes two spaces after.  Cells and rows
+line of a cell widens its column up to OVERHANG characters; what is longer runs on,
+and what follows in its line comes two spaces after.  Cells and rows
 outside of their table parts get them, and whatever else stands between those is
 laid out as blocks before the rows, as browsers do.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices
 
-#: Characters up to which a line of a cell widens its column, and up to which lists and quotations indent.
+#: The most characters that a column is wide, and that lists and quotations indent.
 OVERHANG = 400
 # Fixed values of HTML: the most that a span may say.
 MOST_COLUMNS, MOST_ROWS = 1000, 65_534
@@ -42,7 +44,9 @@ MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset(["textarea", "title"])
-UNSEEN = frozenset("head script style template title meta link base noembed noframes iframe object audio video canvas svg math datalist param source track area map".split())
+UNSEEN = frozenset("head script style template title meta link base noembed noframes iframe object audio video canvas datalist param source track area map".split())
+#: Not displayed inside of svg and math.
+FOREIGN, UNSEEN_THERE = frozenset(["svg", "math"]), frozenset("defs desc metadata symbol clippath mask annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table ul".split()
@@ -67,6 +71,8 @@ WALLS = frozenset(["table", "td", "th", "caption", "template"])
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
+#: An attribute may spell letters as character references.
+_VISIBILITY = re.compile("visibility|&", re.IGNORECASE)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 _NUMBER = re.compile(r"\s*([+-]?\d+)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -77,6 +83,7 @@ class Node:
     tag: str
     attributes: str = ""
     children: list = field(default_factory=list)  # nodes and texts
+    seen: bool = True  # whether its own texts are visible
 
 
 class Open(list):
@@ -209,13 +216,33 @@ def build(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether an element is displayed at all."""
     if node.tag in UNSEEN:
         return False
+    if node.tag == "dialog" and "open" not in attributes_of(node.attributes):
+        return False
     if not node.attributes or not _MAY_HIDE.search(node.attributes):
         return True
     attributes = attributes_of(node.attributes)
-    style = declarations(attributes.get("style", ""))
-    return "hidden" not in attributes and style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
+    return "hidden" not in attributes and declarations(attributes.get("style", "")).get("display") != "none"
+
+
+def with_visibility(root: Node) -> Node:
+    """The tree with what elements inherit: `seen`, and nothing inside of what drawings and formulas don't display."""
+    waiting = [(root, False)]
+    while waiting:
+        node, foreign = waiting.pop()
+        foreign |= node.tag in FOREIGN
+        for child in node.children:
+            if isinstance(child, Node):
+                child.seen = node.seen
+                if child.attributes and _VISIBILITY.search(child.attributes):
+                    told = declarations(attributes_of(child.attributes).get("style", "")).get("visibility")
+                    child.seen = told not in ("hidden", "collapse") if told and told != "inherit" else node.seen
+                if foreign and child.tag in UNSEEN_THERE:
+                    child.children = []
+                waiting.append((child, foreign))
+    return root
 
 
 class Layout:
@@ -293,7 +320,8 @@ def done(steps: Steps) -> None:
 def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> Steps:
     for child in node.children:
         if isinstance(child, str):
-            out.verbatim(child) if pre else out.text(child)
+            if node.seen:
+                out.verbatim(child) if pre else out.text(child)
             continue
         if not visible(child):
             continue
@@ -302,7 +330,8 @@ def lay(node: Node, out: Layout, pre: bool = False, depth: int = 0) -> Steps:
             out.break_line()
         elif tag == "hr":
             out.end_line()
-            out.write("---")
+            if child.seen:
+                out.write("---")
             out.end_line()
         elif tag == "table":
             out.end_line(True)
@@ -350,21 +379,24 @@ def lay_list(node: Node, out: Layout, depth: int) -> Steps:
             out.marker = ""
             out.indent = before
         else:
-            yield lay(Node("div", "", [child]), out, False, depth + 1)
+            yield lay(Node("div", "", [child], node.seen), out, False, depth + 1)
 
 
 def table_parts(node: Node) -> Iterator[Node | str]:
     """Rows, captions, and what else stands in a table, its sections and column groups; rows of a section end with it."""
-    waiting = [iter(node.children)]
+    waiting = [(node, iter(node.children))]
     while waiting:
-        child = next(waiting[-1], None)
+        parent, children = waiting[-1]
+        child = next(children, None)
         if child is None:
             waiting.pop()
             yield END_OF_ROWS
+        elif isinstance(child, str) and not parent.seen:
+            continue
         elif isinstance(child, Node) and (child.tag in SECTIONS or child.tag == "colgroup"):
             if visible(child):
                 yield END_OF_ROWS
-                waiting.append(iter(child.children))
+                waiting.append((child, iter(child.children)))
         else:
             yield child
 
@@ -402,7 +434,7 @@ class Grid:
     def starts(self) -> dict[int, int]:
         """Where each column begins; columns without text of their own take no room."""
         widths: dict[int, int] = {}
-        need = lambda lines: max((len(line) for line in lines if len(line) <= OVERHANG), default=0)
+        need = lambda lines: min(max(map(len, lines), default=0), OVERHANG)
         wide = []
         for row in self.rows:
             for at, columns, lines in row:
@@ -462,6 +494,8 @@ def lay_table(node: Node, out: Layout, depth: int) -> Steps:
             continue
         cells = []
         for cell in [part] if part.tag in CELLS else part.children:
+            if isinstance(cell, str) and not part.seen:
+                continue
             if not isinstance(cell, Node) or cell.tag not in CELLS:
                 run = stray(cell, run)
                 continue
@@ -485,7 +519,7 @@ def lay_table(node: Node, out: Layout, depth: int) -> Steps:
 def render(page: str) -> str:
     """All visible text of a page."""
     out = Layout()
-    done(lay(build(page), out))
+    done(lay(with_visibility(build(page)), out))
     return out.finished()
 
 

@@ -372,7 +372,7 @@ SEEN = [
     '<p style="display:none;display:block">x</p>',
     '<p title="style=display:none">x</p>',
 ]
-UNSEEN = ["<p HIDDEN>x</p>", '<p hidden="">x</p>', '<p id=a hidden>x</p>', '<p style="color:red; DISPLAY : none !important; display:block">x</p>', "<p style=visibility:hidden>x</p>", '<p style="visibility&#58;collapse">x</p>', '<details title="open "><p>x</p></details>']
+UNSEEN = ["<dialog>x</dialog>", "<svg><title>x</title><defs><text>x</text></defs><desc>x</desc></svg>", "<math><annotation>x</annotation></math>", "<p style='v&#105;sibility:hidden'>x</p>", "<p HIDDEN>x</p>", '<p hidden="">x</p>', '<p id=a hidden>x</p>', '<p style="color:red; DISPLAY : none !important; display:block">x</p>', "<p style=visibility:hidden>x</p>", '<p style="visibility&#58;collapse">x</p>', '<details title="open "><p>x</p></details>']
 
 
 def test_misplaced_parts_of_tables_keep_their_text():
@@ -427,7 +427,7 @@ def test_cells_stand_in_their_columns():
     lines = html_text.render(f"<table>{row}<tr>{'<td>y' * 40}</table>").split("\n")
     assert [i for i, c in enumerate(lines[1]) if c == "y"] == [i for i, c in enumerate(lines[0]) if c == "x" and (i == 0 or lines[0][i - 1] == " ")]
     long = "word " * 200
-    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>aaa<td>c<tr><td>a<td>d</table>") == f"{long.strip()}  b\naaa  c\na    d"
+    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>aaa<td>c<tr><td>a<td>d</table>") == f"{long.strip()}  b\n{'aaa':402}c\n{'a':402}d"
 
 
 def plain_rendering(tree):
@@ -481,3 +481,31 @@ def test_pages_repeated_and_without_ids(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, "b", "y"), (None, None, "y"), (2, "c" * 2_000_000, "z")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, n_lines string")).collect()
     assert sorted(((str(r.page_id), (r.text or "")[:3], r.n_lines) for r in got), key=str) == [("1", "a", 1), ("1", "a", 1), ("2", "ccc", 1), ("None", "", None), ("None", "b", 1)]
+
+
+SHOWN_AGAIN = [
+    ('<span style="visibility:hidden">no<b style="visibility:visible">yes</b></span>', "yes"),
+    ('<div style="visibility:hidden">no<p>no<i style="visibility:inherit">no</i><u style="visibility:initial">yes</u></p></div>', "yes"),
+    ('<ul style="visibility:hidden"><li>no<li style="visibility:visible">yes</ul>', "- yes"),
+    ('<table><tbody style="visibility:hidden">no<tr>no<td>no<td style="visibility:visible">yes<tr style="visibility:visible"><td>one<td>two</table>', "     yes\none  two"),
+    ('<hr style="visibility:hidden">a<hr>b', "a\n---\nb"),
+    ("<dialog open>yes</dialog><dialog>no</dialog>", "yes"),
+    ("a <svg><g><text>in a drawing</text></g></svg> b", "a in a drawing b"),
+    ("x = <math><mi>a</mi><mo>+</mo><mi>b</mi></math>", "x = a+b"),
+    ("<style>p { display: none }</style><p>sheets are not looked at</p>", "sheets are not looked at"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHOWN_AGAIN)
+def test_visibility_is_inherited_and_turned_on_again(page, text):
+    assert html_text.render(page) == text
+
+
+def test_columns_grow_up_to_their_most_and_no_further():
+    for n in (398, 399, 400, 401, 900):
+        rows = html_text.render(f"<table><tr><td>{'a' * n}<td>b<tr><td>c<td>d</table>").split("\n")
+        assert rows[0] == "a" * n + "  b" and rows[1] == "c".ljust(min(n, 400) + 2) + "d"
+
+
+def test_no_pages(spark):
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string, text int")).count() == 0

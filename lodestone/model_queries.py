@@ -6,14 +6,21 @@ are classes, parts their constants, events code items and documents of rules.
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone import item_queries as items_sql
 from lodestone.functions import descriptors
 from lodestone.item_queries import ITEMS, code_items
-from lodestone.operators import dictionary, diff, hierarchy
-from lodestone.plans import contents, verify
+from lodestone.operators import dictionary, diff, hierarchy, matchers, transforms
+from lodestone.plans import contents, documents, observed, staged, verify
+from lodestone.plans.pipeline import Pipeline
 from lodestone.queries import query, read
+from lodestone.sources import documents as json_documents
+from lodestone.sources.scratch import Scratch
 
 # Chains of super classes
 
@@ -286,3 +293,117 @@ def edited_code(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 def handler_diff(spark, sf_dir):
     """Exception tables of users' code before and after edits that renumber all labels."""
     return diff.handler_diff(*edited_code(spark, sf_dir), ["user_id"], "pos", "event_id")
+
+
+# Checks that stop at the first error
+
+# The broken classes and members of the other checks, but most of them mended, so that every stage finds first errors.
+_BROKEN = items_sql.BROKEN.replace("t as (", "t0 as (", 1) + """,
+       t as (select class_id, name, super_name, case when class_id % 4 = 0 then access_flags else 33 end as access_flags, case when class_id % 5 = 0 then interfaces else ['K'] end as interfaces, major from t0)"""
+_FIELD_PART = items_sql.OWNED[len(items_sql.BROKEN) :].replace("f as (", "f0 as (", 1).replace(
+    "j as (", "f as (select class_id, ordinal, case when class_id % 3 = 0 then name else 'f' || ordinal end as name, case when class_id % 3 = 0 then descriptor else 'I' end as descriptor, case when class_id % 3 = 0 then access_flags else 25 end as access_flags from f0), j as (", 1
+)
+_METHOD_PART = re.sub(r"\bj\b", "mj", re.sub(r"\bf\b", "mf", items_sql.METHODS[len(items_sql.BROKEN) :]))
+
+
+def _ranked(place: int, first: int, rules: list[tuple], table: str, columns: str) -> str:
+    """The errors of rules with their stage and number."""
+    return " union all ".join(f"select {place} as place, {i} as rule, '{category}' as category, {message} as message, class_id, {columns} from {table} where {test}" for i, (category, severity, message, test) in enumerate(rules, first) if severity == "ERROR")
+
+
+_INTERFACE_RULES = [
+    ("class_structure", "ERROR", "'Invalid interface name: \"' || interface || '\"'", "not " + items_sql.INTERNAL.format("interface")),
+    ("class_structure", "ERROR", "'Duplicate interface: \"' || interface || '\"'", "nth > 1"),
+]
+_NO_MEMBER, _MEMBER_COLUMNS = "null::varchar as member_name, null::varchar as member_descriptor", "name as member_name, descriptor as member_descriptor"
+
+
+@query(f"""with {_BROKEN}{_FIELD_PART}{_METHOD_PART}, i as (select class_id, name, unnest(interfaces) as interface, generate_subscripts(interfaces, 1) as at_ from t), n as (select *, row_number() over (partition by class_id, interface order by at_) as nth from i),
+       told as ({_ranked(0, 0, items_sql._CLASS_RULES, "t", _NO_MEMBER)} union all {_ranked(0, len(items_sql._CLASS_RULES), _INTERFACE_RULES, "n", _NO_MEMBER)}
+         union all {_ranked(1, 0, items_sql._FIELD_RULES, "j", _MEMBER_COLUMNS)} union all {_ranked(2, 0, items_sql._METHOD_RULES, "mj", _MEMBER_COLUMNS)}),
+       first as (select * from told qualify row_number() over (partition by class_id order by place, rule, coalesce(member_name, ''), coalesce(member_descriptor, ''), message) = 1)
+       select class_id, ['class', 'fields', 'methods'][place + 1] as stage, rule, category, message, member_name, member_descriptor from first""")
+def check_first(spark, sf_dir):
+    """The first error of each class, by the order of stages and rules."""
+    orders = read(spark, sf_dir, "orders")
+    fields = orders.selectExpr("o_custkey % 300 as class_id", "o_orderkey as ordinal", "case o_orderkey % 6 when 0 then '' when 1 then 'a.b' else o_orderstatus end as name", "case o_orderkey % 4 when 0 then 'I' when 1 then '[J' when 2 then 'X' else 'V' end as descriptor", "cast(o_orderkey % 128 as int) as access_flags")
+    bad = F.col("class_id") % 3 == 0
+    fields = fields.withColumns({"name": F.when(bad, F.col("name")).otherwise(F.concat(F.lit("f"), "ordinal")), "descriptor": F.when(bad, F.col("descriptor")).otherwise("I"), "access_flags": F.when(bad, F.col("access_flags")).otherwise(25)})
+    methods = orders.selectExpr(
+        "o_custkey % 300 as class_id", "o_orderkey as ordinal", "case o_orderkey % 5 when 0 then '<init>' when 1 then '<clinit>' when 2 then '<bad>' else o_orderstatus end as name", "case o_orderkey % 3 when 0 then '()V' when 1 then '(I)[J' else '(V)I' end as descriptor",
+        "cast(o_orderkey * 11 % 2048 as int) as access_flags", "o_orderkey % 4 <> 0 as has_code",
+    )
+    classes = items_sql.broken(spark, sf_dir)
+    classes = classes.withColumns({"access_flags": F.expr("if(class_id % 4 = 0, access_flags, 33)"), "interfaces": F.expr("if(class_id % 5 = 0, interfaces, array('K'))")})
+    found = staged.first_errors(staged.Tables(classes, fields, methods))
+    return found.select("class_id", "stage", "rule", "category", "message", "member_name", "member_descriptor")
+
+
+# Documents whose keys are all known
+
+#: Events' properties inside of other documents, {value} and {props} standing for the event's.
+_DOCUMENTS = [
+    "{props}",
+    '{"k": 1, "deep": {"k": 2, "other": {props}}}',
+    '[{props}, {"x": [{props}, {"y": {props}}]}]',
+    '{"k": {bad',
+    '{"k": [1, {props}], "z": null}',
+    '{"extra": {"any": [{props}]}, "k": "s", "odd": {props}}',
+]
+_KEYS = ["k", "deep", "deep.k", "[]", "[].k", "extra.**"]
+_DOCUMENT = "case event_id % 6 " + " ".join(f"when {i} then replace('{d}', '{{props}}', props)" for i, d in enumerate(_DOCUMENTS)) + " end"
+_KNOWN = "(path in ('k', 'deep', 'deep.k', '[]', '[].k', 'extra', '') or starts_with(path, 'extra.') or starts_with(path, 'extra[]'))"
+
+
+@query(f"""with d as (select event_id, {_DOCUMENT} as doc from events),
+       n as (select event_id, regexp_replace(regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g'), '^\\$\\.?', '') as path from (select * from d where json_valid(doc)) d, json_tree(d.doc)),
+       u as (select distinct event_id, path, regexp_replace(path, '(\\.[^.\\[\\]]+|\\[\\]|^[^.\\[\\]]+)$', '') as above from n where not {_KNOWN})
+       select event_id, path, 'unknown key' as error from u where {_KNOWN.replace("path", "above")} union all select event_id, '$', 'malformed' from d where not json_valid(doc)""")
+def json_unknown_keys(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", F.expr(_DOCUMENT).alias("doc"))
+    return json_documents.unknown_keys(events, ["event_id"], "doc", _KEYS)
+
+
+# Reports in one piece
+
+
+@query("""with types as (select p_brand, p_type, count(*) as n from part group by 1, 2), top_types as (select * from types qualify rank() over (partition by p_brand order by n desc) <= 2),
+       large as (select p_brand, p_partkey, p_name, p_size from part qualify rank() over (partition by p_brand order by p_size desc) <= 3),
+       head as (select p_brand, count(*) as n_parts, count(distinct p_type) as n_types, max(p_size) as largest from part group by 1),
+       a as (select p_brand, list({'p_type': p_type, 'n': n} order by n desc, p_type) as types from top_types group by 1), b as (select p_brand, list({'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size} order by p_size desc, p_partkey) as parts from large group by 1)
+       select p_brand, to_json({'p_brand': p_brand, 'n_parts': n_parts, 'n_types': n_types, 'largest': largest, 'types': types, 'parts': parts})::varchar as report from head join a using (p_brand) join b using (p_brand)""")
+def brand_reports(spark, sf_dir):
+    """A document for each brand: counts, its commonest types and its largest parts, ties included."""
+    part = read(spark, sf_dir, "part")
+    head = part.groupBy("p_brand").agg(F.count("*").alias("n_parts"), F.count_distinct("p_type").alias("n_types"), F.max("p_size").alias("largest"))
+    types = documents.top_with_ties(part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")), ["p_brand"], [("n", True)], 2)
+    types = types.groupBy("p_brand").agg(documents.in_order(["p_type", "n"], [("n", True), ("p_type", False)]).alias("types"))
+    large = documents.top_with_ties(part, ["p_brand"], [("p_size", True)], 3)
+    large = large.groupBy("p_brand").agg(documents.in_order(["p_partkey", "p_name", "p_size"], [("p_size", True), ("p_partkey", False)]).alias("parts"))
+    return documents.assembled("p_brand", head, types=types, parts=large)
+
+
+# Stages that are observed while they run
+
+
+@query("""select 1 as number, 'classes' as "table", count(*) as rows, sum(strlen(c_name) + strlen(c_mktsegment))::bigint as bytes from customer
+       union all select 2, 'methods', count(*), sum(strlen(o_orderstatus) + strlen(o_orderpriority))::bigint from orders
+       union all select 3, 'classes', count(*), sum(strlen(c_name) + strlen(c_mktsegment))::bigint from customer where c_nationkey > 4
+       union all select 4, 'code_items', count(*), sum(strlen(case when l_returnflag = 'R' then 'method' else 'raw' end) + strlen(case when l_returnflag = 'R' and o_orderstatus = 'O' then 'own' else l_linestatus end) + strlen(case when l_returnflag = 'R' and o_orderstatus = 'O' then 'call' else l_returnflag end) + 3)::bigint
+         from lineitem join orders on l_orderkey = o_orderkey left join customer on c_custkey = o_custkey""")
+def stage_counts(spark, sf_dir):
+    """Rows and bytes of every table that the stages of a pipeline write, as they were seen while they were written."""
+    step = lambda c: replace(c, classes=c.classes.where("access_flags & 63 > 4"))
+    pipeline = Pipeline().on_classes(matchers.classes.extends("BUILDING"), transforms.add_flags(64)).on_each("methods", matchers.methods.named("F"), transforms.add_flags(8))
+    pipeline = pipeline.custom(step, "few").custom(lambda c: replace(c, code_items=recalled(c)), "calls")
+    stages = observed.Stages(Scratch(spark))
+    stages.run(pipeline, items_sql.catalog(spark, sf_dir))
+    return stages.table().select("number", "table", "rows", "bytes")
+
+
+def recalled(c):
+    """The code items of a catalog with the calls of open orders redirected."""
+    own = F.expr("kind = 'method'") & F.col("_open")
+    opened = c.methods.where("name = 'O'").select("class_id", F.col("ordinal").alias("method_ordinal"), F.lit(True).alias("_open")).distinct()
+    items = c.code_items.join(opened, ["class_id", "method_ordinal"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+    return items.withColumns({"owner": F.when(own, "own").otherwise(F.col("owner")), "name": F.when(own, "call").otherwise(F.col("name"))}).select(*c.code_items.columns)

@@ -54,3 +54,18 @@ def class_name(field: Column) -> Column:
 def component_type(field: Column) -> Column:
     """The type of an array's elements, itself an array or not; null for others."""
     return F.when(field.startswith("["), F.substring(field, 2, 1 << 30))
+
+
+def field_of(element: Column, dims: Column) -> Column:
+    """The descriptor of an element type (a primitive or L...;) in so many dimensions: the inverse of element_type() and dimensions()."""
+    return F.concat(F.repeat(F.lit("["), dims), element)
+
+
+def object_of(name: Column) -> Column:
+    """The descriptor of a class by its internal name: the inverse of class_name()."""
+    return F.concat(F.lit("L"), name, F.lit(";"))
+
+
+def method_of(parameters: Column, returned: Column) -> Column:
+    """The descriptor of a method by the descriptors of its parameters and its return type: the inverse of parameters() and return_type()."""
+    return F.concat(F.lit("("), F.array_join(parameters, ""), F.lit(")"), returned)

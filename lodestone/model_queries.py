@@ -16,9 +16,9 @@ from lodestone import item_queries as items_sql
 from lodestone.functions import descriptors
 from lodestone.item_queries import ITEMS, code_items
 from lodestone.operators import dictionary, diff, hierarchy, matchers, transforms
-from lodestone.plans import contents, documents, observed, staged, verify
+from lodestone.plans import contents, documents, observed, patch, staged, verify
 from lodestone.plans.pipeline import Pipeline
-from lodestone.queries import query, read
+from lodestone.queries import DESCRIPTOR, query, read
 from lodestone.sources import documents as json_documents
 from lodestone.sources.scratch import Scratch
 
@@ -407,3 +407,98 @@ def recalled(c):
     opened = c.methods.where("name = 'O'").select("class_id", F.col("ordinal").alias("method_ordinal"), F.lit(True).alias("_open")).distinct()
     items = c.code_items.join(opened, ["class_id", "method_ordinal"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
     return items.withColumns({"owner": F.when(own, "own").otherwise(F.col("owner")), "name": F.when(own, "call").otherwise(F.col("name"))}).select(*c.code_items.columns)
+
+
+# Class headers and labels of tables beside the code
+
+#: Orders are the headers of classes 0 to 39 and of many that have no pool.
+_HEADER = {
+    "class_id": "o_orderkey % 60", "magic": "case when o_orderkey % 17 = 3 then 3405691583 + o_custkey % 3 else 3405691582 end", "major": "43 + o_custkey % 28", "minor": "case when o_orderkey % 5 = 0 then 65535 else o_orderkey % 3 * (o_custkey % 2) end",
+    "access_flags": "case when o_orderkey % 7 = 0 then 32768 else 33 end", "this_class": "o_custkey % 52", "super_class": "o_orderkey % 51 * (o_custkey % 3)", "n_fields": "o_custkey % 2", "n_methods": "o_orderkey % 2",
+}
+
+
+@query(f"""with {POOL}, h as (select o_orderkey, {", ".join(f"{v} as {k}" for k, v in _HEADER.items())}, case when o_orderkey % 4 = 0 then [] else [o_custkey % 50, o_orderkey % 49] end as interfaces from orders),
+       known as (select p.class_id, p.cp_index, u.utf8 from pool p join utf u on u.class_id = p.class_id and u.cp_index = p.ref1 where p.tag = 7),
+       j as (select h.*, access_flags >= 32768 as module, a.utf8 as class_name, a.class_id is not null as has_this, b.class_id is not null as has_super from h left join known a on a.class_id = h.class_id and a.cp_index = this_class
+         left join known b on b.class_id = h.class_id and b.cp_index = super_class)
+       select class_id, class_name, 'invalid magic 0x' || lpad(lower(to_hex(magic)), 8, '0') as message from j where magic <> 3405691582
+       union all select class_id, class_name, 'invalid class version ' || major || '/' || minor from j where not (major between 45 and 69 and (major < 56 or minor in (0, 65535)))
+       union all select class_id, class_name, 'this_class must be non-zero' from j where this_class = 0
+       union all select class_id, class_name, 'this_class must reference CONSTANT_Class' from j where this_class <> 0 and not has_this
+       union all select class_id, class_name, 'module class must have super_class == 0' from j where module and super_class <> 0
+       union all select class_id, class_name, 'module class must not declare interfaces' from j where module and len(interfaces) > 0
+       union all select class_id, class_name, 'module class must not declare fields' from j where module and n_fields > 0
+       union all select class_id, class_name, 'module class must not declare methods' from j where module and n_methods > 0
+       union all select class_id, class_name, 'non-root class must have non-zero super_class' from j where not module and super_class = 0
+       union all select class_id, class_name, 'super_class must reference CONSTANT_Class' from j where not module and super_class <> 0 and not has_super
+       union all select j.class_id, class_name, 'interface entry must reference CONSTANT_Class' from (select *, unnest(interfaces) as i from j) j where not exists (select 1 from known k where k.class_id = j.class_id and k.cp_index = j.i)""")
+def check_headers(spark, sf_dir):
+    """What classes say of themselves, by the numbers of their constants."""
+    headers = read(spark, sf_dir, "orders").selectExpr(*(f"cast({v} as {'bigint' if k in ('magic', 'class_id') else 'int'}) as {k}" for k, v in _HEADER.items()), "if(o_orderkey % 4 = 0, cast(array() as array<int>), array(cast(o_custkey % 50 as int), cast(o_orderkey % 49 as int))) as interfaces")
+    pool = contents.with_gaps(pools(spark, sf_dir)[0]).where("not gap and cp_index > 0")
+    return contents.header_rules(headers, pool).select("class_id", "class_name", "message")
+
+
+@query(f"""with {ITEMS}, own as (select user_id, label_id from items where kind = 'label'),
+       told as (select user_id, 'Exception handler start' as context, pos as label from items where kind = 'branch' union all select user_id, 'Exception handler end', low from items where kind = 'branch' union all select user_id, 'Exception handler handler', high + event_id % 2 from items where kind = 'branch'
+         union all select user_id, 'Line number entry', pos - 1 from items where kind = 'table_switch'
+         union all select user_id, 'Local variable ' || chr(39) || 'v' || pos || chr(39) || ' start', low from items where opcode = 177 union all select user_id, 'Local variable ' || chr(39) || 'v' || pos || chr(39) || ' end', pos + 1 from items where opcode = 177
+         union all select user_id, 'Local variable type ' || chr(39) || 't' || pos || chr(39) || ' start', high from items where opcode = 87 union all select user_id, 'Local variable type ' || chr(39) || 't' || pos || chr(39) || ' end', pos - 2 from items where opcode = 87)
+       select user_id as class_id, context || ' references label not in instruction stream' as message from told t where not exists (select 1 from own where own.user_id = t.user_id and own.label_id = t.label)""")
+def check_labels(spark, sf_dir):
+    """Handlers, lines and variables whose labels are not in the code."""
+    items = code_items(spark, sf_dir).selectExpr("*", "user_id as class_id", "0 as method_ordinal")
+    methods = items.select("class_id").distinct().selectExpr("class_id", "0 as ordinal", "'m' as name", "'()V' as descriptor")
+    by = ["class_id", "method_ordinal"]
+    handlers = items.where("kind = 'branch'").selectExpr(*by, "pos as start_label", "low as end_label", "high + event_id % 2 as handler_label")
+    lines = items.where("kind = 'table_switch'").selectExpr(*by, "pos - 1 as label_id")
+    variables = items.where("opcode = 177").selectExpr(*by, "concat('v', pos) as name", "low as start_label", "pos + 1 as end_label")
+    types = items.where("opcode = 87").selectExpr(*by, "concat('t', pos) as name", "high as start_label", "pos - 2 as end_label")
+    return verify.label_rules(items, methods, handlers, lines, variables, types).select("class_id", "message")
+
+
+# Code actions and descriptors
+
+
+@query("""with l as (select l_orderkey as m, o_orderstatus as st, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, case l_linenumber % 4 when 0 then 'raw' when 1 then 'method' when 2 then 'field' else 'ldc' end as kind,
+         cast(l_quantity as integer) as opcode, l_linestatus as owner, l_returnflag as name, case when l_linenumber % 4 = 3 then l_returnflag end as s from lineitem join orders on l_orderkey = o_orderkey),
+       o as (select m, i * 10 as k, kind, opcode, owner, name, s from l where st = 'O' and not (kind = 'raw' and opcode = 7)
+         union all select m, i * 10 + x, 'raw', 100 + x, null, null, null from l, (select unnest([1, 2]) as x) where st = 'O' and kind = 'raw' and opcode = 7
+         union all select m, i * 10 - 1, 'raw', 0, null, null, null from l where st = 'O' and kind = 'raw' and opcode = 9),
+       f as (select m, i as k, kind, opcode, case when kind = 'method' and owner = 'O' then 'own' when kind = 'field' and name = 'R' then 'fown' else owner end as owner, case when kind = 'method' and owner = 'O' then 'call' else name end as name, case when kind = 'ldc' and s = 'A' then 'Z' else s end as s from l where st = 'F'),
+       p1 as (select *, lead(kind) over w as after, lag(kind) over w as before from l where st = 'P' window w as (partition by m order by i)),
+       p2 as (select * from p1 where not (kind = 'method' and coalesce(after, '') = 'field') and not (kind = 'field' and coalesce(before, '') = 'method')),
+       p3 as (select * exclude (after, before), lead(kind) over w as after, lag(kind) over w as before from p2 window w as (partition by m order by i)),
+       p as (select m, i as k, case when kind = 'ldc' and coalesce(after, '') = 'raw' then 'raw' else kind end as kind, case when kind = 'ldc' and coalesce(after, '') = 'raw' then 55 else opcode end as opcode,
+         case when kind = 'ldc' and coalesce(after, '') = 'raw' then null else owner end as owner, case when kind = 'ldc' and coalesce(after, '') = 'raw' then null else name end as name, case when kind = 'ldc' and coalesce(after, '') = 'raw' then null else s end as s
+         from p3 where not (kind = 'raw' and coalesce(before, '') = 'ldc'))
+       select m as method_ordinal, row_number() over (partition by m order by k) as nth, kind, opcode, owner, name, s as ldc_string from (select * from o union all select * from f union all select * from p)""")
+def patch_actions(spark, sf_dir):
+    """All code actions: items put in, replaced, removed as sequences, and calls, fields and texts redirected, by the status of the order."""
+    rules = patch.load(
+        """{"rules": [
+          {"kind": "method", "matcher": {"name": "O"}, "code_actions": [{"type": "replace-insn", "matcher": {"kind": "raw", "opcode": 7}, "replacement": [{"kind": "raw", "opcode": 101}, {"kind": "raw", "opcode": 102}]},
+            {"type": "insert-before", "matcher": {"kind": "raw", "opcode": 9}, "items": [{"kind": "raw", "opcode": 0}]}]},
+          {"kind": "method", "matcher": {"name": "F"}, "code_actions": [{"type": "redirect-method-call", "from": {"owner": "O"}, "to": {"owner": "own", "name": "call"}}, {"type": "redirect-field-access", "from": {"name": "R"}, "to": {"owner": "fown"}}, {"type": "replace-string", "from": "A", "to": "Z"}]},
+          {"kind": "method", "matcher": {"name": "P"}, "code_actions": [{"type": "remove-sequence", "pattern": [{"kind": "method"}, {"kind": "field"}]}, {"type": "replace-sequence", "pattern": [{"kind": "ldc"}, {"kind": "raw"}], "replacement": [{"kind": "raw", "opcode": 55}]}]}]}"""
+    )
+    tables = items_sql.catalog(spark, sf_dir)
+    place = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
+    items = read(spark, sf_dir, "lineitem").withColumn("item_ordinal", place).join(read(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    items = items.selectExpr(
+        "o_custkey as class_id", "l_orderkey as method_ordinal", "item_ordinal", "case l_linenumber % 4 when 0 then 'raw' when 1 then 'method' when 2 then 'field' else 'ldc' end as kind", "cast(l_quantity as int) as opcode", "l_linestatus as owner", "l_returnflag as name",
+        "'()V' as descriptor", "if(l_linenumber % 4 = 3, l_returnflag, null) as ldc_string",
+    )
+    done, _ = patch.apply(replace(tables, code_items=items), rules)
+    nth = F.row_number().over(Window.partitionBy("method_ordinal").orderBy("item_ordinal")).cast("bigint")
+    return done.code_items.select("method_ordinal", nth.alias("nth"), "kind", "opcode", "owner", "name", "ldc_string")
+
+
+@query(f"""select l_orderkey, l_linenumber, {DESCRIPTOR} as descriptor, repeat('[', l_linenumber % 4) || 'Ljava/lang/' || l_returnflag || ';' as field from lineitem""")
+def descriptor_format(spark, sf_dir):
+    """Descriptors put together again from their parts."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.expr(DESCRIPTOR).alias("d"))
+    whole = descriptors.method_of(descriptors.parameters(F.col("d")), descriptors.return_type(F.col("d")))
+    field = descriptors.field_of(descriptors.object_of(F.concat(F.lit("java/lang/"), "l_returnflag")), F.col("l_linenumber") % 4)
+    return items.select("l_orderkey", "l_linenumber", whole.alias("descriptor"), field.alias("field"))

@@ -271,3 +271,41 @@ def all_pool_rules(pool: DataFrame, classes: DataFrame) -> DataFrame:
     """Slots, links and handles of constant pools; what stands in slot 0 or in a gap is not looked at further."""
     real = with_gaps(pool).where("not gap and cp_index > 0").drop("gap")
     return slot_rules(pool, classes).unionByName(pool_rules(real)).unionByName(handle_rules(real, classes))
+
+
+# Fixed values of the class-file format: the first bytes, and the versions that exist.
+MAGIC, FIRST_VERSION, LAST_VERSION, PREVIEW = 0xCAFEBABE, 45, 69, 65535
+
+
+def header_rules(headers: DataFrame, pool: DataFrame) -> DataFrame:
+    """Magic, version, and what a class says of itself, its super class and its interfaces, as numbers of constants.
+
+    headers: (class_id, magic, major, minor, access_flags, this_class, super_class, interfaces array<int>, n_fields, n_methods).
+    """
+    known = offers(pool).where("wanted = 'class'").select("class_id", "index")
+    text = pool.where("tag = 1").select("class_id", F.col("cp_index").alias("ref1"), "utf8")
+    named = pool.where("tag = 7").select("class_id", F.col("cp_index").alias("this_class"), "ref1").join(text, ["class_id", "ref1"]).select("class_id", "this_class", F.col("utf8").alias("class_name"))
+    is_class = lambda name: known.select("class_id", F.col("index").alias(f"{name}_class"), F.lit(True).alias(f"_{name}"))
+    rows = headers.join(named, ["class_id", "this_class"], "left").join(is_class("this"), ["class_id", "this_class"], "left").join(is_class("super"), ["class_id", "super_class"], "left")
+    module, super_ = F.col("access_flags").bitwiseAND(F.lit(0x8000)) != 0, F.col("super_class")
+    root = ~module & F.coalesce(F.col("class_name") == "java/lang/Object", F.lit(False))
+    plain = ~module & ~root
+    major, minor = F.col("major"), F.col("minor")
+    version = major.between(FIRST_VERSION, LAST_VERSION) & ((major < 56) | minor.isin(0, PREVIEW))
+    rules = [
+        Rule("magic", F.concat(F.lit("invalid magic 0x"), F.lpad(F.lower(F.hex("magic")), 8, "0")), F.col("magic") != MAGIC),
+        Rule("version", F.concat(F.lit("invalid class version "), major.cast("string"), F.lit("/"), minor.cast("string")), ~version),
+        Rule("class_structure", "this_class must be non-zero", F.col("this_class") == 0),
+        Rule("class_structure", "this_class must reference CONSTANT_Class", (F.col("this_class") != 0) & F.col("_this").isNull()),
+        Rule("class_structure", "module class must have super_class == 0", module & (super_ != 0)),
+        Rule("class_structure", "module class must not declare interfaces", module & (F.size("interfaces") > 0)),
+        Rule("class_structure", "module class must not declare fields", module & (F.col("n_fields") > 0)),
+        Rule("class_structure", "module class must not declare methods", module & (F.col("n_methods") > 0)),
+        Rule("class_structure", "java/lang/Object must have super_class == 0", root & (super_ != 0)),
+        Rule("class_structure", "non-root class must have non-zero super_class", plain & (super_ == 0)),
+        Rule("class_structure", "super_class must reference CONSTANT_Class", plain & (super_ != 0) & F.col("_super").isNull()),
+    ]
+    place = {"class_id": "class_id", "class_name": "class_name"}
+    each = rows.select("class_id", "class_name", F.explode("interfaces").alias("index"))
+    missing = each.join(known, ["class_id", "index"], "left_anti")
+    return violations(rows, rules, place).unionByName(violations(missing, [Rule("class_structure", "interface entry must reference CONSTANT_Class", F.lit(True))], place))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import names
 from lodestone.operators import reports
+from lodestone.sources import documents
 
 
 def class_metrics(classes: DataFrame, fields: DataFrame, methods: DataFrame, items: DataFrame) -> DataFrame:
@@ -53,7 +54,5 @@ def totals(metrics: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def excludes(entries: DataFrame) -> DataFrame:
-    """(archive, match) of the compiler-control file: the matches of the entries that c2 excludes."""
-    kind = "array<struct<match:array<string>,c2:struct<exclude:boolean>>>"
-    text = entries.where("entry_name = 'compilercontrol.json'").select("archive", F.from_json(F.col("content").cast("string"), kind).alias("rows"))
-    return text.select("archive", F.explode("rows").alias("r")).where("r.c2.exclude").select("archive", F.explode("r.match").alias("match"))
+    """(archive, match) of the compiler-control file: the matches of the entries that c2 excludes; files with unknown keys give none."""
+    return documents.compiler_excludes(entries)[0]

@@ -59,10 +59,32 @@ def load(text: str) -> list[dict]:
             known = CODE_ACTIONS.get(action.get("type"))
             if known is None or set(action) - known - {"type"}:
                 raise ValueError(f"unknown code action or keys in rule {i}: {action}")
+            check_items(action.get("items") or action.get("replacement") or [], f"rule {i}")
         rules.append({"name": f"rule-{i}", "matcher": {}, "owner": {}, "action": None, "code_actions": []} | rule)
     return rules
 
 
+def check_items(items: list[dict], where: str) -> None:
+    """The items that a code action puts in: labels are declared once, jumps go to labels among them, switches have a target for each value.
+
+    A label is told by its label_id, a jump by target_label, a switch by switch_default and switch_labels; a table switch may
+    say its values from low to high.
+    """
+    labels = [x.get("label_id") for x in items if x.get("kind") == "label"]
+    if None in labels or len(set(labels)) < len(labels):
+        raise ValueError(f"labels of {where} need names of their own")
+    for item in items:
+        aims = [item[k] for k in ("target_label", "switch_default") if item.get(k) is not None] + list(item.get("switch_labels") or [])
+        if unknown := [x for x in aims if x not in labels]:
+            raise ValueError(f"labels {unknown} of {where} are not declared")
+        if item.get("kind") == "table_switch" and "low" in item and "high" in item:
+            width, targets = item["high"] - item["low"] + 1, len(item.get("switch_labels") or [])
+            if width < 1:
+                raise ValueError(f"invalid range {item['low']} to {item['high']} of a table switch in {where}")
+            if targets != width:
+                raise ValueError(f"a table switch from {item['low']} to {item['high']} in {where} has {targets} targets")
+
+
 def flat(actions: list[dict]) -> list[dict]:
     """Actions with sequences taken apart, in order."""
     return [x for a in actions for x in (flat(a["actions"]) if a.get("type") == "sequence" else [a])]

@@ -7,6 +7,8 @@ a grouping; class-level facts reach the members by one join on class_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ FIRST_MAJOR = {"StackMapTable": 50, "BootstrapMethods": 51, "MethodParameters":
 MODULE_ONLY = ["Module", "ModulePackages", "ModuleMainClass"]
 
 
+# The texts of the checks below.
+
+
 def _quoted(name: Column | str) -> Column:
     return F.concat(F.lit('"'), F.col(name) if isinstance(name, str) else name, F.lit('"'))
 
@@ -204,6 +209,32 @@ def code_rules(items: DataFrame, methods: DataFrame) -> DataFrame:
     return violations(counts, empty, place).unionByName(violations(missing, dangling, place))
 
 
+def label_rules(items: DataFrame, methods: DataFrame, handlers: DataFrame | None = None, lines: DataFrame | None = None, variables: DataFrame | None = None, variable_types: DataFrame | None = None) -> DataFrame:
+    """Labels of tables beside the code (class_id, method_ordinal, ...) that are not among the items' labels.
+
+    handlers: (start_label, end_label, handler_label); lines: (label_id); variables, variable_types: (name, start_label, end_label).
+    """
+    by = ["class_id", "method_ordinal"]
+    ends = lambda df, what: (df, [(F.concat(F.lit(f"{what} '"), F.col("name"), F.lit(f"' {e}")), f"{e}_label") for e in ("start", "end")])
+    tables = []
+    if handlers is not None:
+        tables.append((handlers, [(F.lit(f"Exception handler {e}"), f"{e}_label") for e in ("start", "end", "handler")]))
+    if lines is not None:
+        tables.append((lines, [(F.lit("Line number entry"), "label_id")]))
+    if variables is not None:
+        tables.append(ends(variables, "Local variable"))
+    if variable_types is not None:
+        tables.append(ends(variable_types, "Local variable type"))
+    told = [df.select(*by, F.explode(F.array(*(F.struct(c.alias("context"), F.col(label).cast("bigint").alias("label_id")) for c, label in uses))).alias("u")).select(*by, "u.*") for df, uses in tables]
+    if not told:
+        raise ValueError("no table of labels is given")
+    heads = methods.select("class_id", F.col("ordinal").alias("method_ordinal"), F.col("name").alias("member_name"), F.col("descriptor").alias("member_descriptor"))
+    known = items.where("kind = 'label'").select(*by, F.col("label_id").cast("bigint").alias("label_id"))
+    missing = reduce(DataFrame.unionAll, told).join(known, [*by, "label_id"], "left_anti").join(heads, by)
+    rule = Rule("code", _text(F.col("context"), " references label not in instruction stream"), F.lit(True))
+    return violations(missing, [rule], {c: c for c in ("class_id", "member_name", "member_descriptor")})
+
+
 def simulation_rules(frames: DataFrame, methods: DataFrame) -> DataFrame:
     """Methods whose simulation fails; frames as from lodestone.operators.frames, keyed by class_id."""
     heads = methods.select("class_id", F.col("ordinal").alias("method_ordinal"), F.col("name").alias("member_name"), F.col("descriptor").alias("member_descriptor"))

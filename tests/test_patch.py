@@ -75,3 +75,16 @@ def test_only_straight_code_loses_nops(spark):
     items = spark.createDataFrame(rows, "method int, ordinal bigint, kind string, opcode int")
     out = deobfuscate.remove_nops_of_straight_code(items, ["method"])
     assert sorted((r.method, r.ordinal, r.kind) for r in out.collect()) == [(1, 0, "raw"), (2, 0, "raw"), (2, 1, "label")]
+
+
+def test_items_with_labels_and_switches_are_validated():
+    from lodestone.plans.patch import check_items
+
+    label = {"kind": "label", "label_id": "a"}
+    check_items([label, {"kind": "branch", "opcode": 167, "target_label": "a"}, {"kind": "table_switch", "switch_default": "a", "low": 3, "high": 4, "switch_labels": ["a", "a"]}], "rule 1")
+    for broken in (
+        [{"kind": "branch", "target_label": "b"}], [label, label], [{"kind": "label"}], [label, {"kind": "lookup_switch", "switch_default": "a", "switch_labels": ["c"]}],
+        [label, {"kind": "table_switch", "switch_default": "a", "low": 3, "high": 5, "switch_labels": ["a", "a"]}], [label, {"kind": "table_switch", "switch_default": "a", "low": 3, "high": 2, "switch_labels": []}],
+    ):
+        with pytest.raises(ValueError):
+            check_items(broken, "rule 1")

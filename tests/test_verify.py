@@ -131,3 +131,30 @@ def test_dropped_archives_are_ingested_once(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/lake")
     assert found.count() == 2 and {r.error_kind for r in found.collect()} == {"truncated"}
     assert found.select(F.count_distinct("archive")).first()[0] == 2
+
+
+def test_headers_by_the_numbers_of_their_constants(spark):
+    from lodestone.plans import contents
+
+    pool = spark.createDataFrame([(c, 1, 1, "java/lang/Object" if c == 3 else "a/B", None, None, None) for c in range(9)] + [(c, 2, 7, None, None, 1, None) for c in range(9)], "class_id int, cp_index int, tag int, utf8 string, bits long, ref1 int, ref2 int")
+    magic = 0xCAFEBABE
+    rows = [
+        (1, magic, 52, 0, 0x21, 2, 2, [2], 1, 1), (2, 0xCAFE, 70, 0, 0x21, 0, 0, [1], 0, 0), (3, magic, 60, 0, 0x21, 2, 2, [], 0, 0), (4, magic, 56, 1, 0x21, 1, 9, [], 0, 0),
+        (5, magic, 53, 3, 0x8000, 2, 2, [2], 1, 2), (6, magic, 69, 65535, 0x8000, 2, 0, [], 0, 0), (7, magic, 56, 65535, 0x21, 2, 2, None, 0, 0),
+    ]
+    headers = spark.createDataFrame(rows, "class_id int, magic long, major int, minor int, access_flags int, this_class int, super_class int, interfaces array<int>, n_fields int, n_methods int")
+    assert {(r.class_id, r.message) for r in contents.header_rules(headers, pool).collect()} == {
+        (2, "invalid magic 0x0000cafe"), (2, "invalid class version 70/0"), (2, "this_class must be non-zero"), (2, "non-root class must have non-zero super_class"), (2, "interface entry must reference CONSTANT_Class"),
+        (3, "java/lang/Object must have super_class == 0"), (4, "invalid class version 56/1"), (4, "this_class must reference CONSTANT_Class"), (4, "super_class must reference CONSTANT_Class"),
+        (5, "module class must have super_class == 0"), (5, "module class must not declare interfaces"), (5, "module class must not declare fields"), (5, "module class must not declare methods"),
+    }
+
+
+def test_labels_of_tables_beside_the_code(spark):
+    items = spark.createDataFrame([(1, 0, "label", 3), (1, 0, "raw", None)], "class_id int, method_ordinal int, kind string, label_id int")
+    methods = spark.createDataFrame([(1, 0, 1, "f", "()V")], MEMBER)
+    handlers = spark.createDataFrame([(1, 0, 3, 4, 5)], "class_id int, method_ordinal int, start_label int, end_label int, handler_label int")
+    lines = spark.createDataFrame([(1, 0, 3), (1, 0, 7)], "class_id int, method_ordinal int, label_id int")
+    variables = spark.createDataFrame([(1, 0, "x", 3, 8)], "class_id int, method_ordinal int, name string, start_label int, end_label int")
+    found = verify.label_rules(items, methods, handlers, lines, variables, variables).collect()
+    assert sorted(r.message.removesuffix(" references label not in instruction stream") for r in found) == ["Exception handler end", "Exception handler handler", "Line number entry", "Local variable 'x' end", "Local variable type 'x' end"]

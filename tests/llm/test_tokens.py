@@ -253,3 +253,33 @@ def test_a_prompt_is_cut_when_no_more_loss_is_allowed():
     for broken in ({"loss": 0}, {"tokens": 0}, {"segments": 0}):
         with pytest.raises(ValueError):
             packing.Limits(**broken)
+
+
+def test_undoubted_matches_have_the_library_s_ids(spark):
+    bpe = bytebpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rng = random.Random(12)
+    short = [t.decode("latin-1") for t in bpe.ranks if 1 < len(t) < 5 and t.isalpha()]
+    repeats = ["".join(rng.choice([a, a, a[:-1], a[1:], rng.choice(short)]) for _ in range(rng.randint(2, 6))) for a in rng.choices(short, k=4000)]
+    parts = sorted({m for t in texts + repeats for m in bpe.matches(t) if m})
+    sure = [p for p in parts if not bpe.doubtful(p.encode())]
+    assert 0 < len(parts) - len(sure) < 0.2 * len(parts)
+    for part, found in zip(sure, bpe.library.encode_batch_fast(sure, add_special_tokens=False), strict=True):
+        assert found.ids == library.encode_ordinary(part), part
+    for part in set(parts) - set(sure):
+        assert bpe.by_rank(part.encode()) == library.encode_ordinary(part), part
+
+
+def test_offsets_are_the_library_s(spark):
+    texts = [t for t in ODD if t] + noise(200, 3)
+    library = bytebpe.ByteBpe(RANKS, public_tokenizers.PATTERN).library
+    rows = bytebpe.encode(docs(spark, texts), RANKS, public_tokenizers.PATTERN).collect()
+    same = 0
+    for r in rows:
+        told = library.encode(texts[r.doc_id], add_special_tokens=False)
+        if told.ids == r.ids:
+            same += 1
+            assert r.char_starts == [a for a, _ in told.offsets]
+            assert r.char_starts == bytebpe.character_starts(texts[r.doc_id].encode(), np.array(r.starts)).tolist()
+    assert same >= 0.9 * len(rows)

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the instruction set: a short constant's mnemonic, and the longer form with its operand.
+EQUIVALENTS = [
+    ("iconst_m1", "bipush -1"),
+    ("iconst_0", "bipush 0"),
+    ("iconst_1", "bipush 1"),
+    ("iconst_2", "bipush 2"),
+    ("iconst_3", "bipush 3"),
+    ("iconst_4", "bipush 4"),
+    ("iconst_5", "bipush 5"),
+    ("lconst_0", "ldc2_w 0"),
+    ("lconst_1", "ldc2_w 1"),
+    ("fconst_0", "ldc 0.0"),
+    ("fconst_1", "ldc 1.0"),
+    ("fconst_2", "ldc 2.0"),
+    ("dconst_0", "ldc2_w 0.0"),
+    ("dconst_1", "ldc2_w 1.0"),
+]
+
+
 def equivalents(spark: SparkSession) -> DataFrame:
-    """(a, b): a short constant's mnemonic and the longer form with its operand; for sequence_diff."""
-    rows = [(f"iconst_{'m1' if v < 0 else v}", f"bipush {v}") for v in range(-1, 6)]
-    for kind, load, values, end in (("l", "ldc2_w", 2, ""), ("f", "ldc", 3, ".0"), ("d", "ldc2_w", 2, ".0")):
-        rows += [(f"{kind}const_{v}", f"{load} {v}{end}") for v in range(values)]
-    return spark.createDataFrame(rows, "a string, b string")
+    """(a, b) of EQUIVALENTS, for sequence_diff."""
+    return spark.createDataFrame(EQUIVALENTS, "a string, b string")
 
 
 def short_constant(kind: Column, value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import item_queries as items_sql
-from lodestone.functions import descriptors
+from lodestone.functions import descriptors, opcodes
 from lodestone.item_queries import ITEMS, code_items
 from lodestone.operators import dictionary, diff, hierarchy, matchers, transforms
 from lodestone.plans import contents, documents, observed, patch, staged, verify
@@ -502,3 +502,19 @@ def descriptor_format(spark, sf_dir):
     whole = descriptors.method_of(descriptors.parameters(F.col("d")), descriptors.return_type(F.col("d")))
     field = descriptors.field_of(descriptors.object_of(F.concat(F.lit("java/lang/"), "l_returnflag")), F.col("l_linenumber") % 4)
     return items.select("l_orderkey", "l_linenumber", whole.alias("descriptor"), field.alias("field"))
+
+
+_SHORT, _LONG = (", ".join(f"'{pair[i]}'" for pair in opcodes.EQUIVALENTS) for i in (0, 1))
+
+
+@query(f"""with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos, [{_SHORT}][1 + l_partkey % 14] as a, [{_LONG}][1 + l_partkey % 14] as b, l_suppkey from lineitem),
+       p as (select l_orderkey, pos, case when l_suppkey % 5 = 0 then b else a end as old, case when l_suppkey % 3 = 0 then b when l_suppkey % 7 = 0 then 'nop' else a end as new from l)
+       select l_orderkey, pos, case when old = 'nop' or new = 'nop' then 'ERROR' else 'WARNING' end as severity, old, new from p where old <> new""")
+def equivalent_opcodes(spark, sf_dir):
+    """Constants of two snapshots compared: other forms of the same one are warnings, either way round."""
+    pos = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)").cast("bigint")
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", pos.alias("pos"), F.expr(f"array({_SHORT})[l_partkey % 14]").alias("a"), F.expr(f"array({_LONG})[l_partkey % 14]").alias("b"), "l_suppkey")
+    side = lambda value: items.select("l_orderkey", "pos", F.expr(value).alias("mnemonic"))
+    old, new = side("if(l_suppkey % 5 = 0, b, a)"), side("case when l_suppkey % 3 = 0 then b when l_suppkey % 7 = 0 then 'nop' else a end")
+    named = lambda df: df.withColumn("symbol", F.col("mnemonic"))
+    return diff.sequence_diff(named(old), named(new), ["l_orderkey"], "pos", "mnemonic", "symbol", F.broadcast(opcodes.equivalents(spark)))

@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of docs.  The runner may write each result as Parquet and
 read it again as the next stage's docs.
+
+Null and empty texts, texts without words and rows without an id are clean
+documents: they go through all stages, but rows equal in id and text leave the
+join as one, and packing gives each its end token alone.  A text whose lines all
+recur stays as an empty row.  Other columns are kept as they are, whatever their
+names, until packing returns its own.  Without labels of both classes nothing is
+toxic; an empty table stays empty.
 """
 
 from __future__ import annotations

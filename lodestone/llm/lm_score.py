@@ -1,22 +1,24 @@
 """LM scoring: masked pseudo-likelihood by a bidirectional window network.
 
-1. All words of all documents are counted (runs without white space, in lower
-   case).  The most frequent ones are the vocabulary, which grows with the root of
-   the distinct words, its classes with it; the bytes of all others give a byte
-   bigram model.
-2. A window network (window_net) is trained in numpy on a share of the corpus, so
-   the more words there are, the more it learns from.  The share is chosen by
-   hashes of ids and texts and dealt out by them to slices, whatever the partitions
-   are; in each round every slice trains a copy of the network, and the copies are
-   averaged, part by part, before the next.  Slices become more, and larger, with
-   the root of the share.
-3. The network predicts every word, masked, from two words on both sides.  A word
+1. All texts are split into words (runs without white space, in lower case) once,
+   and written as numbers of words beside the words, a slice of rows at a time.
+2. All words of all documents are counted.  The most frequent ones are the
+   vocabulary, which grows with the root of the distinct words, its classes with it;
+   the bytes of all others give a byte bigram model.
+3. A window network (window_net) is trained in numpy on every word of the corpus.
+   Texts are cut into pieces, and hashes of ids and texts deal those out to slices
+   and rounds, whatever the partitions are; in each round every slice trains a copy
+   of the network on its pieces of that round, and the copies are averaged, part by
+   part, before the next.  Slices become more, and larger, with the root of the
+   corpus; a task streams through its own.
+4. The network predicts every word, masked, from two words on both sides.  A word
    outside the vocabulary has the chance of being one, times that of its bytes.  A
    document's score is the sum of the logarithms over its words.
 
 What is gathered are the counts of all words and what all slices have learned, so
 it grows with the corpus.  What reaches the driver and all tasks is the network
-with its vocabulary: some 400 bytes a word of the vocabulary.
+with its vocabulary: some 400 bytes a word of the vocabulary.  Rows that are the
+same in id and text are learned as often as they occur, all in the same slice.
 
 Null, empty and wordless texts have 0 tokens, log_likelihood 0.0 and a null
 per_token.  Repeated rows and ids are scored as they are, null ids too; an empty
@@ -26,10 +28,11 @@ table gives an empty result.  Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, islice
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -39,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, slices, texts_of
-from lodestone.llm.window_net import Network, windows
+from lodestone.llm.window_net import Network, Trainer, windows
 
 REMEMBERED = 400_000
 #: Before a word's first byte and after its last one.
 END = 256
 #: Parameters of a part of the network that is averaged by itself.
 PART = 16_384
+#: Words of a slice that are mixed with each other in training.
+MIXED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -56,9 +61,9 @@ class Settings:
     growth: int = 6
     #: Inputs that words outside the vocabulary share, by hash.
     others: int = 256
-    #: Words that the network learns from: so many (or all there are), and this share of the others, in pieces.
+    #: Words that the network learns from, in pieces: this share of the corpus, which is all of it, and so many more (or all there are).
     learned: int = 600_000
-    share: float = 0.05
+    share: float = 1.0
     piece: int = 256
     #: A corpus with n times so many learned words has the root of n slices.
     slice: int = 50_000
@@ -72,25 +77,58 @@ def split_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): how often each word occurs in all documents."""
+def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows with their words as numbers, written: a row for each slice of them, beside its distinct words and their counts.
+
+    ids: of the slice; keys, lengths: a hash of id and text, and the words of each (int64); words: the distinct ones, one
+    a line; counts: of those (int64); places: the line of every word, one text after another (see places_of).
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = texts_of(batch[1])
+            split = [split_words(t) for t in texts]
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            known: dict[str, int] = defaultdict(count().__next__)
+            places = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint32, int(lengths.sum()))
+            counts = np.bincount(places, minlength=len(known)).astype(np.int64)
+            keys = np.array([xxhash.xxh64_intdigest(b"%b|%d" % (repr(doc).encode(), xxhash.xxh64_intdigest(text.encode()))) for doc, text in zip(batch[0].to_pylist(), texts, strict=True)], np.uint64)
+            told = [keys, lengths, counts, places.astype(np.uint16) if len(known) <= 1 << 16 else places]
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[0])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(["\n".join(known)], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in told)], ["ids", "words", "keys", "lengths", "counts", "places"])
+
+    return Scratch(docs.sparkSession).write(docs.select(id_col, text_col).mapInArrow(code, f"ids array<{id_type}>, words string, keys binary, lengths binary, counts binary, places binary"))
+
+
+def lines(words: str) -> list[str]:
+    return words.split("\n") if words else []
+
+
+def places_of(data: bytes, distinct: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if distinct <= 1 << 16 else np.uint32)
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs in all documents, as coded."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Counter[str] = Counter()
+        known: dict[str, int] = defaultdict(int)
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64())], ["word", "n"])
             known.clear()
             return out
 
-        for batch in slices(batches):
-            for text in texts_of(batch[0]):
-                known.update(split_words(text))
-            if len(known) > REMEMBERED:
-                yield told()
+        for batch in batches:
+            for words, counts in zip(batch[0], batch[1], strict=True):
+                for word, n in zip(lines(words.as_py()), np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
+                    known[word] += n
+                if len(known) > REMEMBERED:
+                    yield told()
         yield told()
 
-    found = docs.select(text_col).mapInArrow(count_words, "word string, n long")
+    found = rows.select("words", "counts").mapInArrow(count_words, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -133,87 +171,77 @@ class Model:
         return len(self.vocabulary) + self.settings.others
 
 
-class Words:
-    """What a Python worker remembers of words: input of the network, number in the vocabulary, chance of the bytes."""
-
-    def __init__(self, vocabulary: dict[str, int], others: int, bytes_: np.ndarray | None = None):
-        self.vocabulary, self.others, self.bytes = vocabulary, others, bytes_
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = defaultdict(count().__next__)
-        self.input, self.number, self.chance = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
-
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all words of all texts, and the words of each text."""
-        split = [split_words(t) for t in texts]
-        return self.places(list(chain.from_iterable(split))), np.fromiter(map(len, split), np.int64, len(split))
-
-    def places(self, flat: list[str]) -> np.ndarray:
-        """Rows of words; new ones get the next rows while they are looked up, and are learned together."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        found = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if len(self.known) > len(self.input):
-            self.learn(list(islice(self.known, len(self.input), None)))
-        return found
-
-    def learn(self, words: list[str]) -> None:
-        hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
-        number = np.array([self.vocabulary.get(w, -1) for w in words], dtype=np.int32)
-        other = len(self.vocabulary) + (hashes % np.uint64(self.others)).astype(np.int32)
-        chance = np.zeros(len(words), np.float32)
-        outside = np.flatnonzero(number < 0)
-        if self.bytes is not None and len(outside):
-            pairs, begins = byte_pairs([words[i] for i in outside])
-            chance[outside] = np.add.reduceat(self.bytes[pairs], begins)
-        for name, new in (("input", np.where(number < 0, other, number)), ("number", number), ("chance", chance)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
+def looked_up(words: list[str], vocabulary: dict[str, int], others: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its input of the network, and its number in the vocabulary or -1."""
+    number = np.fromiter((vocabulary.get(w, -1) for w in words), np.int32, len(words))
+    inputs, outside = number.copy(), np.flatnonzero(number < 0)
+    hashes = pd.util.hash_array(np.array([words[i] for i in outside], dtype=object), categorize=False)
+    inputs[outside] = len(vocabulary) + (hashes % np.uint64(others)).astype(np.int32)
+    return inputs, number
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int], settings: Settings, total: int) -> DataFrame:
-    """The pieces of the corpus that the network learns from: (name, piece: inputs as bytes)."""
-    few = min(1.0, settings.learned / max(1, total) + settings.share)
-    spark = docs.sparkSession.sparkContext
-    known = spark.broadcast(vocabulary)
+    """The pieces of a table of texts that the network learns from: all, if the settings name no lesser share."""
+    return pieces(coded(docs, id_col, text_col), vocabulary, settings, total)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(known.value, settings.others)
-        for batch in slices(batches):
-            # A piece's name says whether it is chosen; only the words of those are looked up.
-            names, chosen = [], []
-            for doc, text in zip(batch[0].to_pylist(), texts_of(batch[1]), strict=True):
-                split, own = split_words(text), None
-                for at in range(0, len(split), settings.piece):
-                    own = own or b"|%b|%d" % (repr(doc).encode(), xxhash.xxh64_intdigest(text.encode()))
-                    name = xxhash.xxh64_intdigest(b"%d" % at + own)
-                    if name < few * 2.0**64:
-                        names.append(name - 2**63)
-                        chosen.append(split[at : at + settings.piece])
-            places = words.places(list(chain.from_iterable(chosen)))
-            inputs = words.input[places]
-            ends = np.cumsum([len(x) for x in chosen]).astype(np.int64)
-            pieces = [x.tobytes() for x in np.split(inputs, ends[:-1])] if chosen else []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], ["name", "piece"])
-
-    found = docs.select(id_col, text_col).mapInArrow(choose, "name long, piece binary")
-    return Scratch(docs.sparkSession).write(found.groupBy("name").agg(F.any_value("piece").alias("piece")))
-
-
-def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings: Settings, seed: int) -> Network:
-    """The network after a round: trained on each slice of pieces (slice, name, piece) by itself, then averaged."""
+
+def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, total: int, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """The pieces of coded rows that the network learns from in one of so many rounds: (name, piece: inputs as bytes)."""
+    few = min(1.0, settings.learned / max(1, total) + settings.share)
+    known = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, keys, lengths, places in zip(*batch.columns, strict=True):
+                distinct = lines(words.as_py())
+                inputs, _ = looked_up(distinct, known.value, settings.others)
+                inputs = inputs[places_of(places.as_py(), len(distinct))]
+                names, chosen, start = [], [], 0
+                for key, length in zip(np.frombuffer(keys.as_py(), np.uint64).tolist(), np.frombuffer(lengths.as_py(), np.int64).tolist(), strict=True):
+                    for at in range(0, length, settings.piece):
+                        name = xxhash.xxh64_intdigest(struct.pack("<qQ", at, key))
+                        if (name >> 40) % rounds == turn and name < few * 2.0**64:
+                            names.append(name - 2**63)
+                            chosen.append(inputs[start + at : start + min(length, at + settings.piece)].tobytes())
+                    start += length
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(chosen, pa.binary())], ["name", "piece"])
+
+    return rows.select("words", "keys", "lengths", "places").mapInArrow(cut, "name long, piece binary")
+
+
+def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings: Settings, seed: int, many: int = 1) -> Network:
+    """The network after a round: trained on each slice of pieces (slice, name, piece) by itself, then averaged.  many: tasks; slices of one task follow one another."""
     start = pieces.sparkSession.sparkContext.broadcast(network)
 
-    def learn(slice_: pa.Table) -> pa.Table:
-        slice_ = slice_.sort_by("name")
-        inputs = [np.frombuffer(piece, np.int32) for piece in slice_["piece"].to_pylist()]
-        flat = np.concatenate(inputs)
-        own = start.value.with_flat(start.value.flat())
-        own.train(flat, np.where(flat < known, flat, -1), np.array([len(x) for x in inputs]), edge, settings.epochs, settings.rate, seed)
-        values = own.flat()
-        parts = [values[i : i + PART].tobytes() for i in range(0, len(values), PART)]
-        number = slice_["slice"][0].as_py()
-        return pa.table([pa.array(range(len(parts)), pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([float(len(flat))] * len(parts)), pa.array(parts, pa.binary())], ["part", "slice", "weight", "data"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, own, held, waiting, words = None, None, [], 0, 0
+
+        def take() -> None:
+            nonlocal waiting, words
+            flat = np.concatenate(held)
+            own.train(flat, np.where(flat < known, flat, -1), np.array([len(x) for x in held]), edge, settings.epochs, settings.rate, seed)
+            held.clear()
+            words, waiting = words + waiting, 0
+
+        def told() -> pa.RecordBatch:
+            if held:
+                take()
+            values = own.network.flat()
+            parts = [values[i : i + PART].tobytes() for i in range(0, len(values), PART)]
+            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([float(words)] * len(parts)), pa.array(parts, pa.binary())], ["part", "slice", "weight", "data"])
+
+        for batch in batches:
+            for slice_, piece in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                if slice_ != number:
+                    if own is not None:
+                        yield told()
+                    number, own, words = slice_, Trainer(start.value.with_flat(start.value.flat())), 0
+                held.append(np.frombuffer(piece, np.int32))
+                waiting += len(held[-1])
+                if waiting >= MIXED:
+                    take()
+        if own is not None:
+            yield told()
 
     def mean(part: pa.Table) -> pa.Table:
         part = part.sort_by("slice")  # sums are the same each time
@@ -221,7 +249,8 @@ def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings
         total = sum(w * np.frombuffer(d, np.float32).astype(np.float64) for w, d in zip(weights, part["data"].to_pylist(), strict=True))
         return pa.table([part["part"][:1], pa.array([(total / weights.sum()).astype(np.float32).tobytes()], pa.binary())], ["part", "data"])
 
-    copies = pieces.groupBy("slice").applyInArrow(learn, "part int, slice long, weight double, data binary")
+    dealt = pieces.repartitionById(many, F.col("slice").cast("int")).sortWithinPartitions("slice", "name").select("slice", "piece")
+    copies = dealt.mapInArrow(learn, "part int, slice long, weight double, data binary")
     rows = copies.groupBy("part").applyInArrow(mean, "part int, data binary").collect()  # one network
     if not rows:
         return network
@@ -230,8 +259,11 @@ def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, int]:
     """The model of a corpus, and the words in it."""
-    scratch = Scratch(docs.sparkSession)
-    words = scratch.write(word_counts(docs, text_col))
+    return fit_coded(coded(docs, id_col, text_col), settings)
+
+
+def fit_coded(rows: DataFrame, settings: Settings) -> tuple[Model, int]:
+    words = Scratch(rows.sparkSession).write(word_counts(rows))
     level = F.floor(F.log2("n") * 8).cast("int")
     levels = words.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()  # some hundreds
     distinct, total = sum(r.words for r in levels), sum(r.n for r in levels)
@@ -248,29 +280,33 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     net = Network.start(counts, total - counts.sum(), edge + 1, settings.dim, settings.seed)
     learned = min(total, settings.learned + int(settings.share * total))
     many = max(1, math.isqrt(learned // settings.slice))
-    pieces = sample(docs, id_col, text_col, vocabulary, settings, total).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
     for i in range(settings.rounds):
-        net = trained(pieces, net, len(vocabulary), edge, settings, settings.seed + i)
+        dealt = pieces(rows, vocabulary, settings, total, settings.rounds, i).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
+        net = trained(dealt, net, len(vocabulary), edge, settings, settings.seed + i, many)
     return Model(settings, vocabulary, byte_chances(words.where(~inside)), net), total
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """For each row: id, n_tokens, log_likelihood (the network's, summed over the words) and per_token (its mean) of its whole text."""
-    fitted, _ = fit(docs, settings, id_col, text_col)
+    written = coded(docs, id_col, text_col)
+    fitted, _ = fit_coded(written, settings)
     id_type = docs.schema[id_col].dataType.simpleString()
     told = docs.sparkSession.sparkContext.broadcast(fitted)
-    memory: list[Words] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
-        if not memory:
-            memory.append(Words(model.vocabulary, settings.others, model.bytes))
-        words = memory[0]
-        for batch in slices(batches):
-            rows, lengths = words.rows(texts_of(batch[1]))
-            chances = model.network.log_chances(windows(words.input[rows], lengths, model.edge), words.number[rows]) + words.chance[rows]
-            sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=chances, minlength=len(lengths))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(lengths), pa.array(sums.astype(np.float64))], [id_col, "n_tokens", "log_likelihood"])
-
-    rows = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, log_likelihood double")
+        for batch in batches:
+            for ids, words, own, data in zip(*batch.columns, strict=True):
+                distinct = lines(words.as_py())
+                inputs, number = looked_up(distinct, model.vocabulary, settings.others)
+                chance, outside = np.zeros(len(distinct), np.float32), np.flatnonzero(number < 0)
+                if len(outside):
+                    pairs, begins = byte_pairs([distinct[i] for i in outside])
+                    chance[outside] = np.add.reduceat(model.bytes[pairs], begins)
+                places, lengths = places_of(data.as_py(), len(distinct)), np.frombuffer(own.as_py(), np.int64)
+                chances = model.network.log_chances(windows(inputs[places], lengths, model.edge), number[places]) + chance[places]
+                sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=chances, minlength=len(lengths))
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(lengths), pa.array(sums.astype(np.float64))], [id_col, "n_tokens", "log_likelihood"])
+
+    rows = written.select("ids", "words", "lengths", "places").mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, log_likelihood double")
     return rows.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

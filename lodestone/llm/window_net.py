@@ -14,7 +14,9 @@ import numpy as np
 #: Places of the window, relative to the word.
 PLACES = (-2, -1, 1, 2)
 #: Words of a step of training, and words scored at once.
-BATCH, SCORED = 2048, 16_384
+BATCH, SCORED = 4096, 4096
+#: Stands for a bias of -inf, which times a 0 would be no number.
+NEVER = -1e4
 
 
 def windows(inputs: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
@@ -27,18 +29,25 @@ def windows(inputs: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([padded[at + p] for p in PLACES])
 
 
-def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, in place, and the sum of each row.  Logits are held at 80, which trained ones are far from."""
-    np.minimum(logits, 80, out=logits)
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """h with a column of ones, which takes the bias."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+
+def _exponents(logits: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, in place, and the sum of each row.  Logits are held at 80, which trained ones are far from; most: what they can be."""
+    if not most < 80:
+        np.minimum(logits, 80, out=logits)
     np.exp(logits, out=logits)
     return logits, logits @ np.ones(logits.shape[1], logits.dtype) + np.float32(1e-30)
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of their values."""
-    order = np.argsort(rows, kind="stable")
-    some, begins = np.unique(rows[order], return_index=True)
-    return some, np.add.reduceat(values[order], begins, axis=0)
+def _row_sums(rows: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, all below `most`, and the sum of their values."""
+    order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
+    ordered = rows[order]
+    begins = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[begins], np.add.reduceat(values[order], begins, axis=0)
 
 
 @dataclass(frozen=True)
@@ -47,10 +56,26 @@ class Gradients:
 
     places: list[tuple[np.ndarray, np.ndarray]]  # for each place (inputs, their gradients)
     hidden: np.ndarray
-    to_class: np.ndarray
-    class_bias: np.ndarray
-    to_word: list[tuple[int, np.ndarray]]  # (class, its gradient)
-    word_bias: np.ndarray
+    by_class: np.ndarray  # of weights with their biases, as Network.stacked
+    by_word: np.ndarray
+    classes: list[int]
+
+    @property
+    def to_class(self) -> np.ndarray:
+        return self.by_class[:-1]
+
+    @property
+    def class_bias(self) -> np.ndarray:
+        return self.by_class[-1]
+
+    @property
+    def to_word(self) -> list[tuple[int, np.ndarray]]:
+        """(class, its gradient)"""
+        return [(c, self.by_word[c, :-1]) for c in self.classes]
+
+    @property
+    def word_bias(self) -> np.ndarray:
+        return self.by_word[:, -1]
 
 
 @dataclass
@@ -83,74 +108,74 @@ class Network:
             total += self.places[i][around[i]]
         return np.tanh(total)
 
-    def by_class(self, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """The class of each word (its number in the vocabulary, or -1), and for each class with words their places."""
+    def stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with their biases as the last row: of the classes, and of the words in each."""
+        whole = lambda weights, bias: np.concatenate([weights, np.expand_dims(bias, -2)], -2)
+        return whole(self.to_class, self.class_bias), whole(self.to_word, np.maximum(self.word_bias, NEVER))
+
+    def by_class(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The class of each word (its number in the vocabulary, or -1), the places of those in the vocabulary by class, and (class, from, to) among them."""
         classes, size = self.word_bias.shape
         kind = np.where(word < 0, classes, word // max(1, size))
-        order = np.argsort(kind, kind="stable")
-        some, begins = np.unique(kind[order], return_index=True)
-        return kind, [(c, at) for c, at in zip(some.tolist(), np.split(order, begins[1:]), strict=True) if c < classes]
+        inside = np.flatnonzero(word >= 0)
+        own = kind[inside]
+        order = inside[np.argsort(own.astype(np.uint16) if classes <= 1 << 16 else own, kind="stable")]
+        ends = np.cumsum(np.bincount(own, minlength=classes)).tolist()
+        return kind, order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+
+    def within(self, h: np.ndarray, by_word: np.ndarray, groups: list[tuple[int, int, int]], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """As _exponents, of the words in the class of each row of h; rows lie by class."""
+        logits = np.empty((len(h), self.word_bias.shape[1]), h.dtype)
+        for c, a, b in groups:
+            np.matmul(h[a:b], by_word[c], out=logits[a:b])
+        return _exponents(logits, most)
 
     def log_chances(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Log-probability of each word, or of being outside the vocabulary (-1)."""
         out = np.empty(len(word), np.float32)
         size = self.word_bias.shape[1]
+        by_class, by_word = self.stacked()
+        most, most_within = (float((np.abs(w[..., :-1, :]).sum(-2) + w[..., -1, :]).max(initial=0)) for w in (by_class, by_word))
         for i in range(0, len(word), SCORED):
             part = word[i : i + SCORED]
-            h = self.activation(around[:, i : i + SCORED])
-            kind, groups = self.by_class(part)
-            share, sums = _exponents(h @ self.to_class + self.class_bias)
+            h = _with_ones(self.activation(around[:, i : i + SCORED]))
+            kind, order, groups = self.by_class(part)
+            share, sums = _exponents(h @ by_class, most)
             chance = share[np.arange(len(part)), kind] / sums
-            for c, at in groups:
-                share, sums = _exponents(h[at] @ self.to_word[c] + self.word_bias[c])
-                chance[at] *= share[np.arange(len(at)), part[at] - c * size] / sums
+            if len(order):
+                share, sums = self.within(h[order], by_word, groups, most_within)
+                chance[order] *= share[np.arange(len(order)), part[order] % size] / sums
             out[i : i + SCORED] = np.log(np.maximum(chance, 1e-30))
         return out
 
-    def gradients(self, near: np.ndarray, word: np.ndarray) -> Gradients:
-        """Of the mean of -log_chances over words, with what is around them."""
-        size, n = self.word_bias.shape[1], len(word)
+    def gradients(self, near: np.ndarray, word: np.ndarray, stacked: tuple[np.ndarray, np.ndarray] | None = None) -> Gradients:
+        """Of the mean of -log_chances over words, with what is around them.  stacked: weights in place of the network's own."""
+        by_class, by_word = stacked or self.stacked()
+        dim, n = len(self.hidden), len(word)
         h = self.activation(near)
-        kind, groups = self.by_class(word)
-        error, sums = _exponents(h @ self.to_class + self.class_bias)
-        error /= sums[:, None]
-        error[np.arange(n), kind] -= 1
-        error /= n
-        back = error @ self.to_class.T
-        word_bias, to_word = np.zeros_like(self.word_bias), []
-        for c, at in groups:
-            within, sums = _exponents(h[at] @ self.to_word[c] + self.word_bias[c])
-            within /= sums[:, None]
-            within[np.arange(len(at)), word[at] - c * size] -= 1
-            within /= n
-            back[at] += within @ self.to_word[c].T
-            to_word.append((c, h[at].T @ within))
-            word_bias[c] = within.sum(0)
+        ones = _with_ones(h)
+        kind, order, groups = self.by_class(word)
+        error, sums = _exponents(ones @ by_class)
+        error *= (1 / (n * sums))[:, None]
+        error[np.arange(n), kind] -= 1 / n
+        back, of_class, of_word = error @ by_class[:dim].T, ones.T @ error, np.zeros_like(by_word)
+        if groups:
+            ones = ones[order]
+            error, sums = self.within(ones, by_word, groups)
+            error *= (1 / (n * sums))[:, None]
+            error[np.arange(len(order)), word[order] % error.shape[1]] -= 1 / n
+            inner = np.empty((len(order), dim), h.dtype)
+            for c, a, b in groups:
+                np.matmul(error[a:b], by_word[c, :dim].T, out=inner[a:b])
+                np.matmul(ones[a:b].T, error[a:b], out=of_word[c])
+            back[order] += inner
         back *= 1 - h * h
-        places = [_row_sums(near[p], back) for p in range(len(PLACES))]
-        return Gradients(places, back.sum(0), h.T @ error, error.sum(0), to_word, word_bias)
+        places = [_row_sums(near[p], back, self.places.shape[1]) for p in range(len(PLACES))]
+        return Gradients(places, back.sum(0), of_class, of_word, [c for c, _, _ in groups])
 
     def train(self, inputs: np.ndarray, words: np.ndarray, lengths: np.ndarray, edge: int, epochs: int, rate: float, seed: int) -> None:
         """Adagrad over texts that lie one after another, in a fixed order of batches."""
-        rng = np.random.default_rng(seed)
-        around = windows(inputs, lengths, edge)
-        values = [self.hidden, self.to_class, self.class_bias, self.word_bias]
-        seen = [np.full(v.shape, 1e-6, np.float32) for v in values]
-        seen_places, seen_words = np.full(self.places.shape[:2], 1e-6, np.float32), np.full(self.to_word.shape, 1e-6, np.float32)
-        for _ in range(epochs):
-            mixed = rng.permutation(len(words))
-            for i in range(0, len(words), BATCH):
-                some = mixed[i : i + BATCH]
-                g = self.gradients(around[:, some], words[some])
-                for c, change in g.to_word:
-                    seen_words[c] += change * change
-                    self.to_word[c] -= rate * change / np.sqrt(seen_words[c])
-                for p, (rows, change) in enumerate(g.places):
-                    seen_places[p, rows] += (change * change).mean(1)
-                    self.places[p, rows] -= rate * change / np.sqrt(seen_places[p, rows])[:, None]
-                for value, change, total in zip(values, (g.hidden, g.to_class, g.class_bias, g.word_bias), seen, strict=True):
-                    total += change * change
-                    value -= rate * change / np.sqrt(total)
+        Trainer(self).train(inputs, words, lengths, edge, epochs, rate, seed)
 
     def flat(self) -> np.ndarray:
         """All parameters one after another."""
@@ -164,3 +189,36 @@ class Network:
             out[f.name] = values[at : at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
         return Network(**out)
+
+
+class Trainer:
+    """Trains a network in place by Adagrad, and remembers how far each parameter has moved from one call to the next."""
+
+    def __init__(self, network: Network):
+        self.network = network
+        self.stacked = network.stacked()
+        self.seen = [np.full(v.shape, 1e-6, np.float32) for v in (*self.stacked, network.hidden)]
+        self.seen_places = np.full(network.places.shape[:2], 1e-6, np.float32)
+
+    def train(self, inputs: np.ndarray, words: np.ndarray, lengths: np.ndarray, edge: int, epochs: int, rate: float, seed: int) -> None:
+        """Learn from texts that lie one after another, in a fixed order of batches."""
+        rng, net = np.random.default_rng(seed), self.network
+        around = windows(inputs, lengths, edge)
+        for _ in range(epochs):
+            mixed = rng.permutation(len(words))
+            for i in range(0, len(words), BATCH):
+                some = mixed[i : i + BATCH]
+                g = net.gradients(around[:, some], words[some], self.stacked)
+                for p, (rows, change) in enumerate(g.places):
+                    self.seen_places[p, rows] += (change * change).mean(1)
+                    net.places[p, rows] -= rate * change / np.sqrt(self.seen_places[p, rows])[:, None]
+                for value, change, total in zip((*self.stacked, net.hidden), (g.by_class, g.by_word, g.hidden), self.seen, strict=True):
+                    step = change * change
+                    total += step
+                    np.sqrt(total, out=step)
+                    np.divide(change, step, out=step)
+                    step *= rate
+                    value -= step
+        by_class, by_word = self.stacked
+        net.to_class, net.class_bias, net.to_word = by_class[:-1], by_class[-1], by_word[:, :-1]
+        net.word_bias = np.where(np.isneginf(net.word_bias), net.word_bias, by_word[:, -1])

@@ -3,7 +3,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -339,6 +339,32 @@ def test_what_is_learned_grows_with_the_corpus(spark):
     assert sizes == pytest.approx([0.5, 0.5], abs=0.1)
 
 
+def test_every_word_of_the_corpus_is_learned_from_in_one_of_the_rounds(spark):
+    settings = dataclasses.replace(lm_score.Settings(), learned=0, piece=32)
+    texts = [*sentences(150), None, "", "cat " * 3000]
+    rows = [*enumerate(texts), (7, texts[7]), (None, texts[8])]
+    coded = lm_score.coded(documents(spark, rows).repartition(3), "doc_id", "text")
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in rows for w in (t or "").lower().split()}))}
+    turns = [lm_score.pieces(coded, vocabulary, settings, 10**12, 2, turn).collect() for turn in (0, 1)]
+    assert all(turns) and not {r.name for r in turns[0]} & {r.name for r in turns[1]}
+    learned = Counter(x for r in turns[0] + turns[1] for x in np.frombuffer(r.piece, np.int32).tolist())
+    assert learned == Counter(vocabulary[w] for _, t in rows for w in (t or "").lower().split())
+    assert {r.word: r.n for r in lm_score.word_counts(coded).collect()} == {w: learned[i] for w, i in vocabulary.items()}
+
+
+def test_a_slice_of_many_pieces_is_learned_to_its_end(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    net = lm_score.Network.start(np.array([5.0, 4, 3, 2, 2]), 2.0, 7, 4, 1)  # one place of a class is empty
+    table = [(0, i, rng.integers(0, 7, 20).astype(np.int32)) for i in range(12)]
+    monkeypatch.setattr(lm_score, "MIXED", 100)
+    df = spark.createDataFrame([(s, n, p.tobytes()) for s, n, p in table], "slice long, name long, piece binary").repartition(4)
+    own = lm_score.Trainer(net.with_flat(net.flat()))
+    for at in (0, 5, 10):
+        flat = np.concatenate([p for _, _, p in table[at : at + 5]])
+        own.train(flat, np.where(flat < 5, flat, -1), np.full(len(flat) // 20, 20), 6, SMALL.epochs, SMALL.rate, 9)
+    assert lm_score.trained(df, net, 5, 6, SMALL, 9, 2).flat() == pytest.approx(own.network.flat(), abs=1e-5)
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm_score.score(documents(spark, [])).count() == 0
 

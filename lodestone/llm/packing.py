@@ -147,6 +147,11 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         first = TaskContext.get().partitionId() << TASK_BITS
         packer, open_docs, number, kind = Packer(limits), {}, 0, None
 
+        def each(texts: list[str]) -> list[memoryview]:
+            ids, n = memory.token_ids(texts)
+            data, ends = memoryview(ids.tobytes()), (4 * np.cumsum(n)).tolist()
+            return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
         def placed() -> pa.RecordBatch:
             rows = []
             for name, start, length, sequence, offset, borne in packer.pieces:
@@ -161,11 +166,10 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
         for batch in slices(batches):
             kind = batch.schema.types[0]
-            prompts = memory.words(texts_of(batch[2])) if prompt_col else [[]] * batch.num_rows
+            prompts = each(texts_of(batch[2])) if prompt_col else [b""] * batch.num_rows
             added, quiet = [], []
-            for doc, prompt, words in zip(batch[0].to_pylist(), prompts, memory.words(texts_of(batch[1])), strict=True):
-                before = b"".join(prompt)
-                open_docs[number] = (doc, b"".join([before, *words, end]))
+            for doc, before, own in zip(batch[0].to_pylist(), prompts, each(texts_of(batch[1])), strict=True):
+                open_docs[number] = (doc, b"".join([before, own, end]))
                 added.append(number)
                 quiet.append(len(before) // 4)
                 number += 1

@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm.common import slices, texts_of, utf8_lengths
 
-#: Words remembered by a Python worker; the memory is emptied beyond it.
+#: Words remembered by a Python worker, and as many from before; beyond it, those that are asked for again stay.
 REMEMBERED = 400_000
 #: New words merged at once.
 WORDS = 50_000
@@ -41,6 +43,12 @@ _KINDS[[ord(c) for c in _NUMBERS]] = 1
 _KINDS[10] = 3
 #: Characters for which str.split or the pattern above could differ from the library, and the mark of its added tokens.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
+#: The same in ASCII.
+_MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def is_unusual(text: str) -> bool:
+    return any(mark in text for mark in _MARKS) if text.isascii() else _UNUSUAL.search(text) is not None
 
 
 class RankMerger:
@@ -52,6 +60,13 @@ class RankMerger:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.new = keys[order], order, new
+        # Most keys have a slot of their own in a table by hash; the few others are searched for.
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 3))
+        slots = self.slots(self.keys)
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.table[slots] = np.arange(len(keys))
+        self.shared = np.zeros(len(self.table), bool)
+        self.shared[slots[self.table[slots] != np.arange(len(keys))]] = True
         # A rank is settled if the symbol it makes takes part in no merge of a lower rank:
         # then all occurrences of the pair may be merged in one round.
         first_use = np.full(int(max(left.max(), right.max(), new.max())) + 1, NONE)
@@ -59,9 +74,15 @@ class RankMerger:
         np.minimum.at(first_use, right, np.arange(len(left)))
         self.settled = first_use[new] > np.arange(len(left))
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        slots = self.slots(keys)
+        at = self.table[slots]
+        some = np.flatnonzero(self.shared[slots])
+        at[some] = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank[at], NONE)
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,11 +191,13 @@ class WordMemory:
     def __init__(self, bpe: WordBpe, ids: bool):
         self.bpe, self.ids = bpe, ids
         self.known: dict = {}
+        #: What was known before the last renewal; a word that is asked for again is taken over from there.
+        self.old: dict = {}
         self.unmap = {c: b for b, c in enumerate(byte_characters())}
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) > REMEMBERED:  # what this batch lacks is learned below, the rest of it is found already
-            self.known.clear()
+            self.old, self.known = self.known, {}
         quoted = [w for w in words if "'" in w]
         if quoted:
             words = [w for w in words if "'" not in w]
@@ -216,18 +239,62 @@ class WordMemory:
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return self.cut(flat, np.diff(ends))
 
+    def numbered(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Values of the distinct words of all texts, the number of each word among them, one text after another, and the words of each text.
+
+        A small table, which stays in the cache, numbers all words; the memory is asked for the distinct ones.
+        """
+        lengths = []
+
+        def each() -> Iterator[list]:
+            for text in texts:
+                split = [(x,) for x in self.unusual(text)] if is_unusual(text) else text.split()
+                lengths.append(len(split))
+                yield split  # numbered before the next text is split
+
+        numbers: dict = defaultdict(count().__next__)
+        places = np.fromiter(map(numbers.__getitem__, chain.from_iterable(each())), np.int64)
+        words = list(numbers)
+        values = list(map(self.known.get, words))
+        missing, old = [], self.old.get
+        for i in [i for i, x in enumerate(values) if x is None]:
+            word = words[i]
+            # A tuple holds the value of a pre-token of an unusual text.
+            values[i] = value = word[0] if isinstance(word, tuple) else old(word)
+            if value is None:
+                missing.append(i)
+            elif not isinstance(word, tuple):
+                self.known[word] = value
+        if missing:
+            self.learn([words[i] for i in missing])
+            for i in missing:
+                values[i] = self.known[words[i]]
+        return values, places, np.array(lengths, np.int64)
+
     def words(self, texts: list[str]) -> list[list]:
         """For each text the values of its words, in order."""
-        split = [None if _UNUSUAL.search(t) else t.split() for t in texts]
-        out = [None if s is None else list(map(self.known.get, s)) for s in split]
-        gaps = [[] if v is None else [i for i, x in enumerate(v) if x is None] for v in out]
-        missing = {s[i] for s, g in zip(split, gaps, strict=True) for i in g}
-        if missing:
-            self.learn(list(missing))
-            for s, v, g in zip(split, out, gaps, strict=True):
-                for i in g:
-                    v[i] = self.known[s[i]]
-        return [self.unusual(t) if v is None else v for t, v in zip(texts, out, strict=True)]
+        values, places, lengths = self.numbered(texts)
+        told = map(values.__getitem__, places.tolist())
+        return [list(islice(told, n)) for n in lengths.tolist()]
+
+    def token_counts(self, texts: list[str]) -> np.ndarray:
+        """The tokens of each text, of a memory without ids."""
+        values, places, lengths = self.numbered(texts)
+        before = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[places])]) if values else np.zeros(1, np.int64)
+        ends = np.cumsum(lengths)
+        return before[ends] - before[ends - lengths]
+
+    def token_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has, of a memory with ids."""
+        values, places, lengths = self.numbered(texts)
+        flat = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        n = size[places]
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(size) - size)[places] - before[:-1], n)
+        at += np.arange(len(at))
+        ends = np.cumsum(lengths)
+        return flat[at], before[ends] - before[ends - lengths]
 
     def unusual(self, text: str) -> list:
         found = self.bpe.unusual_pretokens(text)
@@ -245,10 +312,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     """For each row: id, n_bytes, n_tokens and over_limit (n_tokens > limit) of its whole text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_memory(path, False)
         for batch in slices(batches):
-            n = np.array([sum(v) for v in memory.words(texts_of(batch[1]))], dtype=np.int64)
+            n = memory.token_counts(texts_of(batch[1]))
             yield pa.RecordBatch.from_arrays([batch[0], utf8_lengths(batch[1]), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tell, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

@@ -58,6 +58,42 @@ def test_word_memory_can_be_emptied_in_the_middle_of_a_batch(monkeypatch):
         assert memory.words(texts) == want
 
 
+def test_counts_and_ids_of_texts_are_those_of_their_words(monkeypatch):
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 4)
+    bpe = wordbpe.WordBpe(WORD)
+    counting, spelling = wordbpe.WordMemory(bpe, False), wordbpe.WordMemory(bpe, True)
+    for texts in (["one two  three", "", "it's <|endoftext|> une forêt", "a\x1cb", "日本 語 one"], [], [""], ["four five six seven eight one two"], ["one two three four", "\n one"]):
+        want = [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counting.token_counts(texts).tolist() == list(map(len, want))
+        ids, n = spelling.token_ids(texts)
+        assert (ids.tolist(), n.tolist()) == ([x for w in want for x in w], list(map(len, want)))
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice("ab <|'\t\x1b\x1c\x1f\x7fé日ı") for _ in range(rng.randrange(6)))
+        assert wordbpe.is_unusual(text) == bool(wordbpe._UNUSUAL.search(text))
+
+
+def test_words_asked_for_again_stay_when_the_memory_is_renewed(monkeypatch):
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 20)
+    memory = wordbpe.WordMemory(wordbpe.WordBpe(WORD), True)
+    learned = []
+    plain = memory.plain
+    monkeypatch.setattr(memory, "plain", lambda words: learned.extend(words) or plain(words))
+    for i in range(30):
+        memory.token_ids([f"often new{'x' * i} also"])
+    assert learned.count("often") == learned.count("also") == 1 and len(memory.known) + len(memory.old) <= 2 * 25
+
+
+def test_ranks_are_found_where_hashes_clash():
+    rng = random.Random(3)
+    pairs = rng.sample([(a, b) for a in range(300) for b in range(300)], 5000)
+    merger = wordbpe.RankMerger([(a, b, 300 + i) for i, (a, b) in enumerate(pairs)])
+    assert merger.shared.any()
+    rank = {p: i for i, p in enumerate(pairs)}
+    left, right = np.divmod(np.arange(90_000), 300)
+    assert merger.ranks(left, right).tolist() == [rank.get(p, wordbpe.NONE) for p in zip(left.tolist(), right.tolist(), strict=True)]
+
+
 def test_empty_table(spark):
     empty = docs(spark, [])
     assert wordbpe.count_tokens(empty, WORD, 10).count() == 0

@@ -85,13 +85,19 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def each(texts: list[str], lengths: list[int]) -> Iterator[list[str]]:
+        for text in texts:
+            split = split_words(text)
+            lengths.append(len(split))
+            yield split  # numbered before the next text is split
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = texts_of(batch[1])
-            split = [split_words(t) for t in texts]
-            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            own: list[int] = []
             known: dict[str, int] = defaultdict(count().__next__)
-            places = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint32, int(lengths.sum()))
+            places = np.fromiter(map(known.__getitem__, chain.from_iterable(each(texts, own))), np.uint32)
+            lengths = np.array(own, np.int64)
             counts = np.bincount(places, minlength=len(known)).astype(np.int64)
             keys = np.array([xxhash.xxh64_intdigest(b"%b|%d" % (repr(doc).encode(), xxhash.xxh64_intdigest(text.encode()))) for doc, text in zip(batch[0].to_pylist(), texts, strict=True)], np.uint64)
             told = [keys, lengths, counts, places.astype(np.uint16) if len(known) <= 1 << 16 else places]

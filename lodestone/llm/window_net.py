@@ -14,7 +14,9 @@ import numpy as np
 #: Places of the window, relative to the word.
 PLACES = (-2, -1, 1, 2)
 #: Words of a step of training, and words scored at once.
-BATCH, SCORED = 4096, 4096
+BATCH, SCORED = 8192, 4096
+#: Words whose logits are in use at once in training.
+BLOCK = 2048
 #: Stands for a bias of -inf, which times a 0 would be no number.
 NEVER = -1e4
 
@@ -42,12 +44,17 @@ def _exponents(logits: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np
     return logits, logits @ np.ones(logits.shape[1], logits.dtype) + np.float32(1e-30)
 
 
+def largest(stacked: np.ndarray) -> float:
+    """The largest logit that weights with their biases as the last row can give."""
+    return float((np.abs(stacked[..., :-1, :]).sum(-2) + stacked[..., -1, :]).max(initial=0))
+
+
 def _row_sums(rows: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, all below `most`, and the sum of their values."""
     order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
-    ordered = rows[order]
+    ordered = np.take(rows, order)
     begins = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[begins], np.add.reduceat(values[order], begins, axis=0)
+    return np.take(ordered, begins), np.add.reduceat(np.take(values, order, axis=0), begins, axis=0)
 
 
 @dataclass(frozen=True)
@@ -103,9 +110,9 @@ class Network:
         return cls(normal(0.3, len(PLACES), inputs, dim), np.zeros(dim, np.float32), normal(0.1, dim, classes + 1), np.log(totals / totals.sum()).astype(np.float32), normal(0.1, classes, dim, size), word_bias.astype(np.float32))
 
     def activation(self, around: np.ndarray) -> np.ndarray:
-        total = self.places[0][around[0]] + self.hidden
+        total = np.take(self.places[0], around[0], axis=0) + self.hidden
         for i in range(1, len(PLACES)):
-            total += self.places[i][around[i]]
+            total += np.take(self.places[i], around[i], axis=0)
         return np.tanh(total)
 
     def stacked(self) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +142,7 @@ class Network:
         out = np.empty(len(word), np.float32)
         size = self.word_bias.shape[1]
         by_class, by_word = self.stacked()
-        most, most_within = (float((np.abs(w[..., :-1, :]).sum(-2) + w[..., -1, :]).max(initial=0)) for w in (by_class, by_word))
+        most, most_within = largest(by_class), largest(by_word)
         for i in range(0, len(word), SCORED):
             part = word[i : i + SCORED]
             h = _with_ones(self.activation(around[:, i : i + SCORED]))
@@ -152,23 +159,36 @@ class Network:
         """Of the mean of -log_chances over words, with what is around them.  stacked: weights in place of the network's own."""
         by_class, by_word = stacked or self.stacked()
         dim, n = len(self.hidden), len(word)
+        most, most_within = largest(by_class), largest(by_word)
         h = self.activation(near)
         ones = _with_ones(h)
         kind, order, groups = self.by_class(word)
-        error, sums = _exponents(ones @ by_class)
-        error *= (1 / (n * sums))[:, None]
-        error[np.arange(n), kind] -= 1 / n
-        back, of_class, of_word = error @ by_class[:dim].T, ones.T @ error, np.zeros_like(by_word)
-        if groups:
-            ones = ones[order]
-            error, sums = self.within(ones, by_word, groups)
-            error *= (1 / (n * sums))[:, None]
-            error[np.arange(len(order)), word[order] % error.shape[1]] -= 1 / n
-            inner = np.empty((len(order), dim), h.dtype)
-            for c, a, b in groups:
-                np.matmul(error[a:b], by_word[c, :dim].T, out=inner[a:b])
-                np.matmul(ones[a:b].T, error[a:b], out=of_word[c])
-            back[order] += inner
+        back, of_class, of_word = np.empty_like(h), np.zeros_like(by_class), np.zeros_like(by_word)
+        # A block's logits stay in the cache from the product that makes them to those that use them.
+        for i in range(0, n, BLOCK):
+            some, own = ones[i : i + BLOCK], kind[i : i + BLOCK]
+            error, sums = _exponents(some @ by_class, most)
+            error[np.arange(len(own)), own] -= sums
+            share = (1 / (n * sums))[:, None]  # what would divide the errors divides the narrower sides of the products
+            np.multiply(error @ by_class[:dim].T, share, out=back[i : i + BLOCK])
+            of_class += (some * share).T @ error
+        ones, place = np.take(ones, order, axis=0), word[order] % max(1, by_word.shape[2])
+        inner, first = np.empty((len(order), dim), h.dtype), 0
+        while first < len(groups):
+            start, last = groups[first][1], first + 1
+            while last < len(groups) and groups[last][2] - start <= BLOCK:
+                last += 1
+            block, end = [(c, a - start, b - start) for c, a, b in groups[first:last]], groups[last - 1][2]
+            some, first = ones[start:end], last
+            error, sums = self.within(some, by_word, block, most_within)
+            error[np.arange(end - start), place[start:end]] -= sums
+            share = (1 / (n * sums))[:, None]
+            some = some * share
+            for c, a, b in block:
+                np.matmul(error[a:b], by_word[c, :dim].T, out=inner[start + a : start + b])
+                np.matmul(some[a:b].T, error[a:b], out=of_word[c])
+            inner[start:end] *= share
+        back[order] += inner
         back *= 1 - h * h
         places = [_row_sums(near[p], back, self.places.shape[1]) for p in range(len(PLACES))]
         return Gradients(places, back.sum(0), of_class, of_word, [c for c, _, _ in groups])
@@ -208,10 +228,11 @@ class Trainer:
             mixed = rng.permutation(len(words))
             for i in range(0, len(words), BATCH):
                 some = mixed[i : i + BATCH]
-                g = net.gradients(around[:, some], words[some], self.stacked)
-                for p, (rows, change) in enumerate(g.places):
-                    self.seen_places[p, rows] += (change * change).mean(1)
-                    net.places[p, rows] -= rate * change / np.sqrt(self.seen_places[p, rows])[:, None]
+                g = net.gradients(np.take(around, some, axis=1), np.take(words, some), self.stacked)
+                for place, seen, (rows, change) in zip(net.places, self.seen_places, g.places, strict=True):
+                    total = np.take(seen, rows) + np.einsum("ij,ij->i", change, change) / change.shape[1]
+                    seen[rows] = total
+                    place[rows] = np.take(place, rows, axis=0) - change * (rate / np.sqrt(total))[:, None]
                 for value, change, total in zip((*self.stacked, net.hidden), (g.by_class, g.by_word, g.hidden), self.seen, strict=True):
                     step = change * change
                     total += step

@@ -6,10 +6,10 @@
    vocabulary, which grows with the root of the distinct words, its classes with it;
    the bytes of all others give a byte bigram model.
 3. A window network (window_net) is trained in numpy on every word of the corpus.
-   Texts are cut into pieces, and hashes of ids and texts deal those out to slices
-   and rounds, whatever the partitions are; in each round every slice trains a copy
-   of the network on its pieces of that round, and the copies are averaged, part by
-   part, before the next.  Slices become more, and larger, with the root of the
+   Texts are cut into pieces, and hashes of ids and texts deal those out to slices,
+   whatever the partitions are; in each round every slice trains a copy of the
+   network on all its pieces, and the copies are averaged, part by part, before the
+   next.  Slices become more, and larger, with the root of the
    corpus; a task streams through its own.
 4. The network predicts every word, masked, from two words on both sides.  A word
    outside the vocabulary has the chance of being one, times that of its bytes.  A
@@ -191,8 +191,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, in
     return pieces(coded(docs, id_col, text_col), vocabulary, settings, total)
 
 
-def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, total: int, rounds: int = 1, turn: int = 0) -> DataFrame:
-    """The pieces of coded rows that the network learns from in one of so many rounds: (name, piece: inputs as bytes)."""
+def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, total: int) -> DataFrame:
+    """The pieces of coded rows that the network learns from in each round: (name, piece: inputs as bytes)."""
     few = min(1.0, settings.learned / max(1, total) + settings.share)
     known = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -206,7 +206,7 @@ def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, tota
                 for key, length in zip(np.frombuffer(keys.as_py(), np.uint64).tolist(), np.frombuffer(lengths.as_py(), np.int64).tolist(), strict=True):
                     for at in range(0, length, settings.piece):
                         name = xxhash.xxh64_intdigest(struct.pack("<qQ", at, key))
-                        if (name >> 40) % rounds == turn and name < few * 2.0**64:
+                        if name < few * 2.0**64:
                             names.append(name - 2**63)
                             chosen.append(inputs[start + at : start + min(length, at + settings.piece)].tobytes())
                     start += length
@@ -287,7 +287,7 @@ def fit_coded(rows: DataFrame, settings: Settings) -> tuple[Model, int]:
     learned = min(total, settings.learned + int(settings.share * total))
     many = max(1, math.isqrt(learned // settings.slice))
     for i in range(settings.rounds):
-        dealt = pieces(rows, vocabulary, settings, total, settings.rounds, i).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
+        dealt = pieces(rows, vocabulary, settings, total).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
         net = trained(dealt, net, len(vocabulary), edge, settings, settings.seed + i, many)
     return Model(settings, vocabulary, byte_chances(words.where(~inside)), net), total
 

@@ -14,7 +14,7 @@ import numpy as np
 #: Places of the window, relative to the word.
 PLACES = (-2, -1, 1, 2)
 #: Words of a step of training, and words scored at once.
-BATCH, SCORED = 8192, 4096
+BATCH, SCORED = 2048, 4096
 #: Words whose logits are in use at once in training.
 BLOCK = 2048
 #: Stands for a bias of -inf, which times a 0 would be no number.

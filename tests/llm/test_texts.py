@@ -339,15 +339,14 @@ def test_what_is_learned_grows_with_the_corpus(spark):
     assert sizes == pytest.approx([0.5, 0.5], abs=0.1)
 
 
-def test_every_word_of_the_corpus_is_learned_from_in_one_of_the_rounds(spark):
+def test_every_word_of_the_corpus_is_learned_from(spark):
     settings = dataclasses.replace(lm_score.Settings(), learned=0, piece=32)
     texts = [*sentences(150), None, "", "cat " * 3000]
     rows = [*enumerate(texts), (7, texts[7]), (None, texts[8])]
     coded = lm_score.coded(documents(spark, rows).repartition(3), "doc_id", "text")
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in rows for w in (t or "").lower().split()}))}
-    turns = [lm_score.pieces(coded, vocabulary, settings, 10**12, 2, turn).collect() for turn in (0, 1)]
-    assert all(turns) and not {r.name for r in turns[0]} & {r.name for r in turns[1]}
-    learned = Counter(x for r in turns[0] + turns[1] for x in np.frombuffer(r.piece, np.int32).tolist())
+    pieces = lm_score.pieces(coded, vocabulary, settings, 10**12).collect()
+    learned = Counter(x for r in pieces for x in np.frombuffer(r.piece, np.int32).tolist())
     assert learned == Counter(vocabulary[w] for _, t in rows for w in (t or "").lower().split())
     assert {r.word: r.n for r in lm_score.word_counts(coded).collect()} == {w: learned[i] for w, i in vocabulary.items()}
 

@@ -6,8 +6,8 @@
    vocabulary, which grows with the root of the distinct words, its classes with it;
    the bytes of all others give a byte bigram model.
 3. A window network (window_net) is trained in numpy on every word of the corpus.
-   Texts are cut into pieces, and hashes of ids and texts deal those out to slices,
-   whatever the partitions are; in each round every slice trains a copy of the
+   Texts are cut into pieces, and hashes of ids and texts deal those out to slices
+   once, whatever the partitions are; in each round every slice trains a copy of the
    network on all its pieces, and the copies are averaged, part by part, before the
    next.  Slices become more, and larger, with the root of the
    corpus; a task streams through its own.
@@ -32,12 +32,13 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,20 +120,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n): how often each word occurs in all documents, as coded."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = defaultdict(int)
+        held, waiting = [], 0
 
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64())], ["word", "n"])
-            known.clear()
-            return out
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
             for words, counts in zip(batch[0], batch[1], strict=True):
-                for word, n in zip(lines(words.as_py()), np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
-                    known[word] += n
-                if len(known) > REMEMBERED:
-                    yield told()
-        yield told()
+                own = pa.array(lines(words.as_py()), pa.string())
+                held.append(pa.table([own, pa.array(np.frombuffer(counts.as_py(), np.int64))], ["word", "n"]))
+                waiting += len(own)
+                if waiting > 2 * REMEMBERED:
+                    held[:] = [summed()]
+                    waiting = len(held[0])
+                    if waiting > REMEMBERED:
+                        yield from held.pop().to_batches(max_chunksize=REMEMBERED)
+                        waiting = 0
+        if held:
+            yield from summed().to_batches(max_chunksize=REMEMBERED)
 
     found = rows.select("words", "counts").mapInArrow(count_words, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -179,9 +184,9 @@ class Model:
 
 def looked_up(words: list[str], vocabulary: dict[str, int], others: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each word its input of the network, and its number in the vocabulary or -1."""
-    number = np.fromiter((vocabulary.get(w, -1) for w in words), np.int32, len(words))
+    number = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
     inputs, outside = number.copy(), np.flatnonzero(number < 0)
-    hashes = pd.util.hash_array(np.array([words[i] for i in outside], dtype=object), categorize=False)
+    hashes = pd.util.hash_array(np.array(words, dtype=object)[outside], categorize=False)
     inputs[outside] = len(vocabulary) + (hashes % np.uint64(others)).astype(np.int32)
     return inputs, number
 
@@ -191,8 +196,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, in
     return pieces(coded(docs, id_col, text_col), vocabulary, settings, total)
 
 
-def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, total: int) -> DataFrame:
-    """The pieces of coded rows that the network learns from in each round: (name, piece: inputs as bytes)."""
+def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, total: int, kind: type = np.int32) -> DataFrame:
+    """The pieces of coded rows that the network learns from in each round: (name, piece: inputs as bytes of numbers of that kind)."""
     few = min(1.0, settings.learned / max(1, total) + settings.share)
     known = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -201,7 +206,7 @@ def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, tota
             for words, keys, lengths, places in zip(*batch.columns, strict=True):
                 distinct = lines(words.as_py())
                 inputs, _ = looked_up(distinct, known.value, settings.others)
-                inputs = inputs[places_of(places.as_py(), len(distinct))]
+                inputs = inputs.astype(kind)[places_of(places.as_py(), len(distinct))]
                 names, chosen, start = [], [], 0
                 for key, length in zip(np.frombuffer(keys.as_py(), np.uint64).tolist(), np.frombuffer(lengths.as_py(), np.int64).tolist(), strict=True):
                     for at in range(0, length, settings.piece):
@@ -215,8 +220,18 @@ def pieces(rows: DataFrame, vocabulary: dict[str, int], settings: Settings, tota
     return rows.select("words", "keys", "lengths", "places").mapInArrow(cut, "name long, piece binary")
 
 
+def dealt(pieces: DataFrame, many: int) -> DataFrame:
+    """Pieces (slice, name, piece) in so many tasks, each slice whole and in the order of its names: (slice, piece)."""
+    return pieces.repartitionById(many, F.col("slice").cast("int")).sortWithinPartitions("slice", "name").select("slice", "piece")
+
+
 def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings: Settings, seed: int, many: int = 1) -> Network:
-    """The network after a round: trained on each slice of pieces (slice, name, piece) by itself, then averaged.  many: tasks; slices of one task follow one another."""
+    """The network after a round on pieces (slice, name, piece) of int32.  many: tasks; slices of one task follow one another."""
+    return averaged(dealt(pieces, many), network, known, edge, settings, seed)
+
+
+def averaged(pieces: DataFrame, network: Network, known: int, edge: int, settings: Settings, seed: int, kind: type = np.int32) -> Network:
+    """The network trained on each slice of dealt pieces by itself, then averaged."""
     start = pieces.sparkSession.sparkContext.broadcast(network)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +239,7 @@ def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings
 
         def take() -> None:
             nonlocal waiting, words
-            flat = np.concatenate(held)
+            flat = np.concatenate(held).astype(np.int32)
             own.train(flat, np.where(flat < known, flat, -1), np.array([len(x) for x in held]), edge, settings.epochs, settings.rate, seed)
             held.clear()
             words, waiting = words + waiting, 0
@@ -242,7 +257,7 @@ def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings
                     if own is not None:
                         yield told()
                     number, own, words = slice_, Trainer(start.value.with_flat(start.value.flat())), 0
-                held.append(np.frombuffer(piece, np.int32))
+                held.append(np.frombuffer(piece, kind))
                 waiting += len(held[-1])
                 if waiting >= MIXED:
                     take()
@@ -255,8 +270,7 @@ def trained(pieces: DataFrame, network: Network, known: int, edge: int, settings
         total = sum(w * np.frombuffer(d, np.float32).astype(np.float64) for w, d in zip(weights, part["data"].to_pylist(), strict=True))
         return pa.table([part["part"][:1], pa.array([(total / weights.sum()).astype(np.float32).tobytes()], pa.binary())], ["part", "data"])
 
-    dealt = pieces.repartitionById(many, F.col("slice").cast("int")).sortWithinPartitions("slice", "name").select("slice", "piece")
-    copies = dealt.mapInArrow(learn, "part int, slice long, weight double, data binary")
+    copies = pieces.mapInArrow(learn, "part int, slice long, weight double, data binary")
     rows = copies.groupBy("part").applyInArrow(mean, "part int, data binary").collect()  # one network
     if not rows:
         return network
@@ -286,9 +300,12 @@ def fit_coded(rows: DataFrame, settings: Settings) -> tuple[Model, int]:
     net = Network.start(counts, total - counts.sum(), edge + 1, settings.dim, settings.seed)
     learned = min(total, settings.learned + int(settings.share * total))
     many = max(1, math.isqrt(learned // settings.slice))
+    kind = np.uint16 if edge <= 1 << 16 else np.int32
+    cut = pieces(rows, vocabulary, settings, total, kind).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
+    each = dealt(cut, many).persist(StorageLevel.DISK_ONLY)  # cut and dealt once for all rounds
     for i in range(settings.rounds):
-        dealt = pieces(rows, vocabulary, settings, total).select(F.pmod("name", F.lit(many)).alias("slice"), "name", "piece")
-        net = trained(dealt, net, len(vocabulary), edge, settings, settings.seed + i, many)
+        net = averaged(each, net, len(vocabulary), edge, settings, settings.seed + i, kind)
+    each.unpersist()
     return Model(settings, vocabulary, byte_chances(words.where(~inside)), net), total
 
 

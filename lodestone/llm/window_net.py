@@ -17,18 +17,20 @@ PLACES = (-2, -1, 1, 2)
 BATCH, SCORED = 2048, 4096
 #: Words whose logits are in use at once in training.
 BLOCK = 2048
+#: Classes whose words' weights are moved at once in training.
+TOGETHER = 16
 #: Stands for a bias of -inf, which times a 0 would be no number.
 NEVER = -1e4
 
 
 def windows(inputs: np.ndarray, lengths: np.ndarray, edge: int) -> np.ndarray:
-    """(place, word): the inputs around each word of texts that lie one after another; edge beside a text's ends."""
+    """(place, word): the inputs around each word of texts that lie one after another; edge beside a text's ends.  Those of a word lie side by side."""
     margin = max(map(abs, PLACES))
     text = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(inputs)) + margin * (text + 1)
     padded = np.full(len(inputs) + margin * (len(lengths) + 1), edge, inputs.dtype)
     padded[at] = inputs
-    return np.stack([padded[at + p] for p in PLACES])
+    return np.stack([padded[at + p] for p in PLACES], axis=1).T
 
 
 def _with_ones(h: np.ndarray) -> np.ndarray:
@@ -49,24 +51,50 @@ def largest(stacked: np.ndarray) -> float:
     return float((np.abs(stacked[..., :-1, :]).sum(-2) + stacked[..., -1, :]).max(initial=0))
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, all below `most`, and the sum of their values."""
-    order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
-    ordered = np.take(rows, order)
-    begins = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return np.take(ordered, begins), np.add.reduceat(np.take(values, order, axis=0), begins, axis=0)
+def _row_sums(near: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct inputs of each place, all below `most`, as place * most + input, and the sums of their values; near: (place, word), values: (word, dim)."""
+    order = np.concatenate([np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable") for x in near])
+    at = np.repeat(np.arange(len(near)), near.shape[1])
+    ordered = np.take(near.ravel(), order + at * near.shape[1]) + at * most
+    changes = np.empty(len(ordered), bool)
+    changes[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=changes[1:])
+    begins = np.flatnonzero(changes)
+    counts = np.diff(begins, append=len(ordered))
+    sums = np.take(values, np.take(order, begins), axis=0)
+    # Most inputs occur once, twice or three times in a batch.
+    for k in (1, 2):
+        more = np.flatnonzero((counts == 2) | (counts == 3) if k == 1 else counts == 3)
+        sums[more] += np.take(values, np.take(order, np.take(begins, more) + k), axis=0)
+    several = np.flatnonzero(counts > 3)
+    if len(several):
+        some = np.take(values, order[np.repeat(counts > 3, counts)], axis=0)
+        if values.shape[1] % 2 == 0:  # as complex numbers, two are added at once
+            some = some.view(np.result_type(values, 1j))
+        starts = np.cumsum(np.take(counts, several))
+        starts = np.concatenate([[0], starts[:-1]])
+        sums[several] = np.add.reduceat(some, starts, axis=0).view(values.dtype)
+    return np.take(ordered, begins), sums
 
 
 @dataclass(frozen=True)
 class Gradients:
     """As the network's parameters, but of the inputs and the classes that occur alone."""
 
-    places: list[tuple[np.ndarray, np.ndarray]]  # for each place (inputs, their gradients)
+    rows: np.ndarray  # inputs of each place, as place * inputs + input
+    of_rows: np.ndarray  # their gradients
+    inputs: int
     hidden: np.ndarray
     by_class: np.ndarray  # of weights with their biases, as Network.stacked
     by_word: np.ndarray
     classes: list[int]
 
+    @property
+    def places(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each place (inputs, their gradients)."""
+        ends = np.searchsorted(self.rows, np.arange(1, len(PLACES)) * self.inputs)
+        return list(zip((x % self.inputs for x in np.split(self.rows, ends)), np.split(self.of_rows, ends), strict=True))
+
     @property
     def to_class(self) -> np.ndarray:
         return self.by_class[:-1]
@@ -121,20 +149,18 @@ class Network:
         return whole(self.to_class, self.class_bias), whole(self.to_word, np.maximum(self.word_bias, NEVER))
 
     def by_class(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """The class of each word (its number in the vocabulary, or -1), the places of those in the vocabulary by class, and (class, from, to) among them."""
+        """An order of words (numbers in the vocabulary, or -1) by class, with those outside at the end, their classes in it, and (class, from, to) of the others."""
         classes, size = self.word_bias.shape
         kind = np.where(word < 0, classes, word // max(1, size))
-        inside = np.flatnonzero(word >= 0)
-        own = kind[inside]
-        order = inside[np.argsort(own.astype(np.uint16) if classes <= 1 << 16 else own, kind="stable")]
-        ends = np.cumsum(np.bincount(own, minlength=classes)).tolist()
-        return kind, order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        order = np.argsort(kind.astype(np.uint16) if classes < 1 << 16 else kind, kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=classes + 1)[:classes]).tolist()
+        return order, np.take(kind, order), [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
 
     def within(self, h: np.ndarray, by_word: np.ndarray, groups: list[tuple[int, int, int]], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """As _exponents, of the words in the class of each row of h; rows lie by class."""
         logits = np.empty((len(h), self.word_bias.shape[1]), h.dtype)
         for c, a, b in groups:
-            np.matmul(h[a:b], by_word[c], out=logits[a:b])
+            np.dot(h[a:b], by_word[c], out=logits[a:b])
         return _exponents(logits, most)
 
     def log_chances(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -144,54 +170,62 @@ class Network:
         by_class, by_word = self.stacked()
         most, most_within = largest(by_class), largest(by_word)
         for i in range(0, len(word), SCORED):
-            part = word[i : i + SCORED]
-            h = _with_ones(self.activation(around[:, i : i + SCORED]))
-            kind, order, groups = self.by_class(part)
+            order, kind, groups = self.by_class(word[i : i + SCORED])
+            order += i
+            h = _with_ones(self.activation(np.take(around.T, order, axis=0).T))
             share, sums = _exponents(h @ by_class, most)
-            chance = share[np.arange(len(part)), kind] / sums
-            if len(order):
-                share, sums = self.within(h[order], by_word, groups, most_within)
-                chance[order] *= share[np.arange(len(order)), part[order] % size] / sums
-            out[i : i + SCORED] = np.log(np.maximum(chance, 1e-30))
+            chance = share[np.arange(len(order)), kind] / sums
+            if groups:
+                inside = groups[-1][2]
+                share, sums = self.within(h[:inside], by_word, groups, most_within)
+                chance[:inside] *= share[np.arange(inside), np.take(word, order[:inside]) % size] / sums
+            out[order] = np.log(np.maximum(chance, 1e-30))
         return out
 
-    def gradients(self, near: np.ndarray, word: np.ndarray, stacked: tuple[np.ndarray, np.ndarray] | None = None) -> Gradients:
-        """Of the mean of -log_chances over words, with what is around them.  stacked: weights in place of the network's own."""
+    def gradients(self, near: np.ndarray, word: np.ndarray, stacked: tuple[np.ndarray, np.ndarray] | None = None, most: tuple[float, float] | None = None, some: np.ndarray | None = None) -> Gradients:
+        """Of the mean of -log_chances over words, with what is around them.
+
+        stacked: weights in place of the network's own; most: what is known to be no less than their logits; some: the words to take.
+        """
         by_class, by_word = stacked or self.stacked()
-        dim, n = len(self.hidden), len(word)
-        most, most_within = largest(by_class), largest(by_word)
+        most, most_within = most or (largest(by_class), largest(by_word))
+        order, kind, groups = self.by_class(word if some is None else np.take(word, some))
+        if some is not None:
+            order = np.take(some, order)
+        near, dim, n = np.take(near.T, order, axis=0).T, len(self.hidden), len(order)
         h = self.activation(near)
         ones = _with_ones(h)
-        kind, order, groups = self.by_class(word)
         back, of_class, of_word = np.empty_like(h), np.zeros_like(by_class), np.zeros_like(by_word)
         # A block's logits stay in the cache from the product that makes them to those that use them.
         for i in range(0, n, BLOCK):
-            some, own = ones[i : i + BLOCK], kind[i : i + BLOCK]
-            error, sums = _exponents(some @ by_class, most)
+            part, own = ones[i : i + BLOCK], kind[i : i + BLOCK]
+            error, sums = _exponents(part @ by_class, most)
             error[np.arange(len(own)), own] -= sums
             share = (1 / (n * sums))[:, None]  # what would divide the errors divides the narrower sides of the products
             np.multiply(error @ by_class[:dim].T, share, out=back[i : i + BLOCK])
-            of_class += (some * share).T @ error
-        ones, place = np.take(ones, order, axis=0), word[order] % max(1, by_word.shape[2])
-        inner, first = np.empty((len(order), dim), h.dtype), 0
+            of_class += (part * share).T @ error
+        inside = groups[-1][2] if groups else 0
+        place = np.take(word, order[:inside]) % max(1, by_word.shape[2])
+        inner, first = np.empty((inside, dim), h.dtype), 0
         while first < len(groups):
             start, last = groups[first][1], first + 1
             while last < len(groups) and groups[last][2] - start <= BLOCK:
                 last += 1
             block, end = [(c, a - start, b - start) for c, a, b in groups[first:last]], groups[last - 1][2]
-            some, first = ones[start:end], last
-            error, sums = self.within(some, by_word, block, most_within)
+            part, own, first = ones[start:end], inner[start:end], last
+            error, sums = self.within(part, by_word, block, most_within)
             error[np.arange(end - start), place[start:end]] -= sums
             share = (1 / (n * sums))[:, None]
-            some = some * share
+            part = part * share
             for c, a, b in block:
-                np.matmul(error[a:b], by_word[c, :dim].T, out=inner[start + a : start + b])
-                np.matmul(some[a:b].T, error[a:b], out=of_word[c])
-            inner[start:end] *= share
-        back[order] += inner
+                some_error = error[a:b]
+                np.dot(some_error, by_word[c, :dim].T, out=own[a:b])
+                np.dot(part[a:b].T, some_error, out=of_word[c])
+            own *= share
+        back[:inside] += inner
         back *= 1 - h * h
-        places = [_row_sums(near[p], back, self.places.shape[1]) for p in range(len(PLACES))]
-        return Gradients(places, back.sum(0), of_class, of_word, [c for c, _, _ in groups])
+        inputs = self.places.shape[1]
+        return Gradients(*_row_sums(near, back, inputs), inputs, back.sum(0), of_class, of_word, [c for c, _, _ in groups])
 
     def train(self, inputs: np.ndarray, words: np.ndarray, lengths: np.ndarray, edge: int, epochs: int, rate: float, seed: int) -> None:
         """Adagrad over texts that lie one after another, in a fixed order of batches."""
@@ -218,25 +252,36 @@ class Trainer:
         self.network = network
         self.stacked = network.stacked()
         self.seen = [np.full(v.shape, 1e-6, np.float32) for v in (*self.stacked, network.hidden)]
-        self.seen_places = np.full(network.places.shape[:2], 1e-6, np.float32)
+        self.seen_places = np.full(network.places.shape[0] * network.places.shape[1], 1e-6, np.float32)
 
     def train(self, inputs: np.ndarray, words: np.ndarray, lengths: np.ndarray, edge: int, epochs: int, rate: float, seed: int) -> None:
         """Learn from texts that lie one after another, in a fixed order of batches."""
         rng, net = np.random.default_rng(seed), self.network
         around = windows(inputs, lengths, edge)
+        places, dim = net.places.reshape(-1, net.places.shape[2]), len(net.hidden)
+        whole = np.dtype((np.void, places.itemsize * dim))  # rows are written as one item each
+        items = places.view(whole).ravel()
+        # A few classes at once: what is made in between stays in the cache.
+        parts = [(k, slice(i, i + TOGETHER), value[i : i + TOGETHER], seen[i : i + TOGETHER]) for k, (value, seen) in enumerate(zip((*self.stacked, net.hidden), self.seen, strict=True)) for i in range(0, len(value), TOGETHER)]
+        most, moved = (0.0, 0.0), np.inf
         for _ in range(epochs):
             mixed = rng.permutation(len(words))
             for i in range(0, len(words), BATCH):
-                some = mixed[i : i + BATCH]
-                g = net.gradients(np.take(around, some, axis=1), np.take(words, some), self.stacked)
-                for place, seen, (rows, change) in zip(net.places, self.seen_places, g.places, strict=True):
-                    total = np.take(seen, rows) + np.einsum("ij,ij->i", change, change) / change.shape[1]
-                    seen[rows] = total
-                    place[rows] = np.take(place, rows, axis=0) - change * (rate / np.sqrt(total))[:, None]
-                for value, change, total in zip((*self.stacked, net.hidden), (g.by_class, g.by_word, g.hidden), self.seen, strict=True):
+                if max(most) + moved >= 80:  # a step of Adagrad moves no parameter by more than the rate
+                    most, moved = tuple(largest(v) for v in self.stacked), 0.0
+                g = net.gradients(around, words, self.stacked, tuple(m + moved for m in most), mixed[i : i + BATCH])
+                moved += 1.01 * rate * (dim + 1)
+                total = np.take(self.seen_places, g.rows) + np.einsum("ij,ij->i", g.of_rows, g.of_rows) / dim
+                self.seen_places[g.rows] = total
+                moved_rows = np.take(places, g.rows, axis=0)
+                moved_rows -= g.of_rows * (rate / np.sqrt(total))[:, None]
+                items[g.rows] = moved_rows.view(whole).ravel()
+                changes = g.by_class, g.by_word, g.hidden
+                for k, part, value, seen in parts:
+                    change = changes[k][part]
                     step = change * change
-                    total += step
-                    np.sqrt(total, out=step)
+                    seen += step
+                    np.sqrt(seen, out=step)
                     np.divide(change, step, out=step)
                     step *= rate
                     value -= step

@@ -364,6 +364,54 @@ def test_a_slice_of_many_pieces_is_learned_to_its_end(spark, monkeypatch):
     assert lm_score.trained(df, net, 5, 6, SMALL, 9, 2).flat() == pytest.approx(own.network.flat(), abs=1e-5)
 
 
+def test_pieces_are_cut_and_dealt_once_for_all_rounds(spark, monkeypatch):
+    made, cut, kinds = [], lm_score.pieces, []
+    monkeypatch.setattr(lm_score, "pieces", lambda *a: made.append(cut(*a)) or made[-1])
+    model, _ = lm_score.fit(documents(spark, list(enumerate(sentences(150)))), dataclasses.replace(SMALL, rounds=3))
+    assert len(made) == 1
+    # Each round goes on from the one before, on the same pieces, whatever the numbers' kind is.
+    rows, net = made[0].collect(), model.network
+    for kind in (np.uint16, np.int32):
+        told = [(r.name % 2, r.name, np.frombuffer(r.piece, np.uint16).astype(kind).tobytes()) for r in rows]
+        df = spark.createDataFrame(told, "slice long, name long, piece binary")
+        kinds.append(lm_score.averaged(lm_score.dealt(df, 2), net, len(model.vocabulary), model.edge, SMALL, 9, kind).flat())
+    assert kinds[0] == pytest.approx(kinds[1], abs=1e-5)
+    assert abs(kinds[0][:100] - net.flat()[:100]).max() > 0.001
+
+
+def test_words_are_counted_across_flushes(spark, monkeypatch):
+    texts = [*sentences(300), None, ""]
+    monkeypatch.setattr(lm_score, "REMEMBERED", 5)
+    counts = lm_score.word_counts(lm_score.coded(documents(spark, list(enumerate(texts))).repartition(7), "doc_id", "text")).collect()
+    assert {r.word: r.n for r in counts} == Counter(w for t in texts for w in (t or "").lower().split()) and len(counts) == len({r.word for r in counts})
+
+
+@pytest.mark.parametrize("dim", [3, 4])
+def test_training_is_plain_adagrad_however_far_its_steps_go(dim):
+    rng = np.random.default_rng(8)
+    net = lm_score.Network.start(np.array([9.0, 7, 5, 4, 3, 2, 1]), 6.0, 12, dim, 1)  # the last class is not full
+    flat, lengths = rng.integers(0, 11, 6000).astype(np.int32), np.array([1000, 0, 5000])
+    word = np.where(flat < 7, flat, -1)
+    own, rate = net.with_flat(net.flat()), 2.5
+    own.train(flat, word, lengths, 11, 1, rate, 3)
+    around, mixed = lm_score.windows(flat, lengths, 11), np.random.default_rng(3).permutation(len(flat))
+    values, seen = {"places": net.places, "hidden": net.hidden, "to_class": net.to_class, "class_bias": net.class_bias, "to_word": net.to_word, "word_bias": net.word_bias}, {}
+    for i in range(0, len(flat), 2048):
+        some = mixed[i : i + 2048]
+        g = net.gradients(around[:, some], word[some])
+        dense = {"hidden": g.hidden, "to_class": g.to_class, "class_bias": g.class_bias, "word_bias": g.word_bias, "to_word": np.zeros_like(net.to_word), "places": np.zeros_like(net.places)}
+        for c, change in g.to_word:
+            dense["to_word"][c] = change
+        for p, (rows, change) in enumerate(g.places):
+            assert len(set(rows.tolist())) == len(rows)
+            dense["places"][p, rows] = change
+        for name, change in dense.items():
+            square = (change**2).mean(-1, keepdims=True) if name == "places" else change**2
+            seen[name] = seen.get(name, 1e-6) + square
+            values[name] -= rate * change / np.sqrt(seen[name])
+    assert own.flat()[np.isfinite(own.flat())] == pytest.approx(net.flat()[np.isfinite(net.flat())], abs=2e-2, rel=1e-2)
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm_score.score(documents(spark, [])).count() == 0
 

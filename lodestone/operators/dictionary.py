@@ -29,8 +29,12 @@ NEVER = (1 << 63) - 1
 @dataclass(frozen=True)
 class Limits:
     first: int = 1
-    last: int = 65534
-    size: int = 65535
+    last: int | None = 65534
+    size: int | None = 65535
+
+
+#: For dictionaries of other tables, which may hold any number of values.
+UNLIMITED = Limits(last=None, size=None)
 
 
 def spans(epochs: DataFrame, rollbacks: DataFrame, by: list[str]) -> DataFrame:
@@ -45,7 +49,7 @@ def entries(requests: DataFrame, by: list[str], value: str, at: str, rollbacks:
 
     width: slots of a value, 1 or 2; size: its bytes.  Both depend on the value alone.  A value over Limits.size is
     never held: its request has no code and the error "size".  One that does not fit before Limits.last has the error
-    "full"; if it is a value of two slots with one left, the next value of one slot still gets that.
+    "full"; if it is a value of two slots with one left, the next value of one slot still gets that.  None limits nothing.
     Requests without a value add nothing.  `rollbacks`: (by, epoch, target), at most one at an epoch.
     """
     save = Scratch(requests.sparkSession).write
@@ -60,16 +64,18 @@ def entries(requests: DataFrame, by: list[str], value: str, at: str, rollbacks:
         earlier = Window.partitionBy(*by, value).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
         first = first.withColumn("_seen", F.max("until").over(earlier)).where(F.col("_seen").isNull() | (F.col("_seen") <= F.col("epoch"))).drop("_seen")
     first = save(first)
-    fits = F.col("_size") <= limits.size
+    fits = F.lit(True) if limits.size is None else F.col("_size") <= limits.size
     start = F.lit(limits.first) + F.col("_used")
     placed = _in_use(first.where(fits).drop("_size"), by, value, {"_used": F.col("width")}).withColumn("_start", start)
-    over = F.col("_start") + F.col("width") - 1 > limits.last
-    edge = (F.col("_start") == limits.last) & (F.col("width") == 2)
+    over = F.lit(False) if limits.last is None else F.col("_start") + F.col("width") - 1 > limits.last
     plain = placed.where(~over).select(*by, value, "epoch", "at", "until", "width", F.col("_start").alias("code"), F.lit(None).cast("string").alias("error"))
+    large = first.where(~fits).select(*by, value, "epoch", "at", "until", "width", F.lit(None).cast("long").alias("code"), F.lit("size").alias("error"))
+    if limits.last is None:
+        return plain.unionAll(large)
+    edge = (F.col("_start") == limits.last) & (F.col("width") == 2)
     late = _in_use(save(placed.where(over)), by, value, {"_edges": F.when(edge, one), "_narrow": F.when(F.col("width") == 1, one)})
     last = (F.col("width") == 1) & (F.col("_edges") > 0) & (F.col("_narrow") == 0)
     late = late.select(*by, value, "epoch", "at", "until", "width", F.when(last, F.lit(limits.last).cast("long")).alias("code"), F.when(~last, F.lit("full")).alias("error"))
-    large = first.where(~fits).select(*by, value, "epoch", "at", "until", "width", F.lit(None).cast("long").alias("code"), F.lit("size").alias("error"))
     return plain.unionAll(late).unionAll(large)
 
 

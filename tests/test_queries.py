@@ -45,6 +45,21 @@ def test_of_values_with_one_place_the_smaller_comes_first(spark, duck, name):
     assert sorted(tuple(map(plain, row)) for row in queries.QUERIES[name](spark, SF).select(*columns).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["dict_checkpoints"])
+def test_dictionaries_beyond_the_indexes_of_class_files(spark, tmp_path, name):
+    month = "case when id < 68000 then 2 when id < 69500 then 6 else 8 end"  # August goes back to May, and June's parts come again
+    items = spark.range(72500).selectExpr("id as l_orderkey", "1 as l_linenumber", "if(id < 71000, 70999 - id, 73999 - id) as l_partkey", "3 + id % 5 * 10 as l_suppkey", f"cast(make_date(2000, {month}, 9) as timestamp_ntz) as l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4000).selectExpr("id as o_orderkey", "13L as o_custkey", "cast(make_date(2000, if(id < 2000, 7, 9), 9) as timestamp_ntz) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for table in ("lineitem", "orders"):
+        duck.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    told = duck.execute(queries.ORACLE_SQL[name])
+    columns, want = [d[0] for d in told.description], sorted(tuple(map(plain, row)) for row in told.fetchall())
+    assert sorted(tuple(map(plain, row)) for row in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == want
+    assert max(int(row[-1]) for row in want if row[-1] != "null") > 65535
+
+
 def test_empty_and_unknown_matchers():
     from lodestone.operators import matchers
 

@@ -45,7 +45,7 @@ def test_of_values_with_one_place_the_smaller_comes_first(spark, duck, name):
     assert sorted(tuple(map(plain, row)) for row in queries.QUERIES[name](spark, SF).select(*columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["dict_checkpoints", "dict_find"])
+@pytest.mark.parametrize("name", ["dict_checkpoints", "dict_find", "dict_versions"])
 def test_dictionaries_beyond_the_indexes_of_class_files(spark, tmp_path, name):
     month = "case when id < 68000 then 2 when id < 69500 then 6 else 8 end"  # August goes back to May, and June's parts come again
     items = spark.range(72500).selectExpr("id as l_orderkey", "1 as l_linenumber", "if(id < 71000, 70999 - id, 73999 - id) as l_partkey", "3 + id % 5 * 10 as l_suppkey", f"cast(make_date(2000, {month}, 9) as timestamp_ntz) as l_shipdate")

@@ -117,6 +117,48 @@ def test_whole_tables_against_brute_force(spark, tmp_path):
     assert run("range_cover", "l_orderkey", "l_linenumber", "span") == want and want
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "long", "double", "decimal(12,2)"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_spans_of_all_kinds_against_a_cross_join(spark, monkeypatch, kind, zone):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import cfg
+
+    monkeypatch.setattr(cfg, "CHUNK", 7)  # more spans of a key and bin than an array takes
+    zone_before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        unit = "minute" if kind.startswith("timestamp") else "day"
+        since = "timestamp_ntz'2024-03-10 01:30:00'" if unit == "minute" else "timestamp_ntz'1969-12-01 00:00:00'"  # the night that clocks go forward in; both sides of 1970
+        at = lambda n: f"cast({since} + make_dt_interval({f'0, 0, {n}' if unit == 'minute' else n}) as {kind})" if unit == "minute" or kind == "date" else f"cast(({n}) * {'1' if kind == 'long' else '0.37'} - 30 as {kind})"
+        spans = spark.range(300).selectExpr("id as span", "if(id % 5 = 0, null, id) as note", "id % 3 as k", f"{at('cast(id % 90 as int)')} as from_", f"{at('cast(id % 90 + (id % 13 - 1) * if(id % 50 = 1, 9, 1) as int)')} as to_")
+        points = spark.range(400).selectExpr("id as point", "id % 4 as k", f"if(id % 40 = 39, null, {at('cast(id * 7 % 130 as int)')}) as at")
+        got = cfg.interval_cover(points, spans, ["k"], "at", "from_", "to_").select("k", "point", "span", "note")
+        want = points.join(spans, "k").where((F.col("at") >= F.col("from_")) & (F.col("at") < F.col("to_"))).select("k", "point", "span", "note")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 300
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone_before)
+
+
+def test_pairs_of_range_cover_are_no_rows_of_a_join(spark, tmp_path):
+    days = "timestamp_ntz'2020-01-01' + make_dt_interval(cast(id % 4 as int)"
+    spark.range(4000).selectExpr("id as l_orderkey", "1 as l_linenumber", "id % 2 * 50 as l_suppkey", f"{days}, 5) as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(800).selectExpr("id as o_orderkey", "100L as o_custkey", f"{days}) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = queries.QUERIES["range_cover"](spark, str(tmp_path))
+        assert len(found.collect()) == 4000 * 200
+        plans, rows = [found._jdf.queryExecution().executedPlan()], []
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+            if "Join" in plan.nodeName():
+                rows.append(plan.metrics().apply("numOutputRows").value())
+        assert rows == [4000]  # each day's orders lie in one array
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_every_registered_query_runs(spark):
     """Those with SQL are compared above; the rest has to run and give a schema that stays."""
     import __spark_entry__
